@@ -30,7 +30,7 @@ SILHOUETTE_MIN_ROWS = 20
 # The sample travels to every task; the reports never ask for more than 15,000 rows.
 SAMPLE_LIMIT = 100_000
 CENTROID_LIMIT = 10_000
-CHUNK = 16
+CHUNK = 64
 
 
 def fit_pca(sample: DataFrame, components: int = COMPONENTS) -> np.ndarray:
@@ -75,41 +75,94 @@ def _each_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
             yield ids[start : start + CHUNK]
 
 
+class _Neighbourhood:
+    """Squared distances from some points to all points, by one matrix product.
+
+    The product loses the last digits, so it only ranks; the distances of the
+    pairs that come out first are then computed anew.
+    """
+
+    def __init__(self, points: np.ndarray):
+        self.points = points - points.mean(axis=0)
+        norm = (self.points**2).sum(axis=1)[:, None]
+        one = np.ones_like(norm)
+        self.left = np.hstack([-2.0 * self.points, one, norm])
+        self.right = np.ascontiguousarray(np.hstack([self.points, norm, one]).T)
+
+    def squared(self, rows: np.ndarray | slice, columns: slice = slice(None)) -> np.ndarray:
+        return self.left[rows] @ self.right[:, columns]
+
+    def exact(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.points[rows] - self.points[others]) ** 2).sum(axis=-1))
+
+
 def core_distances(spark: SparkSession, points: np.ndarray, neighbours: int = MIN_SAMPLES) -> DataFrame:
     """Per point, the distance to its `neighbours`-th nearest point, itself included."""
-    place = min(neighbours, len(points)) - 1
+    count = min(neighbours, len(points))
     shared = spark.sparkContext.broadcast(points)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near = _Neighbourhood(shared.value)
         for rows in _each_chunk(batches):
-            near = np.partition(_distances(shared.value, rows), place, axis=1)[:, place]
-            yield pd.DataFrame({"id": rows, "core": near})
+            closest = np.argpartition(near.squared(rows), count - 1, axis=1)[:, :count]
+            yield pd.DataFrame({"id": rows, "core": near.exact(rows[:, None], closest).max(axis=1)})
 
     return _blocks(spark, len(points)).mapInPandas(measure, "id long, core double")
 
 
+def core_table(sample: DataFrame, key: str, vector: str = "features", neighbours: int = MIN_SAMPLES) -> DataFrame:
+    """The core distance of every row of a bounded sample."""
+    spark = sample.sparkSession
+    points, table = _collect_points(sample.orderBy(key), vector, key)
+    keys = spark.createDataFrame(table.rename_axis("id").reset_index(), f"id long, {key} {sample.schema[key].dataType.simpleString()}")
+    return core_distances(spark, points, neighbours).join(keys, "id").select(key, "core")
+
+
+def _nearest_outside(near: _Neighbourhood, core: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per row, the point that is cheapest to reach outside the range of its own group.
+
+    Rows of one group skip their range altogether.
+    """
+    total = len(core)
+    if starts[0] == starts[-1]:
+        spans = [(low, high) for low, high in ((0, starts[0]), (ends[0], total)) if low < high]
+    else:
+        spans = [(0, total)]
+    best = np.full(len(rows), np.inf)
+    other = np.zeros(len(rows), dtype=np.int64)
+    for low, high in spans:
+        reach = near.squared(rows, slice(low, high))
+        np.maximum(reach, core[None, low:high] ** 2, out=reach)
+        if len(spans) == 1 and high - low == total:
+            for row, (start, end) in enumerate(zip(starts, ends)):
+                reach[row, start:end] = np.inf
+        place = reach.argmin(axis=1)
+        found = reach[np.arange(len(rows)), place]
+        other = np.where(found < best, place + low, other)
+        best = np.minimum(found, best)
+    return other
+
+
 def _cheapest_edges(spark: SparkSession, shared, groups: np.ndarray) -> list:
-    """Per group of connected points, its cheapest edge to another group.
+    """Per group of connected points, a cheapest edge to another group.
 
-    Equal weights are ordered by the ends of the edge, so rounds never close a
-    cycle.
+    Points are taken group by group, so that a group is one range: the larger it
+    is, the less its points have to search.
     """
+    order = np.argsort(groups, kind="stable")
+    in_order = groups[order]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points, core = shared.value
+        near, core = _Neighbourhood(points[order]), core[order]
         for rows in _each_chunk(batches):
-            reach = _distances(points, rows)
-            np.maximum(reach, core[None, :], out=reach)
-            np.maximum(reach, core[rows][:, None], out=reach)
-            reach[groups[rows][:, None] == groups[None, :]] = np.inf
-            other = reach.argmin(axis=1)
+            starts = np.searchsorted(in_order, in_order[rows])
+            ends = np.searchsorted(in_order, in_order[rows], side="right")
+            other = _nearest_outside(near, core, rows, starts, ends)
+            weight = np.maximum(np.maximum(near.exact(rows, other), core[other]), core[rows])
+            one, two = order[rows], order[other]
             yield pd.DataFrame(
-                {
-                    "component": groups[rows],
-                    "weight": reach[np.arange(len(rows)), other],
-                    "low": np.minimum(rows, other),
-                    "high": np.maximum(rows, other),
-                }
+                {"component": in_order[rows], "weight": weight, "low": np.minimum(one, two), "high": np.maximum(one, two)}
             )
 
     found = _blocks(spark, len(groups)).mapInPandas(search, "component long, weight double, low long, high long")
@@ -127,6 +180,8 @@ def spanning_tree(spark: SparkSession, points: np.ndarray, neighbours: int = MIN
     edges: list[tuple[float, int, int]] = []
     while len(edges) < len(points) - 1:
         joined = groups.copy()
+        # Cheapest first; an edge that would close a cycle is one of several
+        # equally cheap ones and is left out.
         for weight, low, high in sorted(_cheapest_edges(spark, shared, groups)):
             left, right = _top(joined, low), _top(joined, high)
             if left != right:

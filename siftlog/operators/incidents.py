@@ -48,6 +48,11 @@ def _instants(moments: DataFrame) -> DataFrame:
     )
 
 
+def instants_of(signals: DataFrame) -> DataFrame:
+    """The instants of a signal table, staged: several jobs read them."""
+    return _instants(stage(_moments(signals), "moments"))
+
+
 def boundaries(instants: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
     """Per instant: the time and component before it, the gap, and whether a session opens."""
     position = F.unix_micros(TIME).cast("double")
@@ -73,11 +78,13 @@ def boundaries(instants: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFra
         }
     ).drop("_time", "_component")
     gap = F.col("gap_minutes")
-    changed = F.col("first_component") != F.col("previous_component")
-    opens = (gap > gap_minutes) | (changed & (gap > CHANGE_MINUTES))
-    return known.withColumn("gap_minutes", minutes_between(F.col("previous_time"), F.col(TIME))).withColumn(
-        "opens", F.coalesce(opens, F.lit(False)).cast("int")
-    )
+    opens = (gap > gap_minutes) | (F.col("changed") & (gap > CHANGE_MINUTES))
+    return known.withColumns(
+        {
+            "gap_minutes": minutes_between(F.col("previous_time"), F.col(TIME)),
+            "changed": ~F.col("first_component").eqNullSafe(F.col("previous_component")),
+        }
+    ).withColumn("opens", F.coalesce(opens, F.lit(False)).cast("int"))
 
 
 def sessions(instants: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
@@ -91,8 +98,7 @@ def sessions(instants: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame
 
 def assign_sessions(signals: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
     """Signal rows with their session number."""
-    moments = stage(_moments(signals), "moments")
-    numbered = sessions(_instants(moments), gap_minutes).withColumnRenamed(TIME, "_time")
+    numbered = sessions(instants_of(signals), gap_minutes).withColumnRenamed(TIME, "_time")
     return signals.join(numbered, F.col(TIME).eqNullSafe(F.col("_time"))).drop("_time")
 
 

@@ -105,7 +105,7 @@ def add_percentile_rank(df: DataFrame, column: str, out: str, known: Distributio
     where the adaptive skew join splits a value that many rows share.
     """
     spread = known or distribution(df, column)
-    ranks = spread.percentile_ranks().withColumnRenamed("rank", out)
+    ranks = spread.percentile_ranks().withColumnsRenamed({"value": "_value", "rank": out})
     if spread.distinct <= BROADCAST_ROWS:
         ranks = F.broadcast(ranks)
-    return df.join(ranks, F.col(column).cast("double") == F.col("value"), "left").drop("value")
+    return df.join(ranks, F.col(column).cast("double") == F.col("_value"), "left").drop("_value")
