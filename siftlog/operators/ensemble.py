@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.operators.ordering import BROADCAST_ROWS, Distribution, add_percentile_rank, distribution
+from siftlog.operators.ordering import BROADCAST_ROWS, Distribution, add_percentile_rank, distribution, distributions, exact_quantiles
 
 # Detector names, their titles, and the rules of the vote.
 TITLES = {
@@ -32,11 +32,12 @@ def density_percentile(noise_rate: float, floor: float = PERCENTILE) -> float:
 class Combined:
     scored: DataFrame
     thresholds: dict[str, float]
+    medians: dict[str, float]
 
 
-def flag_outliers(df: DataFrame, score: str, flag: str, percentile: float = PERCENTILE, known: Distribution | None = None) -> tuple[DataFrame, float]:
+def flag_outliers(df: DataFrame, score: str, flag: str, percentile: float = PERCENTILE) -> tuple[DataFrame, float]:
     """Flag the rows at or above a percentile of the score; equal scores are flagged alike."""
-    threshold = (known or distribution(df, score)).quantiles(percentile / 100.0)[0]
+    threshold = exact_quantiles([(distribution(df, score), [percentile / 100.0])])[0][0]
     return df.withColumn(flag, F.col(score) >= F.lit(threshold)), threshold
 
 
@@ -60,11 +61,14 @@ def combine(df: DataFrame, row_key: str, percentiles: dict[str, float] | None =
     `df` holds the three scores, `severity_score` and a unique `row_key`; it is
     read several times, so it should be a table.
     """
-    spreads = {name: distribution(df, f"{name}_score") for name in DETECTORS}
-    thresholds, out = {}, _add_percentiles(df, spreads, row_key)
+    spreads = _score_spreads(df, DETECTORS)
+    shares = [(percentiles or {}).get(name, PERCENTILE) / 100.0 for name in DETECTORS]
+    found = exact_quantiles([(spreads[name], [share, 0.5]) for name, share in zip(DETECTORS, shares)])
+    thresholds = {name: values[0] for name, values in zip(DETECTORS, found)}
+    medians = {name: values[1] for name, values in zip(DETECTORS, found)}
+    out = _add_percentiles(df, spreads, row_key)
     for name in DETECTORS:
-        percentile = (percentiles or {}).get(name, PERCENTILE)
-        out, thresholds[name] = flag_outliers(out, f"{name}_score", f"{name}_anomaly", percentile, spreads[name])
+        out = out.withColumn(f"{name}_anomaly", F.col(f"{name}_score") >= F.lit(thresholds[name]))
     votes = sum((F.col(f"{name}_anomaly").cast("int") for name in DETECTORS), F.lit(0))
     mean_rank = sum((F.col(f"{name}_percentile") for name in DETECTORS), F.lit(0.0)) / F.lit(3.0)
     out = out.withColumns(
@@ -80,10 +84,15 @@ def combine(df: DataFrame, row_key: str, percentiles: dict[str, float] | None =
             "is_signal": F.col("is_anomaly") | (F.col("severity_score") >= SIGNAL_SEVERITY),
         }
     )
-    return Combined(out, thresholds)
+    return Combined(out, thresholds, medians)
 
 
-def evaluation(scored: DataFrame) -> DataFrame:
+def _score_spreads(df: DataFrame, names: tuple[str, ...]) -> dict[str, Distribution]:
+    found = distributions(df, [f"{name}_score" for name in names])
+    return {name: found[f"{name}_score"] for name in names}
+
+
+def evaluation(scored: DataFrame, known_medians: dict[str, float] | None = None) -> DataFrame:
     """Per detector: flags, rate, share of rule-positive rows flagged, median score."""
     rule = F.col("severity_score") >= SIGNAL_SEVERITY
     names = list(TITLES)
@@ -93,7 +102,10 @@ def evaluation(scored: DataFrame) -> DataFrame:
         *[F.count_if(f"{name}_anomaly").alias(f"{name}_flags") for name in names],
         *[F.count_if(F.col(f"{name}_anomaly") & rule).alias(f"{name}_hits") for name in names],
     )
-    medians = {name: distribution(scored, f"{name}_score").quantiles(0.5)[0] for name in names}
+    medians = dict(known_medians or {})
+    spreads = _score_spreads(scored, tuple(name for name in names if name not in medians))
+    found = exact_quantiles([(spread, [0.5]) for spread in spreads.values()])
+    medians |= {name: values[0] for name, values in zip(spreads, found)}
     per_model = [
         F.struct(
             F.lit(TITLES[name]).alias("model"),

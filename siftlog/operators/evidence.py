@@ -69,7 +69,7 @@ def rows_in_span(logs: DataFrame, incidents: DataFrame) -> DataFrame:
         "end_time",
         F.explode(F.sequence(_minute(F.col("start_time")), _minute(F.col("end_time")))).alias("_minute"),
     )
-    timed = logs.withColumn("_minute", _minute(F.col(TIME)))
+    timed = logs.select("event_id", *EVIDENCE_COLUMNS, "severity_score", _minute(F.col(TIME)).alias("_minute"))
     inside = F.col(TIME).between(F.col("start_time"), F.col("end_time"))
     return timed.join(spans, "_minute").filter(inside).drop("_minute", "start_time", "end_time")
 

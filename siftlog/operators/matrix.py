@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,19 +91,31 @@ def fit_scaling(df: DataFrame, names: list[str] | tuple[str, ...]) -> Scaling:
     return Scaling(tuple(names), tuple(found[1 : 1 + len(names)]), tuple(found[1 + len(names) :]), found[0])
 
 
-def sample_rows(df: DataFrame, size: int, seed: int = SEED, key: str = "event_id", rows: int | None = None) -> DataFrame:
-    """Exactly `min(size, rows)` rows, the same ones for the same seed.
+def draw_samples(df: DataFrame, draws: list[tuple[int, int]], key: str = "event_id", rows: int | None = None) -> list[DataFrame]:
+    """A sample per (size, seed): exactly `min(size, rows)` rows, the same ones for the same seed.
 
     Rows are drawn by the hash of their key. A bound on the hash that all but
-    surely leaves enough rows keeps the final sort to about `size` rows; should
-    it leave too few, the sort runs over all rows.
+    surely leaves enough rows keeps each sort to about `size` rows, and one scan
+    serves all samples. Should a bound leave too few, that sample is sorted out
+    of all rows.
     """
     total = df.count() if rows is None else rows
-    drawn = df.withColumn("_draw", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
-    if total > 2 * size:
-        share = (size + 8 * math.sqrt(size) + 64) / total
-        if share < 1:
-            bound = format(math.ceil(share * 16**15), "015x")
-            near = stage(drawn.filter(F.col("_draw") < bound), "draw")
-            drawn = near if near.count() >= size else drawn
-    return drawn.orderBy("_draw", key).limit(size).drop("_draw")
+    hashes = {f"_draw{seed}": F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))) for _, seed in draws}
+    drawn = df.withColumns(hashes)
+    near, counts = drawn, [total] * len(draws)
+    shares = [(size + 8 * math.sqrt(size) + 64) / max(total, 1) for size, _ in draws]
+    if max(shares) < 0.5:
+        bounds = [format(math.ceil(share * 16**15), "015x") for share in shares]
+        within = [F.col(name) < bound for name, bound in zip(hashes, bounds)]
+        near = stage(drawn.filter(reduce(or_, within)), "draw")
+        counts = near.agg(*[F.count_if(test) for test in within]).first()
+    samples = []
+    for (size, _), name, count in zip(draws, hashes, counts):
+        source = near if count >= size else drawn
+        samples.append(source.orderBy(name, key).limit(size).drop(*hashes))
+    return samples
+
+
+def sample_rows(df: DataFrame, size: int, seed: int = SEED, key: str = "event_id", rows: int | None = None) -> DataFrame:
+    """One sample of `draw_samples`."""
+    return draw_samples(df, [(size, seed)], key, rows)[0]

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlog.session import stage
+
 RANGE = "_range"
 # A rank table up to this many rows (two doubles each) may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -56,46 +59,95 @@ def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame
     return joined.withColumn(out, F.col(out) + F.col("_offset")).drop("_offset")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Distribution:
-    """The distinct values of a column in order, with counts and running counts."""
+    """The distinct values of a column with their counts, cut into ranges."""
 
-    table: DataFrame
+    placed: DataFrame
+    before: dict[float, int]
     rows: int
     distinct: int
 
-    def quantiles(self, *shares: float) -> list[float]:
-        """Exact quantiles with linear interpolation between neighbours."""
-        if not self.rows:
-            return [math.nan] * len(shares)
-        places = [share * (self.rows - 1) for share in shares]
-        needed = sorted({int(k) for place in places for k in (math.floor(place), math.ceil(place))})
-        found = self.table.agg(*[F.min(F.when(F.col("upto") > k, F.col("value"))) for k in needed]).first()
-        at = dict(zip(needed, found))
-        results = []
-        for place in places:
-            low, high = at[math.floor(place)], at[math.ceil(place)]
-            results.append(low + (high - low) * (place - math.floor(place)))
-        return results
+    def ranked(self, ranges: list[float] | None = None) -> DataFrame:
+        """Per value: its count `ties`, and `upto`, the rows up to and including it.
+
+        Only the given ranges, if any; the rows before each range are known.
+        """
+        placed = self.placed if ranges is None else self.placed.filter(F.col(RANGE).isin(*ranges))
+        inside = Window.partitionBy(RANGE).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        known = placed.sparkSession.createDataFrame(list(self.before.items()), f"{RANGE} double, _before long")
+        # One row per range: bounded by the number of ranges, whatever the data.
+        joined = placed.withColumn("upto", F.sum("ties").over(inside)).join(F.broadcast(known), RANGE)
+        return joined.select("value", "ties", (F.col("upto") + F.col("_before")).alias("upto"))
 
     def percentile_ranks(self) -> DataFrame:
         """`value` and its average rank as a share of the rows, between 0 and 1."""
         rank = (F.col("upto") - (F.col("ties") - 1) / F.lit(2.0)) / F.lit(float(self.rows))
-        return self.table.select("value", F.least(F.greatest(rank, F.lit(0.0)), F.lit(1.0)).alias("rank"))
+        return self.ranked().select("value", F.least(F.greatest(rank, F.lit(0.0)), F.lit(1.0)).alias("rank"))
+
+    def range_of(self, place: int) -> float:
+        """The range that holds the row at a place counted from 0."""
+        return max(number for number, rows in self.before.items() if rows <= place)
+
+
+def distributions(df: DataFrame, columns: list[str]) -> dict[str, Distribution]:
+    """Count the values of several columns in one pass, and place them in order.
+
+    Values are counted first, combined before the shuffle, so that a value many
+    rows share is one row from there on.
+    """
+    pairs = [F.struct(F.lit(name).alias("series"), F.col(name).cast("double").alias("value")) for name in columns]
+    long = df.select(F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+    counts = stage(long.groupBy("series", "value").agg(F.count("*").alias("ties")), "counts", "series")
+    facts = {
+        row["series"]: row
+        for row in counts.groupBy("series")
+        .agg(cut_points(F.col("value"), range_count(df)).alias("cuts"), F.sum("ties").alias("rows"), F.count("*").alias("distinct"))
+        .collect()
+    }
+    placed = {}
+    for name in columns:
+        cuts = facts[name]["cuts"] if name in facts else []
+        placed[name] = with_range(counts.filter(F.col("series") == name), F.col("value"), cuts)
+    totals = reduce(DataFrame.union, placed.values()).groupBy("series", RANGE).agg(F.sum("ties").alias("ties"))
+    sizes = sorted((row["series"], row[RANGE], row["ties"]) for row in totals.collect())
+    found = {}
+    for name in columns:
+        before, rows = {}, 0
+        for _, number, ties in (size for size in sizes if size[0] == name):
+            before[number] = rows
+            rows += ties
+        distinct = facts[name]["distinct"] if name in facts else 0
+        found[name] = Distribution(placed[name].drop("series"), before, rows, distinct)
+    return found
 
 
 def distribution(df: DataFrame, column: str) -> Distribution:
-    """Count each value of a column, and place the values in order."""
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count("*").alias("ties"))
-    )
-    cuts, rows, distinct = counts.agg(
-        cut_points(F.col("value"), range_count(df)), F.coalesce(F.sum("ties"), F.lit(0)), F.count("*")
-    ).first()
-    placed = with_range(counts, F.col("value"), cuts)
-    return Distribution(running_total(placed, "value", "ties", "upto").drop(RANGE), rows, distinct)
+    return distributions(df, [column])[column]
+
+
+def exact_quantiles(wanted: list[tuple[Distribution, list[float]]]) -> list[list[float]]:
+    """Exact quantiles with linear interpolation between neighbours, in one job.
+
+    Only the ranges that hold the neighbours are sorted.
+    """
+    found = [[math.nan] * len(shares) for _, shares in wanted]
+    parts = []
+    for i, (spread, shares) in enumerate(wanted):
+        if not spread.rows:
+            continue
+        places = [share * (spread.rows - 1) for share in shares]
+        ends = [(math.floor(place), math.ceil(place)) for place in places]
+        near = spread.ranked(sorted({spread.range_of(end) for pair in ends for end in pair}))
+        values = [F.min(F.when(F.col("upto") > end, F.col("value"))) for pair in ends for end in pair]
+        parts.append(near.agg(F.lit(i).alias("i"), F.array(*values).alias("values")))
+    for row in reduce(DataFrame.union, parts).collect() if parts else []:
+        spread, shares = wanted[row["i"]]
+        for k, share in enumerate(shares):
+            low, high = row["values"][2 * k : 2 * k + 2]
+            place = share * (spread.rows - 1)
+            found[row["i"]][k] = low + (high - low) * (place - math.floor(place))
+    return found
 
 
 def add_percentile_rank(df: DataFrame, column: str, out: str, known: Distribution | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from siftlog.operators.ensemble import DETECTORS, PERCENTILE, combine, density_p
 from siftlog.operators.features import build_features
 from siftlog.operators.incidents import build_incidents
 from siftlog.operators.isolation_forest import Forest, fit_forest
-from siftlog.operators.matrix import SEED, FeatureChoice, Scaling, choose_features, fit_scaling, sample_rows
+from siftlog.operators.matrix import SEED, FeatureChoice, Scaling, choose_features, draw_samples, fit_scaling
 from siftlog.session import stage
 from siftlog.sources.jsonl import load_logs
 
@@ -51,9 +52,14 @@ def fit_detectors(features: DataFrame, choice: FeatureChoice, seed: int = SEED)
     """Scale over all rows, fit on samples: one for two detectors, another for density."""
     scaling = fit_scaling(features, choice.names)
     points = features.select("event_id", scaling.scaled().alias("features"))
-    sample = stage(sample_rows(points, MODEL_SAMPLE, seed, rows=scaling.rows), "sample")
-    dense = stage(sample_rows(points, DENSITY_SAMPLE, seed + 1, rows=scaling.rows), "dense")
-    return Detectors(choice, scaling, fit_forest(sample), fit_autoencoder(sample), fit_density(dense))
+    shared, dense = draw_samples(points, [(MODEL_SAMPLE, seed), (DENSITY_SAMPLE, seed + 1)], rows=scaling.rows)
+    shared, dense = stage(shared, "sample"), stage(dense, "dense")
+    # The fits are many small jobs that leave cores idle; they run side by side.
+    with ThreadPoolExecutor(3) as pool:
+        forest = pool.submit(fit_forest, shared)
+        autoencoder = pool.submit(fit_autoencoder, shared)
+        density = pool.submit(fit_density, dense)
+        return Detectors(choice, scaling, forest.result(), autoencoder.result(), density.result())
 
 
 def scores(models: Detectors, vector: Column) -> Column:
@@ -71,15 +77,9 @@ def scores(models: Detectors, vector: Column) -> Column:
     return score(vector)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of an input that has fewer parts than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def score_rows(features: DataFrame, models: Detectors) -> DataFrame:
     """The feature table with three scores and a row key, as a table."""
-    scored = _spread(features).withColumn("_scores", scores(models, models.scaling.scaled()))
+    scored = features.withColumn("_scores", scores(models, models.scaling.scaled()))
     return stage(scored.select("*", "_scores.*", F.monotonically_increasing_id().alias(ROW)).drop("_scores"), "scores")
 
 
@@ -116,7 +116,7 @@ def detect(logs: DataFrame, models: Detectors | None = None) -> Detection:
     percentile = density_percentile(fitted.density.noise_rate) if fitted.density.clusters else PERCENTILE
     combined = combine(score_rows(features, fitted), ROW, {"hdbscan": percentile})
     scored = stage(combined.scored.drop(ROW), "scored")
-    return Detection(scored, evaluation(scored), model_record(fitted, combined.thresholds, logs.sparkSession))
+    return Detection(scored, evaluation(scored, combined.medians), model_record(fitted, combined.thresholds, logs.sparkSession))
 
 
 def evaluation_metrics(result: Detection | None) -> list[dict]:

@@ -10,7 +10,7 @@ from siftlog.operators.features import add_base_features
 from siftlog.operators.incidents import build_incidents
 from siftlog.operators.matrix import fit_scaling
 from siftlog.plans.detection import ROW
-from siftlog.session import prepare, stage
+from siftlog.session import prepare, spread, stage
 
 COMPONENT = "CASE WHEN user_id % 50 = 0 THEN 'unknown' ELSE concat('svc-', cast(user_id % 8 AS string)) END"
 MESSAGE = """
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per event, with `value` as an extra column."""
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("ts").cast("timestamp").alias("normalized_timestamp"),
         F.expr(COMPONENT).alias("component"),

@@ -56,13 +56,19 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siftlog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write `df` as Parquet in the shared folder, one folder per value of `folders`, and read it back.
 
     Cuts the lineage: what follows survives a lost executor without repeating
     the work before it.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a part of a plain scan that has fewer parts than there are cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftlog.functions.text import time_text
+from siftlog.session import prepare, spread
 
 # The fields a record needs, and where records come from by default.
 REQUIRED_FIELDS = ("event_id", "normalized_timestamp", "component", "message", "parsed_message_type")
@@ -112,9 +113,9 @@ def load_logs(spark: SparkSession, path: str | None = None) -> DataFrame:
     Rows come in no order; sort with `in_time_order` where a report needs it.
     """
     source = resolve_source(path)
-    records = check_not_empty(scan_jsonl(spark, source))
+    records = check_not_empty(scan_jsonl(prepare(spark), source))
     check_required(present_fields(spark, source))
-    return canonical(records)
+    return canonical(spread(records))
 
 
 def logs_from_table(df: DataFrame) -> DataFrame:
