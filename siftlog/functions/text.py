@@ -74,7 +74,9 @@ def time_text(time: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """Text in quotes: single ones, or double ones around text that holds a single quote only."""
-    escaped = F.regexp_replace(text, r"\\", r"\\\\\\\\")
-    single = F.concat(F.lit("'"), F.regexp_replace(escaped, "'", r"\\\\'"), F.lit("'"))
+    escaped = text
+    for plain, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(shown))
+    single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
     double = F.concat(F.lit('"'), escaped, F.lit('"'))
     return F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), double).otherwise(single)

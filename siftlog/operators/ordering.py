@@ -37,7 +37,8 @@ def with_range(df: DataFrame, value: Column, cuts: list[float]) -> DataFrame:
     """Add the number of the range that holds `value`; nulls form the last range."""
     borders = [-math.inf, *sorted(set(cuts or [0.0])), math.inf]
     ranges = Bucketizer(splits=borders, inputCol="_position", outputCol=RANGE, handleInvalid="keep")
-    return ranges.transform(df.withColumn("_position", value)).drop("_position")
+    position = F.coalesce(value, F.lit(math.nan))
+    return ranges.transform(df.withColumn("_position", position)).drop("_position")
 
 
 def by_range() -> Window:
