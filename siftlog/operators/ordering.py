@@ -76,10 +76,10 @@ class Distribution:
         """
         placed = self.placed if ranges is None else self.placed.filter(F.col(RANGE).isin(*ranges))
         inside = Window.partitionBy(RANGE).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        known = placed.sparkSession.createDataFrame(list(self.before.items()), f"{RANGE} double, _before long")
-        # One row per range: bounded by the number of ranges, whatever the data.
-        joined = placed.withColumn("upto", F.sum("ties").over(inside)).join(F.broadcast(known), RANGE)
-        return joined.select("value", "ties", (F.col("upto") + F.col("_before")).alias("upto"))
+        # One number per range, as a constant in the plan.
+        known = F.split(F.lit(",".join(str(self.before.get(i, 0)) for i in range(int(max(self.before, default=0)) + 1))), ",")
+        before = known.cast("array<long>")[F.col(RANGE).cast("int")]
+        return placed.select("value", "ties", (F.sum("ties").over(inside) + before).alias("upto"))
 
     def percentile_ranks(self) -> DataFrame:
         """`value` and its average rank as a share of the rows, between 0 and 1."""
