@@ -48,7 +48,7 @@ def main() -> None:
 
     timed = {
         "load_jsonl": lambda: write_nowhere(jsonl.canonical(jsonl.scan_jsonl(spark, lines, tolerant=True))),
-        "profile_lines": lambda: profile.line_counts(profile.read_lines(spark, lines)).collect(),
+        "profile_lines": lambda: profile.line_counts(profile.tally(profile.read_lines(spark, lines))).collect(),
         "features": lambda: write_nowhere(checks.features_of(spark, SF_DIR)),
         "detect": lambda: detection.detect(logs.drop("value")).evaluation.collect(),
         "combine_scores": lambda: stage(ensemble.combine(scores, detection.ROW).scored, "bench-scored"),

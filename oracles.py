@@ -235,8 +235,10 @@ CENTROIDS = """parts as (
   select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as pos from embeddings),
 centroids as (select label, pos, avg(v) as c from parts group by label, pos)"""
 
-PAIRS = """coordinates as (
-  select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as pos from embeddings),
+def pairs(size: int, seed: int) -> str:
+    return f"""coordinates as (
+  select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as pos
+  from (select * from embeddings order by md5(concat(vec_id, ':{seed}')) limit {size})),
 vectors as (select vec_id, label, list(v order by pos) as v from coordinates group by all),
 pairs as (
   select a.vec_id as id, a.label as own, b.vec_id as other_id, b.label as other, list_distance(a.v, b.v) as d
@@ -404,7 +406,7 @@ def statements() -> dict[str, str]:
         ),
         "f11_sample": rows(LOGS, "select event_id from logs order by md5(concat(event_id, ':42')) limit 5000"),
         "a6_core_distance": rows(
-            PAIRS,
+            pairs(15000, 43),
             """select id as vec_id, round(max(d), 6) as core from (
               select id, d, row_number() over (partition by id order by d) as k from pairs) where k <= 10 group by id""",
         ),
@@ -440,7 +442,7 @@ def statements() -> dict[str, str]:
         "a17_incident_signal": rows(SCORED, "select event_id, is_signal from scored"),
         "a18_evaluation": rows(SCORED, EVALUATION),
         "a19_silhouette": rows(
-            f"""{PAIRS},
+            f"""{pairs(5000, 42)},
             sides as (select id, own, other, sum(d) as total, count(*) as n from pairs group by all),
             ab as (select id, own, max(total / (n - 1)) filter (where own = other) as a,
                      min(total / n) filter (where own <> other) as b from sides group by id, own)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,12 @@ class Leaf:
 
     @property
     def path(self) -> str:
-        return "$" + "".join(f"['{key}']" for key in self.keys)
+        return "$" + "".join(f"[\"{key}\"]" if "'" in key else f"['{key}']" for key in self.keys)
+
+    @property
+    def is_reachable(self) -> bool:
+        """No path can name a key that holds both kinds of quotes."""
+        return not any("'" in key and '"' in key for key in self.keys)
 
     @property
     def is_numeric(self) -> bool:
@@ -82,7 +88,9 @@ def discover_leaves(df: DataFrame, column: str = METRICS_COLUMN) -> list[Leaf]:
     merged = df.agg(F.schema_of_variant_agg(metrics_variant(df, column))).first()[0]
     if merged is None or not merged.startswith("OBJECT<"):
         return []
-    return _leaves(T.DataType.fromDDL(merged.replace("OBJECT<", "STRUCT<")))
+    # Objects are structs in a schema text; names in back quotes stay as they are.
+    schema = re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda part: "STRUCT<" if part[0] == "OBJECT<" else part[0], merged)
+    return [leaf for leaf in _leaves(T.DataType.fromDDL(schema)) if leaf.is_reachable]
 
 
 def flatten_metrics(df: DataFrame, leaves: list[Leaf], column: str = METRICS_COLUMN) -> DataFrame:
@@ -115,7 +123,8 @@ def _first_seen(df: DataFrame, leaves: list[Leaf], column: str) -> list[Leaf]:
         seen = F.struct(time.isNull(), time, event_id, F.array(F.lit(int(len(leaf.keys) > 1)), *places))
         firsts.append(F.min(F.when(places[-1] > 0, seen)))
     found = df.agg(*firsts).first()
-    return [leaf for _, leaf in sorted(zip(found, leaves), key=lambda pair: tuple(pair[0]))]
+    order = sorted(zip(found, leaves), key=lambda pair: (pair[0] is None, pair[0] and tuple(pair[0])))
+    return [leaf for _, leaf in order]
 
 
 def numeric_leaves(df: DataFrame, limit: int = 8, column: str = METRICS_COLUMN) -> list[Leaf]:

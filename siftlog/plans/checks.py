@@ -150,24 +150,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.in_time_order(logs_of(spark, sf_dir)).select("event_id", "normalized_timestamp", "component")
 
 
+def tallied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.tally(profile.read_lines(spark, written_lines(spark, sf_dir)))
+
+
 @query("s7_line_counts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.line_counts(profile.read_lines(spark, written_lines(spark, sf_dir)))
+    return profile.line_counts(tallied(spark, sf_dir))
 
 
 @query("s8_top_components")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.top_values(profile.read_lines(spark, written_lines(spark, sf_dir)), "component")
+    return profile.top_values(tallied(spark, sf_dir), "component")
 
 
 @query("s8_top_message_types")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.top_values(profile.read_lines(spark, written_lines(spark, sf_dir)), "parsed_message_type")
+    return profile.top_values(tallied(spark, sf_dir), "parsed_message_type")
 
 
 @query("s9_absent_fields")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.absent_fields(profile.read_lines(spark, written_lines(spark, sf_dir)))
+    return profile.absent_fields(tallied(spark, sf_dir))
 
 
 @query("s10_export")
@@ -349,7 +353,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a6_core_distance")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.core_table(vectors(spark, sf_dir), "vec_id").select("vec_id", F.round("core", 6).alias("core"))
+    sample = matrix.sample_rows(vectors(spark, sf_dir), detection.DENSITY_SAMPLE, matrix.SEED + 1, "vec_id")
+    return density.core_table(sample, "vec_id").select("vec_id", F.round("core", 6).alias("core"))
 
 
 @query("a6_density_clusters")

@@ -29,6 +29,10 @@ OPTIONAL_FIELDS = {
     "metadata": T.VariantType(),
 }
 CORRUPT = "_corrupt_record"
+# Text in single quotes is no JSON.
+STRICT = {"allowSingleQuotes": "false"}
+# Lines that usually hold every field already.
+FIRST_LINES = 1_000
 
 
 def record_schema(corrupt: bool = False) -> T.StructType:
@@ -52,17 +56,27 @@ def scan_jsonl(spark: SparkSession, path: str | None = None, tolerant: bool = Fa
     A bad line fails the job. The tolerant form keeps it as text in
     `_corrupt_record` instead.
     """
-    reader = spark.read.option("mode", "PERMISSIVE" if tolerant else "FAILFAST")
+    reader = spark.read.options(mode="PERMISSIVE" if tolerant else "FAILFAST", **STRICT)
     if tolerant:
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
     return reader.schema(record_schema(corrupt=tolerant)).json(resolve_source(path))
 
 
 def present_fields(spark: SparkSession, path: str | None = None) -> set[str]:
-    """The keys that occur in at least one record."""
-    keys = spark.read.text(resolve_source(path)).select(F.explode(F.json_object_keys("value")).alias("key"))
-    wanted = keys.filter(F.col("key").isin(*REQUIRED_FIELDS))
-    return {row.key for row in wanted.distinct().collect()}
+    """The required keys that occur in at least one record.
+
+    The first lines settle it for most sources; only fields they lack are
+    looked for in the rest.
+    """
+    lines = spark.read.text(resolve_source(path))
+    found: set[str] = set()
+    for part in (lines.limit(FIRST_LINES), lines):
+        keys = part.select(F.explode(F.json_object_keys("value")).alias("key"))
+        wanted = keys.filter(F.col("key").isin(*missing_fields(found)))
+        found |= {row.key for row in wanted.distinct().collect()}
+        if not missing_fields(found):
+            break
+    return found
 
 
 def missing_fields(names: set[str] | list[str]) -> list[str]:

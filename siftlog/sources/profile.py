@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.sources.jsonl import REQUIRED_FIELDS, resolve_source
+from siftlog.session import stage
+from siftlog.sources.jsonl import REQUIRED_FIELDS, STRICT, resolve_source
 
 ABSENT = "MISSING"
 
@@ -14,41 +15,54 @@ def read_lines(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.read.text(resolve_source(path))
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    """Non-blank lines, with the keys of those that hold an object."""
+def _field(name: str) -> Column:
+    """The value of a key; an absent key counts as `MISSING`, a null one as null."""
+    return F.when(F.map_contains_key("record", name), F.element_at("record", name)).otherwise(ABSENT)
+
+
+def tally(lines: DataFrame) -> DataFrame:
+    """Lines counted by what the reports ask for: validity, component, type, absent fields.
+
+    One scan, one parse per line; every report reads the small result.
+    """
     not_blank = lines.filter(F.col("value").rlike(r"(?U)[^\s\x1c-\x1f]"))
-    is_object = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
-    return not_blank.select("value", F.when(is_object, F.json_object_keys("value")).alias("keys"))
+    whole = F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$")
+    parsed = not_blank.select(F.when(whole, F.from_json("value", "map<string,string>", STRICT)).alias("record"))
+    required = F.array(*[F.lit(name) for name in REQUIRED_FIELDS])
+    counted = (
+        parsed.select(
+            F.col("record").isNotNull().alias("valid"),
+            _field("component").alias("component"),
+            _field("parsed_message_type").alias("parsed_message_type"),
+            F.array_except(required, F.map_keys("record")).alias("absent"),
+        )
+        .groupBy("valid", "component", "parsed_message_type", "absent")
+        .agg(F.count("*").alias("lines"))
+    )
+    return stage(counted, "tally")
 
 
-def _field(name: str) -> Column:
-    """The value of a key; an absent key counts as `MISSING`, a null one as null."""
-    return F.when(F.array_contains("keys", name), F.get_json_object("value", f"$.{name}")).otherwise(ABSENT)
+def _total(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("lines"))), F.lit(0))
 
 
-def line_counts(lines: DataFrame) -> DataFrame:
+def line_counts(tallied: DataFrame) -> DataFrame:
     """Records, lines that are not records, and distinct components."""
-    parsed = _parsed(lines)
-    component = F.when(F.col("keys").isNotNull(), F.struct(_field("component")))
-    return parsed.agg(
-        F.count_if(F.col("keys").isNotNull()).alias("records"),
-        F.count_if(F.col("keys").isNull()).alias("invalid_lines"),
+    component = F.when(F.col("valid"), F.struct("component"))
+    return tallied.agg(
+        _total(F.col("valid")).alias("records"),
+        _total(~F.col("valid")).alias("invalid_lines"),
         F.count_distinct(component).alias("components"),
     )
 
 
-def top_values(lines: DataFrame, field: str, limit: int = 10) -> DataFrame:
-    """The most frequent values of a field."""
-    values = _parsed(lines).filter(F.col("keys").isNotNull()).select(_field(field).alias("value"))
-    return values.groupBy("value").agg(F.count("*").alias("records")).orderBy(F.desc("records"), "value").limit(limit)
+def top_values(tallied: DataFrame, field: str, limit: int = 10) -> DataFrame:
+    """The most frequent values of `component` or `parsed_message_type`."""
+    counted = tallied.filter("valid").groupBy(F.col(field).alias("value")).agg(F.sum("lines").alias("records"))
+    return counted.orderBy(F.desc("records"), "value").limit(limit)
 
 
-def absent_fields(lines: DataFrame) -> DataFrame:
+def absent_fields(tallied: DataFrame) -> DataFrame:
     """Per required field, the number of records without its key, where there are any."""
-    records = _parsed(lines).filter(F.col("keys").isNotNull())
-    required = F.array(*[F.lit(name) for name in REQUIRED_FIELDS])
-    return (
-        records.select(F.explode(F.array_except(required, "keys")).alias("field"))
-        .groupBy("field")
-        .agg(F.count("*").alias("records"))
-    )
+    absent = tallied.filter("valid").select(F.explode("absent").alias("field"), "lines")
+    return absent.groupBy("field").agg(F.sum("lines").alias("records"))

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -107,6 +108,13 @@ def test_flattening(spark):
     assert [row["metric_name"] for row in found] == ["n", None, None]
 
 
+def test_unusual_metric_names(spark):
+    frame = logs(spark, [("m", json.dumps({"a b": 1, "x.y": 2, "it's": 3, 'q"r': 4, "OBJECT<z": 5, "1st": {"in ner": 6}, "`": 7}))])
+    flat = features.build_features(frame).first().asDict()
+    names = {"a b": 1, "x.y": 2, "it's": 3, 'q"r': 4, "OBJECT<z": 5, "1st.in ner": 6, "`": 7}
+    assert {k: flat["metric_" + k] for k in names} == names
+
+
 def test_numeric_leaves(spark):
     frame = logs(spark, [("m", NESTED), ("m", OTHER)])
     assert {leaf.column for leaf in metrics.numeric_leaves(frame)} == {"metric_z", "metric_io.read", "metric_io.deep.x"}

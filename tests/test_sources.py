@@ -41,6 +41,14 @@ def test_a_required_key_may_be_absent_from_some_records(spark, lines_file):
     assert found == {"1": "A", "2": "unknown", "3": "unknown"}
 
 
+def test_fields_may_appear_late(spark, lines_file, monkeypatch):
+    monkeypatch.setattr(jsonl, "FIRST_LINES", 2)
+    late = lines_file(*[record(component="absent")] * 5, record())
+    assert jsonl.missing_fields(jsonl.present_fields(spark, late)) == []
+    never = lines_file(*[record(component="absent")] * 5, name="never.jsonl")
+    assert jsonl.missing_fields(jsonl.present_fields(spark, never)) == ["component"]
+
+
 def test_defaults_and_types(spark, lines_file):
     path = lines_file(record(message=None, parsed_message_type=None), record(event_id=7, message=5, component=True))
     rows = {row.event_id: row for row in jsonl.load_logs(spark, path).collect()}
@@ -102,9 +110,12 @@ def test_profile(spark, lines_file):
         "   ",
         "{bad json",
         "[1]",
+        record() + " and more",
+        "{'event_id': '6'}",
+        record()[:-1],
     ]
-    found = profile.read_lines(spark, lines_file(*lines))
-    assert profile.line_counts(found).first().asDict() == {"records": 5, "invalid_lines": 2, "components": 4}
+    found = profile.tally(profile.read_lines(spark, lines_file(*lines)))
+    assert profile.line_counts(found).first().asDict() == {"records": 5, "invalid_lines": 5, "components": 4}
     top = [(row["value"], row["records"]) for row in profile.top_values(found, "component").collect()]
     assert top[0] == ("B", 2) and set(top[1:]) == {("A", 1), ("MISSING", 1), (None, 1)}
     assert {tuple(row) for row in profile.absent_fields(found).collect()} == {("component", 1), ("message", 1)}
