@@ -405,6 +405,8 @@ def statements() -> dict[str, str]:
             + ", 0.0::double as flat from features",
         ),
         "f11_sample": rows(LOGS, "select event_id from logs order by md5(concat(event_id, ':42')) limit 5000"),
+        "a1_tree_rows": """select cast(t as int) as tree, least(256, n) as root_rows, least(256, n) as leaf_rows
+            from (select unnest(range(150)) as t), (select least(30000, count(*)) as n from events)""",
         "a6_core_distance": rows(
             pairs(15000, 43),
             """select id as vec_id, round(max(d), 6) as core from (
@@ -448,6 +450,8 @@ def statements() -> dict[str, str]:
                      min(total / n) filter (where own <> other) as b from sides group by id, own)""",
             "select id as vec_id, own as label, round((b - a) / greatest(a, b), 6) as silhouette from ab",
         ),
+        "a20_fit_sizes": """select 'Autoencoder' as primary_model, 7 as feature_count, least(30000, count(*)) as training_sample,
+              least(15000, count(*)) as hdbscan_sample, '2 of 3 models' as ensemble_rule from events""",
         "i1_signals": rows(SCORED_SIGNALS, "select event_id, component, severity_score, is_anomaly from signals"),
         "i2_time_gap": rows(
             f"{SCORED_SIGNALS}, {sessions()}", "select normalized_timestamp, gap_minutes from gaps"
@@ -467,6 +471,11 @@ def statements() -> dict[str, str]:
         "i10_list_order": rows(INCIDENTS, f"select {INCIDENT} from incidents order by severity, start_time desc"),
         "i11_no_signal": rows(INCIDENTS, f"select {INCIDENT} from incidents where false"),
         "i12_evidence": rows(WITH_EVIDENCE, "select incident_id, place, event_id, normalized_timestamp, component, message from evidence"),
+        "i12_incident_evidence": rows(
+            WITH_EVIDENCE,
+            """select normalized_timestamp, component, parsed_message_type, message, severity, is_anomaly
+            from evidence where incident_id = 'INC-00007'""",
+        ),
         "i13_evidence_figures": rows(f"{WITH_EVIDENCE}, {FIGURES}", "select * from figures"),
         "i14_summaries": rows(
             f"{WITH_EVIDENCE}, {FIGURES}", f"select incident_id, {SUMMARY} as summary from incidents join figures using (incident_id)"

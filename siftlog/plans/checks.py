@@ -329,6 +329,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation_forest.grow_trees(fitting_sample(spark, sf_dir))
 
 
+@query("a1_tree_rows")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = isolation_forest.grow_trees(fitting_sample(spark, sf_dir))
+    return nodes.groupBy("tree").agg(
+        F.max("size").cast("long").alias("root_rows"), F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaf_rows")
+    )
+
+
 @query("a2_isolation_forest_score")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detected(spark, sf_dir).scored.select("event_id", "isolation_forest_score")
@@ -449,6 +457,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detected(spark, sf_dir).meta
 
 
+@query("a20_fit_sizes")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("primary_model", "feature_count", "training_sample", "hdbscan_sample", "ensemble_rule")
+    return detected(spark, sf_dir).meta.select(*columns)
+
+
 @query("a21_accessors")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = detected(spark, sf_dir)
@@ -547,6 +561,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("incident_id", "place", "event_id", "normalized_timestamp", "component", "message")
 
 
+@query("i12_incident_evidence")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.incident_evidence(simple_scored(spark, sf_dir), simple_incidents(spark, sf_dir), "INC-00007")
+
+
 @query("i13_evidence_figures")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evidence.evidence_figures(incident_evidence(spark, sf_dir))
