@@ -97,8 +97,9 @@ def flatten_metrics(df: DataFrame, leaves: list[Leaf], column: str = METRICS_COL
     """Add one `metric_*` column per leaf."""
     if not leaves:
         return df
-    metrics = metrics_variant(df, column)
-    return df.withColumns({leaf.column: leaf.value(metrics) for leaf in leaves})
+    # A column of its own, so that a record is parsed once for all its leaves.
+    parsed = df.withColumn("_metrics", metrics_variant(df, column))
+    return parsed.withColumns({leaf.column: leaf.value(F.col("_metrics")) for leaf in leaves}).drop("_metrics")
 
 
 def _place(text: Column, leaf: Leaf) -> list[Column]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.operators.ordering import BROADCAST_ROWS, Distribution, add_percentile_rank, distribution, distributions, exact_quantiles
+from siftlog.operators.ordering import BROADCAST_ROWS, Distribution, add_percentile_rank, column_quantiles, distributions, exact_quantiles
 
 # Detector names, their titles, and the rules of the vote.
 TITLES = {
@@ -37,7 +37,7 @@ class Combined:
 
 def flag_outliers(df: DataFrame, score: str, flag: str, percentile: float = PERCENTILE) -> tuple[DataFrame, float]:
     """Flag the rows at or above a percentile of the score; equal scores are flagged alike."""
-    threshold = exact_quantiles([(distribution(df, score), [percentile / 100.0])])[0][0]
+    threshold = column_quantiles(df, {score: [percentile / 100.0]})[score][0]
     return df.withColumn(flag, F.col(score) >= F.lit(threshold)), threshold
 
 
@@ -61,7 +61,8 @@ def combine(df: DataFrame, row_key: str, percentiles: dict[str, float] | None =
     `df` holds the three scores, `severity_score` and a unique `row_key`; it is
     read several times, so it should be a table.
     """
-    spreads = _score_spreads(df, DETECTORS)
+    found = distributions(df, [f"{name}_score" for name in DETECTORS])
+    spreads = {name: found[f"{name}_score"] for name in DETECTORS}
     shares = [(percentiles or {}).get(name, PERCENTILE) / 100.0 for name in DETECTORS]
     found = exact_quantiles([(spreads[name], [share, 0.5]) for name, share in zip(DETECTORS, shares)])
     thresholds = {name: values[0] for name, values in zip(DETECTORS, found)}
@@ -87,11 +88,6 @@ def combine(df: DataFrame, row_key: str, percentiles: dict[str, float] | None =
     return Combined(out, thresholds, medians)
 
 
-def _score_spreads(df: DataFrame, names: tuple[str, ...]) -> dict[str, Distribution]:
-    found = distributions(df, [f"{name}_score" for name in names])
-    return {name: found[f"{name}_score"] for name in names}
-
-
 def evaluation(scored: DataFrame, known_medians: dict[str, float] | None = None) -> DataFrame:
     """Per detector: flags, rate, share of rule-positive rows flagged, median score."""
     rule = F.col("severity_score") >= SIGNAL_SEVERITY
@@ -103,9 +99,8 @@ def evaluation(scored: DataFrame, known_medians: dict[str, float] | None = None)
         *[F.count_if(F.col(f"{name}_anomaly") & rule).alias(f"{name}_hits") for name in names],
     )
     medians = dict(known_medians or {})
-    spreads = _score_spreads(scored, tuple(name for name in names if name not in medians))
-    found = exact_quantiles([(spread, [0.5]) for spread in spreads.values()])
-    medians |= {name: values[0] for name, values in zip(spreads, found)}
+    unknown = {f"{name}_score": [0.5] for name in names if name not in medians}
+    medians |= {score.removesuffix("_score"): values[0] for score, values in column_quantiles(scored, unknown).items()}
     per_model = [
         F.struct(
             F.lit(TITLES[name]).alias("model"),

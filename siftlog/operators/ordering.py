@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -62,7 +63,10 @@ def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame
 
 @dataclass(frozen=True)
 class Distribution:
-    """The distinct values of a column with their counts, cut into ranges."""
+    """The distinct values of a column with their counts, cut into ranges.
+
+    `before` holds the rows before each range, `distinct` a bound of the values.
+    """
 
     placed: DataFrame
     before: dict[float, int]
@@ -91,6 +95,20 @@ class Distribution:
         return max(number for number, rows in self.before.items() if rows <= place)
 
 
+def _with_sizes(placed: dict[str, DataFrame], rows: Column) -> dict[str, dict[float, int]]:
+    """Per table, the rows in each range; one small row per range, in one job."""
+    counted = [df.groupBy(F.lit(name).alias("series"), RANGE).agg(rows.alias("rows")) for name, df in placed.items()]
+    sizes: dict[str, dict[float, int]] = {name: {} for name in placed}
+    for row in reduce(DataFrame.union, counted).collect():
+        sizes[row["series"]][row[RANGE]] = row["rows"]
+    return sizes
+
+
+def _before(sizes: dict[float, int]) -> dict[float, int]:
+    numbers = sorted(sizes)
+    return dict(zip(numbers, accumulate((sizes[number] for number in numbers), initial=0)))
+
+
 def distributions(df: DataFrame, columns: list[str]) -> dict[str, Distribution]:
     """Count the values of several columns in one pass, and place them in order.
 
@@ -100,33 +118,44 @@ def distributions(df: DataFrame, columns: list[str]) -> dict[str, Distribution]:
     pairs = [F.struct(F.lit(name).alias("series"), F.col(name).cast("double").alias("value")) for name in columns]
     long = df.select(F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
     counts = stage(long.groupBy("series", "value").agg(F.count("*").alias("ties")), "counts", "series")
-    facts = {
-        row["series"]: row
-        for row in counts.groupBy("series")
-        .agg(cut_points(F.col("value"), range_count(df)).alias("cuts"), F.sum("ties").alias("rows"), F.count("*").alias("distinct"))
-        .collect()
-    }
+    found = counts.groupBy("series").agg(cut_points(F.col("value"), range_count(df)).alias("cuts"), F.count("*").alias("distinct"))
+    facts = {row["series"]: row for row in found.collect()}
     placed = {}
     for name in columns:
         cuts = facts[name]["cuts"] if name in facts else []
-        placed[name] = with_range(counts.filter(F.col("series") == name), F.col("value"), cuts)
-    totals = reduce(DataFrame.union, placed.values()).groupBy("series", RANGE).agg(F.sum("ties").alias("ties"))
-    sizes = sorted((row["series"], row[RANGE], row["ties"]) for row in totals.collect())
-    found = {}
-    for name in columns:
-        before, rows = {}, 0
-        for _, number, ties in (size for size in sizes if size[0] == name):
-            before[number] = rows
-            rows += ties
-        distinct = facts[name]["distinct"] if name in facts else 0
-        found[name] = Distribution(placed[name].drop("series"), before, rows, distinct)
-    return found
+        placed[name] = with_range(counts.filter(F.col("series") == name).drop("series"), F.col("value"), cuts)
+    return {
+        name: Distribution(placed[name], _before(sizes), sum(sizes.values()), facts[name]["distinct"] if name in facts else 0)
+        for name, sizes in _with_sizes(placed, F.sum("ties")).items()
+    }
 
 
 def distribution(df: DataFrame, column: str) -> Distribution:
     return distributions(df, [column])[column]
 
 
+def column_quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float]]:
+    """Exact quantiles of several columns where no ranks are needed.
+
+    Rows are placed as they are, and only the ranges that hold a quantile are
+    counted by value: nearly nothing is shuffled.
+    """
+    values = {name: F.col(name).cast("double") for name in wanted}
+    if not values:
+        return {}
+    cuts = df.agg(*[cut_points(value, range_count(df)).alias(name) for name, value in values.items()]).first()
+    placed = {
+        name: with_range(df.select(value.alias("value")).filter(F.col("value").isNotNull()), F.col("value"), cuts[name])
+        for name, value in values.items()
+    }
+    spreads = []
+    for name, sizes in _with_sizes(placed, F.count("*")).items():
+        rows = sum(sizes.values())
+        counted = placed[name].groupBy("value", RANGE).agg(F.count("*").alias("ties"))
+        spreads.append(Distribution(counted, _before(sizes), rows, rows))
+    return dict(zip(wanted, exact_quantiles(list(zip(spreads, wanted.values())))))
+
+
 def exact_quantiles(wanted: list[tuple[Distribution, list[float]]]) -> list[list[float]]:
     """Exact quantiles with linear interpolation between neighbours, in one job.
 

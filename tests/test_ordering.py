@@ -32,6 +32,7 @@ def test_ranks_and_quantiles(spark, monkeypatch, name, broadcast_rows):
     shares = [0.0, 0.01, 0.5, 0.985, 1.0]
     found = ordering.exact_quantiles([(spread, shares)])[0]
     assert found == pytest.approx(np.quantile(data, shares), abs=1e-12)
+    assert ordering.column_quantiles(frame, {"score": shares})["score"] == pytest.approx(found, abs=0)
 
 
 def test_several_columns_share_a_pass(spark):
@@ -46,6 +47,8 @@ def test_nothing_to_rank(spark):
     spread = ordering.distribution(empty, "a")
     assert spread.rows == 0
     assert np.isnan(ordering.exact_quantiles([(spread, [0.5])])[0][0])
+    assert np.isnan(ordering.column_quantiles(empty, {"a": [0.5]})["a"][0])
+    assert ordering.column_quantiles(empty, {}) == {}
 
 
 @pytest.mark.parametrize("cuts", [[], [3.0], [1.0, 2.0, 50.0, 51.0, 99.0]])
