@@ -413,9 +413,12 @@ def fit_density(sample: DataFrame, min_cluster: int = MIN_CLUSTER, neighbours: i
 
 
 def assign_projection(df: DataFrame, directions: np.ndarray, vector: str = "features") -> DataFrame:
-    """Replace the vectors by their principal components; plain column arithmetic."""
-    terms = [
-        sum((F.col(vector)[i] * F.lit(float(weight)) for i, weight in enumerate(column)), F.lit(0.0))
-        for column in directions.T
-    ]
-    return df.withColumn(vector, F.array(*terms))
+    """Replace the vectors by their principal components."""
+
+    @F.arrow_udf("array<double>")
+    def project(vectors: pa.Array) -> pa.Array:
+        reduced = list_matrix(vectors) @ directions
+        ends = np.arange(len(reduced) + 1, dtype=np.int32) * reduced.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(reduced.ravel()))
+
+    return df.withColumn(vector, project(F.col(vector)))
