@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 `BENCH_SF_DIR` names the data folder, `BENCH_CPUS` the cores, `BENCH_RUNS` the
-timed runs after one warm-up; the median counts.
+timed runs after one warm-up (one by default); the median counts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from siftlog.sources import jsonl, profile
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 
 def write_nowhere(df) -> None:
