@@ -88,3 +88,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce("_shorter.text", F.col("_row.text"))
     values = [(text if name == "text" else F.col("_row")[name]).alias(name) for name in docs.columns]
     return out.select(*values, lines.alias("_lines"))
+
+
+def with_char_counts(docs: DataFrame) -> DataFrame:
+    """`docs` with `n_chars`, if there is such a column, as the length of the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
