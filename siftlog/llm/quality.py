@@ -22,7 +22,7 @@ BUCKETS = 1 << 14
 # Trusted rows that are used, expected; chosen by the hash of their id.
 TRUSTED_ROWS = 50_000
 # A document stays from this mean log ratio on.
-LEAST_RATIO = -0.6
+LEAST_RATIO = -0.12
 # Weight of the corpus in the trusted distribution, in n-grams for each bucket.
 PRIOR = 1.0
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
