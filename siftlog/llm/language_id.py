@@ -49,9 +49,9 @@ def letters() -> np.ndarray:
     return _tables[0]
 
 
-def pieces(text: str) -> Iterator[np.ndarray]:
-    """Codes of the letters of a text, each run of other characters as one space; neighbours share LONGEST - 1 codes."""
-    rest = np.array([32], dtype=np.uint32)
+def pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Codes of the letters of a text, each run of other characters as one space, and how many the piece before had too."""
+    rest, shared = np.array([32], dtype=np.uint32), 0
     for first in range(0, len(text), PIECE):
         codes = letters()[np.frombuffer(text[first : first + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)]
         codes = np.concatenate((rest, codes))
@@ -59,17 +59,19 @@ def pieces(text: str) -> Iterator[np.ndarray]:
         gap[0] = False
         gap[1:] &= codes[:-1] == 32
         codes = codes[~gap]
-        yield codes
+        yield codes, shared
         rest = codes[-(LONGEST - 1) :]
+        shared = len(rest)
 
 
-def gram_buckets(codes: np.ndarray) -> np.ndarray:
-    """Buckets of the n-grams of 1 to LONGEST characters; single spaces are left out."""
+def gram_buckets(codes: np.ndarray, shared: int = 0) -> np.ndarray:
+    """Buckets of the n-grams of 1 to LONGEST characters that end after the shared ones; single spaces are left out."""
     wide = codes.astype(np.uint64)
-    found, grams = [mix(wide[wide != 32] + np.uint64(1 << 60)) & np.uint64(BUCKETS - 1)], wide
+    single = wide[shared:]
+    found, grams = [mix(single[single != 32] + np.uint64(1 << 60)) & np.uint64(BUCKETS - 1)], wide
     for n in range(2, LONGEST + 1):
         grams = (grams[:-1] << np.uint64(21)) | wide[n - 1 :]
-        found.append(mix(grams + np.uint64(n << 60)) & np.uint64(BUCKETS - 1))
+        found.append(mix(grams[max(shared - n + 1, 0) :] + np.uint64(n << 60)) & np.uint64(BUCKETS - 1))
     return np.concatenate(found).astype(np.int64)
 
 
@@ -106,8 +108,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
         for batch in batches:
             for place, text in zip(batch.column("place").to_pylist(), batch.column("text")):
                 own = counts.setdefault(place, np.zeros(BUCKETS, dtype=np.int64))
-                for codes in pieces(text.as_py()):
-                    own += np.bincount(gram_buckets(codes), minlength=BUCKETS)
+                for codes, shared in pieces(text.as_py()):
+                    own += np.bincount(gram_buckets(codes, shared), minlength=BUCKETS)
         for place, own in counts.items():
             seen = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([long_array(np.full(len(seen), place)), long_array(seen), long_array(own[seen])], ["place", "bucket", "n"])
@@ -139,9 +141,9 @@ def text_scores(texts: list[str | None], model: Model) -> tuple[list[str], np.nd
 
     size = 0
     for i, text in enumerate(texts):
-        for codes in pieces(text or ""):
+        for codes, shared in pieces(text or ""):
             has_letter[i] |= bool((codes != 32).any())
-            buckets = gram_buckets(codes)
+            buckets = gram_buckets(codes, shared)
             for first in range(0, len(buckets), most):
                 held.append(buckets[first : first + most])
                 owners.append(i)
