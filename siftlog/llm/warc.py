@@ -30,8 +30,8 @@ ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
-# Bytes of payloads that one archive holds, expected.
-ARCHIVE_BYTES = 32 << 20
+# An archive is closed from this many bytes on.
+ARCHIVE_BYTES = 8 << 20
 CAPTURED = "20000101000000"
 CRLF = "\r\n"
 PAGE_HEADER = "X-Page-Id"
@@ -55,33 +55,36 @@ def _version_block(version: int, name: str) -> bytes:
 
 
 def write_arc(pages: DataFrame) -> str:
-    """Write `pages` (page_id, url, html) as gzipped ARC files, of both versions, and return their folder."""
-    spark = pages.sparkSession
-    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.lit(512)
-    total = pages.agg(F.sum(size)).first()[0] or 0
-    files = max(1, -(-total // ARCHIVE_BYTES))
+    """Write `pages` (page_id, url, html) as gzipped ARC files, of both versions, and return their folder.
+
+    Each task writes what it reads, without a shuffle. A row of the output is a
+    whole archive of about ARCHIVE_BYTES and a file of its own.
+    """
     narrow = pages.select("page_id", "url", "html")
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        version, name = 1 + part % 2, f"pages-{part:05d}.arc"
-        begun = False
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            out = [] if begun else [_version_block(version, name)]
-            begun = True
             for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                version, name = 1 + (part + number) % 2, f"pages-{part:05d}-{number:05d}.arc"
+                if not held:
+                    held.append(_version_block(version, name))
                 payload = (html or "").encode()
                 own = "" if page is None else f"{PAGE_HEADER}: {page}{CRLF}"
                 http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(payload)}{CRLF}{own}{CRLF}".encode()
-                facts = {"URL": _url_field(url), "IP-address": "0.0.0.0", "Archive-date": CAPTURED, "Content-type": "text/html", "Result-code": "200", "Offset": "0", "Filename": name, "Archive-length": str(len(http) + len(payload))}
+                facts = {"URL": _url_field(url), "IP-address": "0.0.0.0", "Archive-date": CAPTURED, "Content-type": "text/html", "Result-code": "200", "Offset": str(size), "Filename": name, "Archive-length": str(len(http) + len(payload))}
                 line = " ".join(facts.get(field, "-") for field in ARC_FIELDS[version])
-                out.append(line.encode() + b"\n" + http + payload)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    path = stage_path(spark, "arc")
-    dealt = narrow.repartition(files, F.xxhash64("page_id", "url", "html"))
-    lines = dealt.mapInArrow(records, "record binary").select(F.col("record").cast("string"))
-    lines.write.option("compression", "gzip").text(path)
+                held.append(line.encode() + b"\n" + http + payload)
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], ["archive"])
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], ["archive"])
+
+    path = stage_path(pages.sparkSession, "arc")
+    rows = narrow.mapInArrow(archives, "archive binary").select(F.col("archive").cast("string"))
+    rows.write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -132,6 +135,14 @@ def warc_date(stamp: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _plain(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """HTTP headers with the empty line, and the payload."""
     at = block.find(b"\r\n\r\n")
@@ -151,10 +162,12 @@ def _plain(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
-_CONVERTED = {
-    "record_id": pa.string(), "kind": pa.string(), "uri": pa.string(), "date": pa.string(), "ip": pa.string(), "mime": pa.string(),
-    "http": pa.binary(), "payload": pa.binary(), "payload_digest": pa.string(), "block_digest": pa.string(), "page_id": pa.int64(),
+_FACTS = {
+    "archive": pa.string(), "offset": pa.int64(), "record_id": pa.string(), "kind": pa.string(), "uri": pa.string(), "date": pa.string(), "ip": pa.string(), "mime": pa.string(),
+    "payload_digest": pa.string(), "block_digest": pa.string(), "page_id": pa.int64(), "payload_bytes": pa.int64(),
 }
+_BYTES = {"http": pa.binary(), "payload": pa.binary()}
+_LINKS = {"revisits": pa.string(), "refers_to": pa.int64()}
 _KINDS = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long"}
 
 
@@ -167,8 +180,21 @@ def _ddl(kinds: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{name} {_KINDS[kind]}" for name, kind in kinds.items())
 
 
+def _converted(archive: str, data: bytes) -> Iterator[tuple[tuple, tuple[bytes, bytes]]]:
+    """The facts of each record in the form of WARC, and its HTTP headers and payload."""
+    for record in parse_arc(_plain(data)):
+        http, payload = split_http(record.body)
+        block_digest = sha1_base32(record.body)
+        made = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{record.offset}:{block_digest}")
+        uri = record.fields["URL"]
+        kind = "warcinfo" if uri.startswith("filedesc://") else "response" if http else "resource"
+        page = _header(http, PAGE_HEADER)
+        when, ip, mime = warc_date(record.fields["Archive-date"]), record.fields["IP-address"], record.fields["Content-type"]
+        yield (archive, record.offset, f"<urn:uuid:{made}>", kind, uri, when, ip, mime, sha1_base32(payload), block_digest, int(page) if page else None, len(payload)), (http, payload)
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files in the form of WARC: identifier, type, time, digests, headers and payload.
+    """The records of ARC files in the form of WARC: place, identifier, type, time and digests.
 
     The identifier is derived from archive, place and content, so that a task that
     runs again gives the same one. Version blocks become `warcinfo`, HTTP messages
@@ -178,37 +204,49 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content")):
-                rows, held = [], 0
-                for record in parse_arc(_plain(content.as_py())):
-                    http, payload = split_http(record.body)
-                    block_digest = sha1_base32(record.body)
-                    made = uuid.uuid5(uuid.NAMESPACE_URL, f"{name.as_py()}#{record.offset}:{block_digest}")
-                    uri = record.fields["URL"]
-                    kind = "warcinfo" if uri.startswith("filedesc://") else "response" if http else "resource"
-                    page = _header(http, PAGE_HEADER)
-                    rows.append((f"<urn:uuid:{made}>", kind, uri, warc_date(record.fields["Archive-date"]), record.fields["IP-address"], record.fields["Content-type"], http, payload, sha1_base32(payload), block_digest, int(page) if page else None))
-                    held += len(record.body)
-                    if held > 4 << 20:
-                        yield _batch(rows, _CONVERTED)
-                        rows, held = [], 0
-                yield _batch(rows, _CONVERTED)
+                yield _batch([facts for facts, _ in _converted(name.as_py(), content.as_py())], _FACTS)
 
-    return _files(spark, path).mapInArrow(convert, _ddl(_CONVERTED))
+    return _files(spark, path).mapInArrow(convert, _ddl(_FACTS))
 
 
-def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Add `revisits` and `refers_to`: identifier and page of the record that has the same payload, for all but the first.
+def revisits_of(records: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """`archive`, `offset`, `revisits` and `refers_to` of every response whose payload an earlier one has.
 
     The first is the one with the smallest page_id, null last; rows that share it
     are all first. Payloads under `least_bytes` are left as they are.
     """
-    pages = records.filter("kind = 'response'")
+    pages = records.filter((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes))
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id")
-    firsts = pages.filter(F.octet_length("payload") >= least_bytes).groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1").select(F.col("payload_digest").alias("_digest"), "first")
-    joined = records.join(firsts, (F.col("payload_digest") == F.col("_digest")) & (F.col("kind") == "response"), "left")
-    later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return joined.select(*records.columns, F.when(later, F.col("first.record_id")).alias("revisits"), F.when(later, F.col("first.page_id")).alias("refers_to"))
+    firsts = pages.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    joined = pages.join(firsts.select("payload_digest", "first"), "payload_digest")
+    later = joined.filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    return later.select("archive", "offset", F.col("first.record_id").alias("revisits"), F.col("first.page_id").alias("refers_to"))
+
+
+def with_revisits(spark: SparkSession, path: str, revisits: DataFrame) -> DataFrame:
+    """The records of ARC files with headers and payload, and what they revisit.
+
+    The revisits of an archive go to it as one list, no longer than the archive, so
+    that archives move compressed, if at all.
+    """
+    lists = revisits.groupBy("archive").agg(F.collect_list(F.struct("offset", "revisits", "refers_to")).alias("links"))
+    kinds = {**_FACTS, **_BYTES, **_LINKS}
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (name, content) in enumerate(zip(batch.column("path"), batch.column("content"))):
+                links = {link["offset"]: (link["revisits"], link["refers_to"]) for link in batch.column("links")[i].as_py() or []}
+                rows, held = [], 0
+                for facts, body in _converted(name.as_py(), content.as_py()):
+                    rows.append((*facts, *body, *links.get(facts[1], (None, None))))
+                    held += len(body[1])
+                    if held > 4 << 20:
+                        yield _batch(rows, kinds)
+                        rows, held = [], 0
+                yield _batch(rows, kinds)
+
+    joined = _files(spark, path).join(lists, F.col("path") == F.col("archive"), "left").select("path", "content", "links")
+    return joined.mapInArrow(convert, _ddl(kinds))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -295,5 +333,6 @@ def convert_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     empty table gives no archive and no rows.
     """
     spark = ready(pages.sparkSession)
-    records = stage(read_arc(spark, write_arc(pages)), "records")
-    return read_warc(spark, write_warc(with_revisits(records, least_bytes)))
+    path = write_arc(pages)
+    records = stage(read_arc(spark, path).select("archive", "offset", "kind", "record_id", "page_id", "payload_digest", "payload_bytes"), "records")
+    return read_warc(spark, write_warc(with_revisits(spark, path, revisits_of(records, least_bytes))))

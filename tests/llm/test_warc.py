@@ -70,7 +70,8 @@ def test_archives_are_plain_warc(spark):
     """The files hold nothing but records; identifiers are unique and revisits point to one."""
     common.ready(spark)
     pages = spark.createDataFrame([(*row, "own", "own") for row in ROWS], PAGES)
-    records = warc.with_revisits(warc.read_arc(spark, warc.write_arc(pages)))
+    path = warc.write_arc(pages)
+    records = warc.with_revisits(spark, path, warc.revisits_of(warc.read_arc(spark, path)))
     folder = Path(warc.write_warc(records).removeprefix("file://"))
     found = [record for path in folder.glob("part-*") for record in warc.parse_warc(gzip.decompress(path.read_bytes()))]
     headers = [head for head, _ in found]
