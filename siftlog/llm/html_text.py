@@ -9,7 +9,9 @@ wrappers of a host are aligned with each other in groups, level by level.
 
 The wrapper of its host tells where a page has its article; menus, notices and
 the like are left out by their elements and class names, and, where the page has
-no element for the article, what all pages of the host say alike.
+no element for the article, the texts that the wrapper has as fixed. A text in a
+repeated group is never fixed, and nothing inside an article element is left out
+for being alike on all pages.
 """
 
 from __future__ import annotations
