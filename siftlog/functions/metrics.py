@@ -132,7 +132,7 @@ def numeric_leaves(df: DataFrame, limit: int = 8, column: str = METRICS_COLUMN)
     """The first `limit` numeric leaves, in the order in which the records bring them.
 
     A leaf is numeric if all its values are; a boolean one also needs a value in
-    every row. Order only matters beyond the limit, so it costs a pass only then.
+    every row. The order is the same for any number of leaves.
     """
     candidates = [leaf for leaf in discover_leaves(df, column) if leaf.is_numeric or leaf.is_boolean]
     booleans = [leaf for leaf in candidates if leaf.is_boolean]
@@ -141,6 +141,4 @@ def numeric_leaves(df: DataFrame, limit: int = 8, column: str = METRICS_COLUMN)
         gaps = df.agg(*[F.count_if(leaf.value(metrics).isNull()) for leaf in booleans]).first()
         partial = {leaf for leaf, count in zip(booleans, gaps) if count > 0}
         candidates = [leaf for leaf in candidates if leaf not in partial]
-    if len(candidates) <= limit:
-        return candidates
-    return _first_seen(df, candidates, column)[:limit]
+    return _first_seen(df, candidates, column)[:limit] if candidates else []

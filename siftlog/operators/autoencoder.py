@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.operators.matrix import SEED
+from siftlog.operators.matrix import SEED, vector_width
 
 # Training settings.
 EPOCHS = 8
@@ -122,7 +122,7 @@ def fit_autoencoder(sample: DataFrame, epochs: int = EPOCHS, seed: int = SEED, s
     Rows belong to a shard by hash. Shards take steps of `BATCH / shards` rows,
     so an epoch has as many steps as one process with full batches would take.
     """
-    width = len(sample.select("features").first()[0])
+    width = vector_width(sample)
     sizes = layer_sizes(width)
     weights = _initial(sizes, seed)
     state = State(weights, np.zeros_like(weights), np.zeros_like(weights))

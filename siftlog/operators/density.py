@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.operators.matrix import SEED, sample_rows
+from siftlog.operators.matrix import SEED, sample_rows, vector_width
 from siftlog.session import stage
 
 # Clustering settings and sample bounds.
@@ -271,9 +271,8 @@ def _chosen(above: list[int], mass: list[float]) -> np.ndarray:
 
 
 def centroids(members: DataFrame, vector: str = "features", label: str = "label") -> DataFrame:
-    """Mean vector per label; one aggregation, combined before the shuffle."""
-    first = members.select(F.size(vector)).first()
-    means = [F.avg(F.col(vector)[i].cast("double")) for i in range(first[0] if first else 0)]
+    """Mean vector per label; one aggregation, combined before the shuffle. All vectors must have one length."""
+    means = [F.avg(F.col(vector)[i].cast("double")) for i in range(vector_width(members, vector))]
     return members.filter(F.col(label) >= 0).groupBy(label).agg(F.array(*means).alias("centroid"))
 
 
@@ -390,8 +389,10 @@ def cluster_sample(sample: DataFrame, min_cluster: int = MIN_CLUSTER, neighbours
     spark = sample.sparkSession
     points, table = _collect_points(sample.orderBy("event_id"), "features", "event_id")
     labels = label_points(spanning_tree(spark, points, neighbours), len(points), min_cluster)
-    result = table.assign(features=list(points), label=labels)
-    return spark.createDataFrame(result, "event_id string, features array<double>, label long")
+    # Ids and labels only; the vectors stay where they are. An id that rows share has one label.
+    found = dict(zip(table["event_id"].tolist(), map(int, labels)))
+    known = spark.createDataFrame(list(found.items()), "_id string, label long")
+    return sample.join(known, F.col("event_id").eqNullSafe(F.col("_id"))).select("event_id", "features", "label")
 
 
 def fit_density(sample: DataFrame, min_cluster: int = MIN_CLUSTER, neighbours: int = MIN_SAMPLES) -> DensityModel:

@@ -71,7 +71,8 @@ def rows_in_span(logs: DataFrame, incidents: DataFrame) -> DataFrame:
     )
     timed = logs.select("event_id", *EVIDENCE_COLUMNS, "severity_score", _minute(F.col(TIME)).alias("_minute"))
     inside = F.col(TIME).between(F.col("start_time"), F.col("end_time"))
-    return timed.join(spans, "_minute").filter(inside).drop("_minute", "start_time", "end_time")
+    # The minutes of all incidents together have no bound, so they are never broadcast.
+    return timed.join(spans.hint("merge"), "_minute").filter(inside).drop("_minute", "start_time", "end_time")
 
 
 def evidence(logs: DataFrame, incidents: DataFrame, limit: int = EVIDENCE_ROWS) -> DataFrame:

@@ -28,9 +28,9 @@ class FeatureChoice:
     leaves: tuple[Leaf, ...]
 
 
-def choose_features(logs: DataFrame) -> FeatureChoice:
-    """The base features and the first numeric metrics."""
-    leaves = tuple(numeric_leaves(logs, METRIC_FEATURES))
+def choose_features(logs: DataFrame, metric_features: int = METRIC_FEATURES) -> FeatureChoice:
+    """The base features and the first `metric_features` numeric metrics, in the order in which records bring them."""
+    leaves = tuple(numeric_leaves(logs, metric_features))
     return FeatureChoice(BASE_FEATURES + tuple(leaf.column for leaf in leaves), leaves)
 
 
@@ -48,6 +48,14 @@ def feature_columns(df: DataFrame) -> list[str]:
     return names
 
 
+def vector_width(df: DataFrame, vector: str = "features") -> int:
+    """The one length of all vectors; 0 without any."""
+    least, most = df.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} values")
+    return most or 0
+
+
 def column(name: str) -> Column:
     return F.col(f"`{name}`")
 

@@ -15,7 +15,7 @@ from siftlog.operators.autoencoder import fit_autoencoder
 from siftlog.operators.features import BASE_FEATURES, add_base_features
 from siftlog.plans import detection, event_logs, reports
 from siftlog.plans.event_logs import event_logs as logs_of
-from siftlog.plans.event_logs import kept, severity_signals, simple_incidents, simple_scored, table
+from siftlog.plans.event_logs import kept, severity_signals, simple_incidents, simple_scored, table, version
 from siftlog.session import stage_path
 from siftlog.sources import jsonl, profile
 
@@ -307,12 +307,12 @@ def fitting_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "sample", build)
 
 
-_detections: dict[tuple[str, str], detection.Detection] = {}
+_detections: dict[tuple, detection.Detection] = {}
 
 
 def detected(spark: SparkSession, sf_dir: str) -> detection.Detection:
     """All three detectors, fitted and applied to all records; once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir))
     if key not in _detections:
         _detections[key] = detection.detect(logs_of(spark, sf_dir).drop("value"))
     return _detections[key]

@@ -55,12 +55,19 @@ def simple_scores(logs: DataFrame) -> DataFrame:
     return scored.withColumn(ROW, F.monotonically_increasing_id())
 
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_tables: dict[tuple, DataFrame] = {}
+
+
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Place, size and time of the files of `events`, so that nothing is kept when they change."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((str(file.getPath()), file.getLen(), file.getModificationTime()) for file in [files.getFileStatus(path), *files.listStatus(path)]))
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A stage table, built once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A stage table, built once per application and state of the data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, version(spark, sf_dir))
     if key not in _tables:
         _tables[key] = stage(build(), name)
     return _tables[key]

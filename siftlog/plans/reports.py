@@ -99,9 +99,10 @@ def hourly_activity(view: DataFrame) -> DataFrame:
     """Logs and anomalies of every hour from the first to the last; 0 where there are none."""
     timed = view.filter(F.col("normalized_timestamp").isNotNull())
     counts = _activity(timed, F.date_trunc("hour", "normalized_timestamp").alias("hour_start"))
-    hours = counts.agg(F.min("hour_start").alias("first"), F.max("hour_start").alias("last")).select(
-        F.explode(F.expr("sequence(first, last, interval 1 hour)")).alias("hour_start")
-    )
+    # One number per hour, dealt over the cluster: a stray time far off makes many hours.
+    first, last = counts.agg(F.unix_timestamp(F.min("hour_start")), F.unix_timestamp(F.max("hour_start"))).first()
+    numbers = view.sparkSession.range(first, last + 1, 3600) if first is not None else view.sparkSession.range(0)
+    hours = numbers.select(F.timestamp_seconds("id").alias("hour_start"))
     filled = hours.join(counts, "hour_start", "left")
     return filled.select(
         "hour_start", F.coalesce("logs", F.lit(0)).alias("logs"), F.coalesce("anomalies", F.lit(0)).alias("anomalies")
@@ -118,9 +119,9 @@ def record_page(view: DataFrame, limit: int = 200) -> DataFrame:
     return in_time_order(view).limit(limit).select(*PAGE_COLUMNS)
 
 
-def log_page(scored: DataFrame, limit: int = 100) -> DataFrame:
-    """The first records by time, at least 1 and at most 1,000, with times as text."""
-    return export_records(record_page(scored, min(max(int(limit), 1), 1000)))
+def log_page(scored: DataFrame, limit: int = 100, max_rows: int = 1000) -> DataFrame:
+    """The first records by time, at least 1 and at most `max_rows`, with times as text."""
+    return export_records(record_page(scored, min(max(int(limit), 1), max_rows)))
 
 
 def model_counts(scored: DataFrame) -> DataFrame:
