@@ -45,9 +45,9 @@ def test_edges(spark):
 
 def test_many_groups_and_levels(spark, monkeypatch):
     """Small groups, so that the tree has several levels; reruns agree."""
-    monkeypatch.setattr(mixing, "GROUP", 4)
+    monkeypatch.setattr(mixing, "GROUP", 6)
     draw = random.Random(5)
-    rows = [(i, " ".join(["w"] * int(draw.lognormvariate(3, 1.2))), "en", draw.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(600)]
+    rows = [(i, " ".join(["w"] * int(draw.lognormvariate(3, 1.2))), "en", draw.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(250)]
     first = check(spark, rows)
     assert first == check(spark, rows[::-1])
 
