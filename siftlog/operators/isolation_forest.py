@@ -6,12 +6,11 @@ Liu, Ting, Zhou: Isolation Forest, ICDM 2008.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlog.operators.matrix import SEED
@@ -97,18 +96,16 @@ def grow_trees(sample: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS
     needs no more than those.
     """
     limit = math.ceil(math.log2(max(tree_rows, 2)))
-    spark = sample.sparkSession
-    rows = sample.count()
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng([seed, tree])
-                yield pd.DataFrame({"tree": tree, "place": rng.choice(rows, min(tree_rows, rows), replace=False)})
-
-    # The sample is bounded, so one task can number its rows.
-    numbered = sample.select("features", (F.row_number().over(Window.orderBy("event_id")) - 1).alias("place"))
-    drawn = spark.range(trees).mapInPandas(draw, "tree int, place int").join(numbered, "place")
+    # Twice the rows that a tree needs, expected, by a hash of tree and id; of them the tree takes the smallest.
+    cut = int(min(1.0, 2 * tree_rows / max(sample.count(), 1)) * (1 << 32))
+
+    def draw(tree: Column) -> Column:
+        return F.pmod(F.xxhash64("event_id", tree, F.lit(seed)), F.lit(1 << 32))
+
+    drawing = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < cut)
+    dealt = sample.select("event_id", "features", F.explode(drawing).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "event_id", "features")
+    drawn = dealt.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= tree_rows)
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         values = np.stack(rows.sort_values("place")["features"].to_numpy())
