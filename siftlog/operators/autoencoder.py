@@ -22,9 +22,14 @@ LEARNING_RATE = 1e-3
 WEIGHT_DECAY = 1e-5
 MOMENTS = (0.9, 0.999)
 EPSILON = 1e-8
-SHARDS = 4
 
-STATE_SCHEMA = "shard int, rows long, steps long, loss double, weights array<double>, first array<double>, second array<double>"
+# Fewest shards, the most rows of one (about 2 MB of numbers), and the rows of a step in it.
+SHARDS = 4
+SHARD_ROWS = 16_384
+STEP_ROWS = BATCH // SHARDS
+# Parts of the state are summed as decimals: the sum is the same in any order.
+PART = "decimal(38,20)"
+STATE_SCHEMA = "rows long, steps long, loss double, state array<double>"
 
 
 def layer_sizes(features: int) -> list[int]:
@@ -116,13 +121,29 @@ class Autoencoder:
         return ((_forward(values, _unpack(self.weights, self.sizes))[-1] - values) ** 2).mean(axis=1)
 
 
-def fit_autoencoder(sample: DataFrame, epochs: int = EPOCHS, seed: int = SEED, shards: int = SHARDS) -> Autoencoder:
+def _mean_state(parts: DataFrame) -> tuple[float, int, np.ndarray]:
+    """Loss, steps and the mean of the states, weighted by rows; one row per number of a state, whatever the shards."""
+    weighted = F.transform(F.concat(F.array("loss"), F.col("state")), lambda value: value * F.col("rows"))
+    each = parts.select("rows", "steps", F.posexplode(weighted).alias("place", "part"))
+    summed = each.groupBy("place").agg(
+        F.sum(F.col("part").cast(PART)).cast("double").alias("total"), F.sum("rows").alias("rows"), F.max("steps").alias("steps")
+    )
+    found = summed.orderBy("place").collect()
+    means = np.array([row["total"] / row["rows"] for row in found])
+    return float(means[0]), found[0]["steps"], means[1:]
+
+
+def fit_autoencoder(
+    sample: DataFrame, epochs: int = EPOCHS, seed: int = SEED, shards: int = SHARDS, shard_rows: int = SHARD_ROWS
+) -> Autoencoder:
     """Train on `event_id` and `features`; the result does not depend on the input's layout.
 
-    Rows belong to a shard by hash. Shards take steps of `BATCH / shards` rows,
-    so an epoch has as many steps as one process with full batches would take.
+    Rows belong to a shard by hash. There are at least `shards` of them, and
+    more once they would pass `shard_rows` rows on average, so a task holds
+    about as many rows whatever the input. Their states are averaged in Spark.
     """
-    width = vector_width(sample)
+    width, rows = vector_width(sample), sample.count()
+    shards = max(shards, -(-rows // shard_rows))
     sizes = layer_sizes(width)
     weights = _initial(sizes, seed)
     state = State(weights, np.zeros_like(weights), np.zeros_like(weights))
@@ -136,25 +157,11 @@ def fit_autoencoder(sample: DataFrame, epochs: int = EPOCHS, seed: int = SEED, s
         def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             values = np.stack(rows.sort_values("event_id")["features"].to_numpy())
             rng = np.random.default_rng([seed, epoch, key[0]])
-            done, loss = _local_epoch(values, start, sizes, BATCH // shards, rng)
-            return pd.DataFrame(
-                {
-                    "shard": [key[0]],
-                    "rows": [len(values)],
-                    "steps": [done.steps],
-                    "loss": [loss],
-                    "weights": [done.weights],
-                    "first": [done.first],
-                    "second": [done.second],
-                }
-            )
-
-        # One row of a few thousand numbers per shard.
-        parts = sharded.groupBy("shard").applyInPandas(train, STATE_SCHEMA).toPandas().sort_values("shard")
-        share = parts["rows"].to_numpy() / parts["rows"].sum()
-        state = State(
-            *[share @ np.stack(parts[name].to_numpy()) for name in ("weights", "first", "second")],
-            steps=int(parts["steps"].max()),
-        )
-        losses.append(float(share @ parts["loss"].to_numpy()))
+            done, loss = _local_epoch(values, start, sizes, STEP_ROWS, rng)
+            numbers = np.concatenate([done.weights, done.first, done.second])
+            return pd.DataFrame({"rows": [len(values)], "steps": [done.steps], "loss": [loss], "state": [numbers]})
+
+        loss, steps, numbers = _mean_state(sharded.groupBy("shard").applyInPandas(train, STATE_SCHEMA))
+        state = State(*np.split(numbers, 3), steps=steps)
+        losses.append(loss)
     return Autoencoder(sizes, state.weights, losses)

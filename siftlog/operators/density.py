@@ -326,6 +326,21 @@ def assign_nearest(df: DataFrame, centres: Centroids, vector: str = "features")
     return found.withColumns({"distance": F.col("_nearest.distance"), "nearest_label": F.col("_nearest.nearest_label")}).drop("_nearest")
 
 
+def add_distance(df: DataFrame, model: DensityModel, out: str, vector: str = "features") -> DataFrame:
+    """Add the distance to the nearest centroid of a fit, in its reduced space; 1 for all rows without a cluster."""
+
+    @F.arrow_udf("double")
+    def distance(vectors: pa.Array) -> pa.Array:
+        return pa.array(model_distance(directions, centres, clusters, list_matrix(vectors)))
+
+    directions, centres, clusters = model.directions, model.centres, model.clusters
+    return df.withColumn(out, distance(F.col(vector)))
+
+
+def model_distance(directions: np.ndarray, centres: Centroids, clusters: int, values: np.ndarray) -> np.ndarray:
+    return centres.nearest(values @ directions)[0] if clusters else np.ones(len(values))
+
+
 def silhouette_rows(
     members: DataFrame, key: str, vector: str = "features", label: str = "label", size: int = SILHOUETTE_ROWS, seed: int = SEED
 ) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siftlog.functions.text import quoted, time_text
 
 TIME = "normalized_timestamp"
+
+# Records of evidence per incident, values listed per figure, and the columns shown.
 EVIDENCE_ROWS = 40
 TOP_VALUES = 5
 EVIDENCE_COLUMNS = ("normalized_timestamp", "component", "parsed_message_type", "message", "severity", "is_anomaly")

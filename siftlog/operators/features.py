@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlog.functions import text
 from siftlog.functions.metrics import Leaf, discover_leaves, flatten_metrics, has_metric, metrics_text
 
+# The features that every record has, in their order.
 BASE_FEATURES = ("message_length", "word_count", "severity_score", "hour", "minute", "second")
 
 

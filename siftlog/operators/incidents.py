@@ -103,12 +103,12 @@ def assign_sessions(signals: DataFrame, gap_minutes: float = GAP_MINUTES) -> Dat
 
 
 def _by_component(signals: DataFrame, gap_minutes: float) -> DataFrame:
-    """One row per session and component, ranked by frequency, then first occurrence, then name."""
+    """One row per session and component."""
     # Several jobs read the moments, so the records behind them are read once.
     moments = stage(_moments(signals), "moments")
     numbered = sessions(_instants(moments), gap_minutes).withColumnRenamed(TIME, "_time")
     position = F.struct(F.col(TIME).isNull(), F.col(TIME), F.col("first_id"))
-    grouped = (
+    return (
         moments.join(numbered, F.col(TIME).eqNullSafe(F.col("_time")))
         .groupBy("session", "component")
         .agg(
@@ -120,25 +120,29 @@ def _by_component(signals: DataFrame, gap_minutes: float) -> DataFrame:
             F.min(position).alias("first_seen"),
         )
     )
+
+
+def _listed(parts: DataFrame, components: int) -> DataFrame:
+    """Per session, the components that come first by frequency, then first occurrence, then name.
+
+    The limit applies before the shuffle too, so a session of very many components stays small.
+    """
     frequency = Window.partitionBy("session").orderBy(F.desc("events"), "first_seen", "component")
-    return grouped.withColumn("place", F.row_number().over(frequency))
+    best = parts.withColumn("place", F.row_number().over(frequency)).filter(F.col("place") <= components)
+    return best.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("place", "component"))).alias("listed"))
 
 
-def build_incidents(scored: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
-    """One row per incident, in no order; see `in_list_order`."""
-    listed = F.when(F.col("place") <= LISTED_COMPONENTS, F.struct("place", "component"))
-    grouped = (
-        _by_component(signals_of(scored), gap_minutes)
-        .groupBy("session")
-        .agg(
-            F.min("start_time").alias("start_time"),
-            F.max("end_time").alias("end_time"),
-            F.sum("events").alias("event_count"),
-            F.max("severity_score").alias("severity_score"),
-            F.sum("anomalies").alias("anomaly_count"),
-            F.array_sort(F.collect_list(listed)).alias("listed"),
-        )
+def build_incidents(scored: DataFrame, gap_minutes: float = GAP_MINUTES, components: int = LISTED_COMPONENTS) -> DataFrame:
+    """One row per incident with up to `components` of its components, in no order; see `in_list_order`."""
+    parts = stage(_by_component(signals_of(scored), gap_minutes), "session-components")
+    totals = parts.groupBy("session").agg(
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.sum("events").alias("event_count"),
+        F.max("severity_score").alias("severity_score"),
+        F.sum("anomalies").alias("anomaly_count"),
     )
+    grouped = totals.join(_listed(parts, components), "session")
     return grouped.select(
         F.format_string(INCIDENT_ID, "session").alias("incident_id"),
         "start_time",

@@ -78,6 +78,8 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number % 17 == 0, "").otherwise(field("message", escaped)),
         F.lit(', "extracted_metrics": '),
         F.col("props"),
+        F.when(number % 3 == 0, F.concat(F.lit(', "host": "h'), (number % 10).cast("string"), F.lit('"'))).otherwise(""),
+        F.when(number % 4 == 0, F.concat(F.lit(', "trace_id": {"span": '), number.cast("string"), F.lit("}"))).otherwise(""),
         F.lit("}"),
     )
     line = (
@@ -101,28 +103,26 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         "message",
         "parsed_message_type",
         "extracted_metrics",
+        F.try_variant_get(F.col(jsonl.OTHERS)["host"], "$", "string").alias("host"),
+        F.to_json(F.col(jsonl.OTHERS)["trace_id"]).alias("trace_id"),
         F.col(jsonl.CORRUPT).alias("bad_line"),
     )
 
 
 @query("s2_nonempty_check")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("events", "documents", "conversations", "pages", "orders")
-    counts = [
-        jsonl.check_not_empty(table(spark, sf_dir, name)).agg(
-            F.lit(name).alias("source"), (F.count("*") == 0).alias("is_empty")
-        )
-        for name in names
-    ]
-    return reduce(DataFrame.union, counts)
+    sources = {name: table(spark, sf_dir, name) for name in ("events", "documents", "conversations", "pages", "orders")}
+    sources["no events"] = sources["events"].filter("event_id < 0")
+    return reduce(DataFrame.union, [jsonl.emptiness(df, name) for name, df in sources.items()])
 
 
 @query("s3_required_columns")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = {"logs": jsonl.logs_from_table(logs_of(spark, sf_dir))}
-    sources |= {name: table(spark, sf_dir, name) for name in ("events", "documents", "conversations")}
-    missing = [(name, ",".join(sorted(jsonl.missing_fields(df.columns))) or None) for name, df in sources.items()]
-    return spark.createDataFrame(missing, "source string, missing string")
+    # The second source holds the records of plain events alone: no record of it has a component.
+    lines = jsonl.read_lines(spark, written_lines(spark, sf_dir))
+    sources = {"all": lines, "no component": lines.filter(~F.col("value").contains('"component": '))}
+    found = [jsonl.field_counts(df).withColumn("source", F.lit(name)) for name, df in sources.items()]
+    return reduce(DataFrame.union, found).withColumn("is_missing", F.col("records") == 0)
 
 
 @query("s4_timestamp_parse")
@@ -293,18 +293,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Detectors -------------------------------------------------------------
 
 
-def fitting_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample two of the detectors share: standardised features of the log records."""
+def fitting_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detectors are fitted on: the standardised features of all log records."""
 
     def build() -> DataFrame:
         logs = logs_of(spark, sf_dir).drop("value")
         choice = matrix.choose_features(logs)
         features = flatten_metrics(add_base_features(logs), list(choice.leaves))
         scaling = matrix.fit_scaling(features, choice.names)
-        points = features.select("event_id", scaling.scaled().alias("features"))
-        return matrix.sample_rows(points, detection.MODEL_SAMPLE, rows=scaling.rows)
+        return features.select("event_id", scaling.scaled().alias("features"))
 
-    return kept(spark, sf_dir, "sample", build)
+    return kept(spark, sf_dir, "points", build)
 
 
 _detections: dict[tuple, detection.Detection] = {}
@@ -324,14 +323,31 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def density_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustered sample, drawn from all records as `detect` draws it."""
+
+    def build() -> DataFrame:
+        sample = matrix.sample_rows(fitting_points(spark, sf_dir), detection.DENSITY_SAMPLE, matrix.SEED + 1)
+        return density.fit_density(sample).members
+
+    return kept(spark, sf_dir, "density-members", build)
+
+
+def score_bounds(scored: DataFrame, inside: Column) -> DataFrame:
+    """Rows, records and scores inside their bounds."""
+    return scored.agg(
+        F.count("*").alias("rows"), F.count_distinct("event_id").alias("records"), F.count_if(inside).alias("inside")
+    )
+
+
 @query("a1_isolation_forest_fit")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return isolation_forest.grow_trees(fitting_sample(spark, sf_dir))
+    return isolation_forest.grow_trees(fitting_points(spark, sf_dir))
 
 
 @query("a1_tree_rows")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = isolation_forest.grow_trees(fitting_sample(spark, sf_dir))
+    nodes = isolation_forest.grow_trees(fitting_points(spark, sf_dir))
     return nodes.groupBy("tree").agg(
         F.max("size").cast("long").alias("root_rows"), F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaf_rows")
     )
@@ -342,17 +358,43 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detected(spark, sf_dir).scored.select("event_id", "isolation_forest_score")
 
 
+@query("a2_score_bounds")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.col("isolation_forest_score")
+    return score_bounds(detected(spark, sf_dir).scored, (score > -0.5) & (score < 0.5))
+
+
 @query("a3_autoencoder_fit")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    losses = fit_autoencoder(fitting_sample(spark, sf_dir)).losses
+    losses = fit_autoencoder(fitting_points(spark, sf_dir)).losses
     return spark.createDataFrame(list(enumerate(losses, 1)), "epoch int, loss double")
 
 
+@query("a3_training")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    losses = fit_autoencoder(fitting_points(spark, sf_dir)).losses
+    return spark.createDataFrame([(len(losses), losses[-1] < losses[0])], "epochs int, improved boolean")
+
+
 @query("a4_autoencoder_score")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detected(spark, sf_dir).scored.select("event_id", "autoencoder_score")
 
 
+@query("a4_score_bounds")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_bounds(detected(spark, sf_dir).scored, F.col("autoencoder_score") >= 0)
+
+
+@query("a5_norms")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # All components only turn the space, so every vector keeps its length.
+    points = vectors(spark, sf_dir)
+    turned = density.assign_projection(points, density.fit_pca(points, matrix.vector_width(points)))
+    squares = F.aggregate("features", F.lit(0.0), lambda total, value: total + value * value)
+    return turned.select("vec_id", F.round(F.sqrt(squares), 6).alias("norm"))
+
+
 @query("a5_pca")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = vectors(spark, sf_dir)
@@ -367,8 +409,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a6_density_clusters")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = matrix.sample_rows(fitting_sample(spark, sf_dir), detection.DENSITY_SAMPLE, matrix.SEED + 1)
-    return density.fit_density(sample).members.select("event_id", "label")
+    return density_members(spark, sf_dir).select("event_id", "label")
+
+
+@query("a6_cluster_sizes")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = density_members(spark, sf_dir).groupBy("label").agg(F.count("*").alias("rows"))
+    clusters = F.col("label") >= 0
+    return sizes.agg(
+        F.sum("rows").alias("rows"),
+        F.coalesce(F.min(F.when(clusters, F.col("rows"))) >= density.MIN_CLUSTER, F.lit(True)).alias("large_enough"),
+        (F.coalesce(F.max(F.when(clusters, F.col("label"))), F.lit(-1)) + 1 == F.count_if(clusters)).alias("consecutive"),
+    )
 
 
 @query("a7_centroids")
@@ -406,8 +458,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a11_no_cluster")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alike = logs_of(spark, sf_dir).select("event_id", F.lit(1.0).alias("hdbscan_score"))
-    return ensemble.flag_outliers(alike, "hdbscan_score", "hdbscan_anomaly")[0]
+    points = vectors(spark, sf_dir).withColumn("event_id", F.col("vec_id").cast("string"))
+    # No 300 of 200 points can form a cluster.
+    model = density.fit_density(matrix.sample_rows(points.select("event_id", "features"), 200), min_cluster=300)
+    scored = density.add_distance(points, model, "hdbscan_score")
+    flagged, _ = ensemble.flag_outliers(scored, "hdbscan_score", "hdbscan_anomaly")
+    return flagged.select("vec_id", "hdbscan_score", "hdbscan_anomaly", F.lit(model.clusters).cast("long").alias("clusters"))
 
 
 def scored_query(name: str, *columns: str | Column) -> None:
@@ -471,6 +527,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(pairs, "name string, value string")
 
 
+@query("a21_flag_counts")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = detected(spark, sf_dir)
+    flags = ("isolation_forest_anomaly", "autoencoder_anomaly", "hdbscan_anomaly", "ensemble_anomaly")
+    counted = result.scored.agg(*[F.count_if(name) for name in flags]).first()
+    reported = [record["anomalies"] for record in detection.evaluation_metrics(result)]
+    return spark.createDataFrame([(sorted(reported) == sorted(counted), len(reported))], "agree boolean, models int")
+
+
+@query("detected_event_counts")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = detected(spark, sf_dir).scored
+    signals = scored.agg(F.count_if("is_signal").alias("signals"))
+    found = incidents.build_incidents(scored).agg(F.sum("event_count").alias("events"))
+    return found.join(signals, F.col("events") == F.col("signals")).select((F.col("events") > 0).alias("every_signal_once"))
+
+
 @query("detected_records")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detected(spark, sf_dir).scored
@@ -596,7 +669,8 @@ report("q2_component_filter", lambda df: reports.filter_records(df, components=[
 report("q3_type_filter", lambda df: reports.filter_records(df, message_types=["error", "click"]).select(*reports.PAGE_COLUMNS))
 report("q4_min_severity", lambda df: reports.filter_records(df, min_severity="Medium").select(*reports.PAGE_COLUMNS))
 report("q6_component_activity", reports.component_activity)
-report("q7_hourly_activity", lambda df: reports.hourly_activity(reports.filter_records(df, components=["unknown"])))
+report("q7_hourly_activity", reports.hourly_activity)
+report("q7_component_hours", lambda df: reports.hourly_activity(reports.filter_records(df, components=["unknown"])))
 report("q8_most_affected", reports.most_affected)
 report("q9_search", lambda df: reports.search_messages(df, "USER 1[0-4]$|timeout").select(*reports.PAGE_COLUMNS))
 report("q10_record_page", reports.record_page)

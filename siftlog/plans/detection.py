@@ -5,13 +5,12 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlog.operators.autoencoder import Autoencoder, fit_autoencoder
-from siftlog.operators.density import DensityModel, fit_density, list_matrix
+from siftlog.operators.density import DensityModel, fit_density, list_matrix, model_distance
 from siftlog.operators.ensemble import DETECTORS, PERCENTILE, combine, density_percentile, evaluation
 from siftlog.operators.features import build_features
 from siftlog.operators.incidents import build_incidents
@@ -20,8 +19,7 @@ from siftlog.operators.matrix import SEED, FeatureChoice, Scaling, choose_featur
 from siftlog.session import stage
 from siftlog.sources.jsonl import load_logs
 
-# Sample sizes and the texts of the model record.
-MODEL_SAMPLE = 30_000
+# The rows that the density clustering works on, and the texts of the model record.
 DENSITY_SAMPLE = 15_000
 PRIMARY_TITLE = "Autoencoder"
 RULE = "2 of 3 models"
@@ -39,6 +37,8 @@ class Detectors:
     forest: Forest
     autoencoder: Autoencoder
     density: DensityModel
+    model_rows: int
+    density_rows: int
 
 
 @dataclass(frozen=True)
@@ -48,18 +48,31 @@ class Detection:
     meta: DataFrame
 
 
-def fit_detectors(features: DataFrame, choice: FeatureChoice, seed: int = SEED) -> Detectors:
-    """Scale over all rows, fit on samples: one for two detectors, another for density."""
+def fit_detectors(
+    features: DataFrame,
+    choice: FeatureChoice,
+    seed: int = SEED,
+    model_sample: int | None = None,
+    density_sample: int = DENSITY_SAMPLE,
+) -> Detectors:
+    """Scale over all rows and fit the detectors; `features` is read several times, so it should be a table.
+
+    Forest and autoencoder are fitted on all rows, or on `model_sample` of them.
+    The density clustering compares all pairs of its rows, so it always works on
+    a sample, of `density_sample` rows.
+    """
     scaling = fit_scaling(features, choice.names)
     points = features.select("event_id", scaling.scaled().alias("features"))
-    shared, dense = draw_samples(points, [(MODEL_SAMPLE, seed), (DENSITY_SAMPLE, seed + 1)], rows=scaling.rows)
-    shared, dense = stage(shared, "sample"), stage(dense, "dense")
+    draws = [(density_sample, seed + 1)] + ([(model_sample, seed)] if model_sample else [])
+    dense, *few = [stage(sample, "sample") for sample in draw_samples(points, draws, rows=scaling.rows)]
+    shared = few[0] if few else stage(points, "points")
     # The fits are many small jobs that leave cores idle; they run side by side.
     with ThreadPoolExecutor(3) as pool:
         forest = pool.submit(fit_forest, shared)
         autoencoder = pool.submit(fit_autoencoder, shared)
         density = pool.submit(fit_density, dense)
-        return Detectors(choice, scaling, forest.result(), autoencoder.result(), density.result())
+        sizes = [min(size or scaling.rows, scaling.rows) for size in (model_sample, density_sample)]
+        return Detectors(choice, scaling, forest.result(), autoencoder.result(), density.result(), *sizes)
 
 
 def scores(models: Detectors, vector: Column) -> Column:
@@ -70,7 +83,7 @@ def scores(models: Detectors, vector: Column) -> Column:
     @F.arrow_udf(SCORE_SCHEMA)
     def score(vectors: pa.Array) -> pa.Array:
         values = list_matrix(vectors)
-        distance = centres.nearest(values @ directions)[0] if clusters else np.ones(len(values))
+        distance = model_distance(directions, centres, clusters, values)
         columns = [forest.scores(values), autoencoder.scores(values), distance]
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], [f"{name}_score" for name in DETECTORS])
 
@@ -85,13 +98,12 @@ def score_rows(features: DataFrame, models: Detectors) -> DataFrame:
 
 def model_record(models: Detectors, thresholds: dict[str, float], spark: SparkSession) -> DataFrame:
     """One row that describes the fit."""
-    rows = models.scaling.rows
     record = (
         PRIMARY_TITLE,
         len(models.choice.names),
         list(models.choice.names),
-        min(MODEL_SAMPLE, rows),
-        min(DENSITY_SAMPLE, rows),
+        models.model_rows,
+        models.density_rows,
         thresholds["isolation_forest"],
         thresholds["autoencoder"],
         models.density.clusters,
@@ -108,11 +120,17 @@ def model_record(models: Detectors, thresholds: dict[str, float], spark: SparkSe
     )
 
 
-def detect(logs: DataFrame, models: Detectors | None = None) -> Detection:
+def detect(
+    logs: DataFrame,
+    models: Detectors | None = None,
+    model_sample: int | None = None,
+    density_sample: int = DENSITY_SAMPLE,
+) -> Detection:
     """Score log records; with `models`, by an earlier fit."""
     choice = models.choice if models else choose_features(logs)
-    features = build_features(logs, list(choice.leaves))
-    fitted = models or fit_detectors(features, choice)
+    # Scaling, fits and scores read the features from a table, so records are parsed once for all of them.
+    features = stage(build_features(logs, list(choice.leaves)), "features")
+    fitted = models or fit_detectors(features, choice, SEED, model_sample, density_sample)
     percentile = density_percentile(fitted.density.noise_rate) if fitted.density.clusters else PERCENTILE
     combined = combine(score_rows(features, fitted), ROW, {"hdbscan": percentile})
     scored = stage(combined.scored.drop(ROW), "scored")

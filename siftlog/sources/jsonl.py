@@ -20,7 +20,7 @@ OPTIONAL_FIELDS = {
     "timestamp": T.StringType(),
     "ingestion_timestamp": T.StringType(),
     "process_id": T.StringType(),
-    # An object arrives as its JSON text, which keeps the order of its keys.
+    # An object arrives as its JSON text, without spaces between tokens and in the order of its keys.
     "extracted_metrics": T.StringType(),
     "source": T.StringType(),
     "line_number": T.LongType(),
@@ -29,10 +29,10 @@ OPTIONAL_FIELDS = {
     "metadata": T.VariantType(),
 }
 CORRUPT = "_corrupt_record"
+# The keys of a record that are none of the above, with their values.
+OTHERS = "other_fields"
 # Text in single quotes is no JSON.
 STRICT = {"allowSingleQuotes": "false"}
-# Lines that usually hold every field already.
-FIRST_LINES = 1_000
 
 
 def record_schema(corrupt: bool = False) -> T.StructType:
@@ -50,33 +50,44 @@ def resolve_source(path: str | None = None) -> str:
     return path or os.environ.get(SOURCE_SETTING) or DEFAULT_SOURCE
 
 
-def scan_jsonl(spark: SparkSession, path: str | None = None, tolerant: bool = False) -> DataFrame:
-    """Read a file, folder or glob of JSON lines; blank lines are skipped.
+def read_lines(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The lines of a file, folder or glob as `value`; blank ones are skipped."""
+    return spark.read.text(resolve_source(path)).filter(F.col("value").rlike(r"\S"))
+
+
+def parse_lines(lines: DataFrame, tolerant: bool = False) -> DataFrame:
+    """One record per line: the known fields, and every other key in the map `other_fields`.
 
     A bad line fails the job. The tolerant form keeps it as text in
-    `_corrupt_record` instead.
+    `_corrupt_record` instead. The map is parsed only where it is used.
     """
-    reader = spark.read.options(mode="PERMISSIVE" if tolerant else "FAILFAST", **STRICT)
+    options = {"mode": "PERMISSIVE" if tolerant else "FAILFAST", **STRICT}
     if tolerant:
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.schema(record_schema(corrupt=tolerant)).json(resolve_source(path))
+        options["columnNameOfCorruptRecord"] = CORRUPT
+    schema = record_schema(corrupt=tolerant)
+    known = [field.name for field in schema.fields]
+    keys = F.from_json("value", "map<string,variant>", {"mode": "PERMISSIVE", **STRICT})
+    others = F.map_filter(keys, lambda key, _: ~key.isin(*known))
+    parsed = lines.select(F.from_json("value", schema, options).alias("_record"), others.alias(OTHERS))
+    return parsed.select("_record.*", OTHERS)
 
 
-def present_fields(spark: SparkSession, path: str | None = None) -> set[str]:
-    """The required keys that occur in at least one record.
+def scan_jsonl(spark: SparkSession, path: str | None = None, tolerant: bool = False) -> DataFrame:
+    """Read and parse a file, folder or glob of JSON lines."""
+    return parse_lines(read_lines(spark, path), tolerant)
 
-    The first lines settle it for most sources; only fields they lack are
-    looked for in the rest.
-    """
-    lines = spark.read.text(resolve_source(path))
-    found: set[str] = set()
-    for part in (lines.limit(FIRST_LINES), lines):
-        keys = part.select(F.explode(F.json_object_keys("value")).alias("key"))
-        wanted = keys.filter(F.col("key").isin(*missing_fields(found)))
-        found |= {row.key for row in wanted.distinct().collect()}
-        if not missing_fields(found):
-            break
-    return found
+
+def field_counts(lines: DataFrame) -> DataFrame:
+    """Per required field, the number of lines whose record has the key, null or not; one aggregation."""
+    keys = F.json_object_keys("value")
+    counts = lines.agg(*[F.count_if(F.array_contains(keys, field)).alias(field) for field in REQUIRED_FIELDS])
+    pairs = [F.struct(F.lit(field).alias("field"), F.col(field).alias("records")) for field in REQUIRED_FIELDS]
+    return counts.select(F.inline(F.array(*pairs)))
+
+
+def present_fields(spark: SparkSession, path: str | None = None) -> set[str]:
+    """The required keys that occur in at least one record."""
+    return {row.field for row in field_counts(read_lines(spark, path)).filter("records > 0").collect()}
 
 
 def missing_fields(names: set[str] | list[str]) -> list[str]:
@@ -84,6 +95,11 @@ def missing_fields(names: set[str] | list[str]) -> list[str]:
     return [field for field in REQUIRED_FIELDS if field not in names]
 
 
+def emptiness(df: DataFrame, source: str) -> DataFrame:
+    """One row: the name of a source and whether it holds no row; reads one row at most."""
+    return df.limit(1).agg(F.lit(source).alias("source"), (F.count("*") == 0).alias("is_empty"))
+
+
 def check_not_empty(df: DataFrame) -> DataFrame:
     if df.isEmpty():
         raise ValueError("the log source holds no records")

@@ -102,6 +102,14 @@ def test_autoencoder_learns_and_is_repeatable(spark, planted):
     assert (again.scores(points) == scores).all()
 
 
+def test_autoencoder_gets_more_shards_with_more_rows(spark, planted):
+    points, frame = planted
+    model = autoencoder.fit_autoencoder(frame, epochs=4, shard_rows=100)
+    assert model.losses[-1] < model.losses[0]
+    again = autoencoder.fit_autoencoder(frame.repartition(5, F.rand(2)), epochs=4, shard_rows=100)
+    assert (again.scores(points) == model.scores(points)).all()
+
+
 def prim(points, core):
     """Total weight of the minimum spanning tree of mutual reachability."""
     distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))

@@ -41,8 +41,14 @@ def test_a_required_key_may_be_absent_from_some_records(spark, lines_file):
     assert found == {"1": "A", "2": "unknown", "3": "unknown"}
 
 
-def test_fields_may_appear_late(spark, lines_file, monkeypatch):
-    monkeypatch.setattr(jsonl, "FIRST_LINES", 2)
+def test_unknown_keys_are_kept(spark, lines_file):
+    path = lines_file(record(host="a", trace_id={"z": 1, "b": [2]}, Component="C"), record(event_id="2"))
+    found = {row[0]: row[1] for row in jsonl.load_logs(spark, path).selectExpr("event_id", "to_json(other_fields)").collect()}
+    assert json.loads(found["1"]) == {"host": "a", "trace_id": {"z": 1, "b": [2]}, "Component": "C"}
+    assert json.loads(found["2"]) == {}
+
+
+def test_fields_may_appear_late(spark, lines_file):
     late = lines_file(*[record(component="absent")] * 5, record())
     assert jsonl.missing_fields(jsonl.present_fields(spark, late)) == []
     never = lines_file(*[record(component="absent")] * 5, name="never.jsonl")
