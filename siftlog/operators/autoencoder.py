@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,14 +154,17 @@ def fit_autoencoder(
     for epoch in range(epochs):
         start = state
 
-        def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            values = np.stack(rows.sort_values("event_id")["features"].to_numpy())
-            rng = np.random.default_rng([seed, epoch, key[0]])
+        def train(key: tuple, rows: pa.Table) -> pa.Table:
+            # Rows of one id go by their values, so that the order is the same in any layout.
+            flat = rows["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+            values = flat.reshape(len(rows), width)
+            values = values[np.lexsort((*values.T[::-1], rows["event_id"].to_numpy().astype(str)))]
+            rng = np.random.default_rng([seed, epoch, key[0].as_py()])
             done, loss = _local_epoch(values, start, sizes, STEP_ROWS, rng)
             numbers = np.concatenate([done.weights, done.first, done.second])
-            return pd.DataFrame({"rows": [len(values)], "steps": [done.steps], "loss": [loss], "state": [numbers]})
+            return pa.table({"rows": [len(values)], "steps": [done.steps], "loss": [loss], "state": [numbers]})
 
-        loss, steps, numbers = _mean_state(sharded.groupBy("shard").applyInPandas(train, STATE_SCHEMA))
+        loss, steps, numbers = _mean_state(sharded.groupBy("shard").applyInArrow(train, STATE_SCHEMA))
         state = State(*np.split(numbers, 3), steps=steps)
         losses.append(loss)
     return Autoencoder(sizes, state.weights, losses)

@@ -100,10 +100,11 @@ def grow_trees(sample: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS
     cut = int(min(1.0, 2 * tree_rows / max(sample.count(), 1)) * (1 << 32))
 
     def draw(tree: Column) -> Column:
-        return F.pmod(F.xxhash64("event_id", tree, F.lit(seed)), F.lit(1 << 32))
+        return F.pmod(F.xxhash64("_hash", tree), F.lit(1 << 32))
 
     drawing = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < cut)
-    dealt = sample.select("event_id", "features", F.explode(drawing).alias("tree"))
+    hashed = sample.select("event_id", "features", F.xxhash64("event_id", F.lit(seed)).alias("_hash"))
+    dealt = hashed.select("event_id", "features", "_hash", F.explode(drawing).alias("tree"))
     order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "event_id", "features")
     drawn = dealt.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= tree_rows)
 
