@@ -128,7 +128,7 @@ def _mean_state(parts: DataFrame) -> tuple[float, int, np.ndarray]:
     summed = each.groupBy("place").agg(
         F.sum(F.col("part").cast(PART)).cast("double").alias("total"), F.sum("rows").alias("rows"), F.max("steps").alias("steps")
     )
-    found = summed.orderBy("place").collect()
+    found = sorted(summed.collect(), key=lambda row: row["place"])
     means = np.array([row["total"] / row["rows"] for row in found])
     return float(means[0]), found[0]["steps"], means[1:]
 

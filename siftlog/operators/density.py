@@ -31,6 +31,8 @@ SILHOUETTE_MIN_ROWS = 20
 SAMPLE_LIMIT = 100_000
 CENTROID_LIMIT = 10_000
 CHUNK = 64
+# Points outside its group that a point keeps from a search of the spanning tree.
+CANDIDATES = 16
 
 
 def fit_pca(sample: DataFrame, components: int = COMPONENTS) -> np.ndarray:
@@ -89,7 +91,7 @@ class _Neighbourhood:
         self.left = np.hstack([-2.0 * self.points, one, norm])
         self.right = np.ascontiguousarray(np.hstack([self.points, norm, one]).T)
 
-    def squared(self, rows: np.ndarray | slice, columns: slice = slice(None)) -> np.ndarray:
+    def squared(self, rows: np.ndarray | slice, columns: np.ndarray | slice = slice(None)) -> np.ndarray:
         return self.left[rows] @ self.right[:, columns]
 
     def exact(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -118,74 +120,97 @@ def core_table(sample: DataFrame, key: str, vector: str = "features", neighbours
     return core_distances(spark, points, neighbours).join(keys, "id").select(key, "core")
 
 
-def _nearest_outside(near: _Neighbourhood, core: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Per row, the point that is cheapest to reach outside the range of its own group.
+def _cheapest_outside(
+    near: _Neighbourhood, core: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the `CANDIDATES` points that are cheapest to reach outside the range of its own group, and their weights.
 
-    Rows of one group skip their range altogether.
+    Rows of one group skip their range altogether. Where there are fewer such
+    points, the rest have an infinite weight.
     """
-    total = len(core)
-    if starts[0] == starts[-1]:
-        spans = [(low, high) for low, high in ((0, starts[0]), (ends[0], total)) if low < high]
-    else:
-        spans = [(0, total)]
-    best = np.full(len(rows), np.inf)
-    other = np.zeros(len(rows), dtype=np.int64)
-    for low, high in spans:
-        reach = near.squared(rows, slice(low, high))
-        np.maximum(reach, core[None, low:high] ** 2, out=reach)
-        if len(spans) == 1 and high - low == total:
-            for row, (start, end) in enumerate(zip(starts, ends)):
-                reach[row, start:end] = np.inf
-        place = reach.argmin(axis=1)
-        found = reach[np.arange(len(rows)), place]
-        other = np.where(found < best, place + low, other)
-        best = np.minimum(found, best)
-    return other
-
-
-def _cheapest_edges(spark: SparkSession, shared, groups: np.ndarray) -> list:
-    """Per group of connected points, a cheapest edge to another group.
+    alone = starts[0] == starts[-1]
+    columns = np.r_[0 : starts[0], ends[0] : len(core)] if alone else np.arange(len(core))
+    reach = np.maximum(near.squared(rows, columns), core[columns] ** 2)
+    if not alone:
+        for row, (start, end) in enumerate(zip(starts, ends)):
+            reach[row, start:end] = np.inf
+    count = min(CANDIDATES, len(columns))
+    places = np.argpartition(reach, count - 1, axis=1)[:, :count]
+    others = columns[places]
+    weights = np.maximum(np.maximum(near.exact(rows[:, None], others), core[others]), core[rows][:, None])
+    weights[np.isinf(np.take_along_axis(reach, places, axis=1))] = np.inf
+    padding = ((0, 0), (0, CANDIDATES - count))
+    weights, others = np.pad(weights, padding, constant_values=np.inf), np.pad(others, padding)
+    order = np.argsort(weights, axis=1, kind="stable")
+    return np.take_along_axis(weights, order, axis=1), np.take_along_axis(others, order, axis=1)
+
+
+def _search(spark: SparkSession, shared, groups: np.ndarray, wanted: np.ndarray) -> pd.DataFrame:
+    """For the wanted points, the cheapest points outside their groups of connected points.
 
     Points are taken group by group, so that a group is one range: the larger it
     is, the less its points have to search.
     """
     order = np.argsort(groups, kind="stable")
     in_order = groups[order]
+    asked = np.flatnonzero(wanted[order])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points, core = shared.value
         near, core = _Neighbourhood(points[order]), core[order]
-        for rows in _each_chunk(batches):
+        for chunk in _each_chunk(batches):
+            rows = asked[chunk]
             starts = np.searchsorted(in_order, in_order[rows])
             ends = np.searchsorted(in_order, in_order[rows], side="right")
-            other = _nearest_outside(near, core, rows, starts, ends)
-            weight = np.maximum(np.maximum(near.exact(rows, other), core[other]), core[rows])
-            one, two = order[rows], order[other]
-            yield pd.DataFrame(
-                {"component": in_order[rows], "weight": weight, "low": np.minimum(one, two), "high": np.maximum(one, two)}
-            )
+            weights, others = _cheapest_outside(near, core, rows, starts, ends)
+            yield pd.DataFrame({"point": order[rows], "weights": list(weights), "others": list(order[others])})
+
+    return _blocks(spark, len(asked)).mapInPandas(search, "point long, weights array<double>, others array<long>").toPandas()
+
 
-    found = _blocks(spark, len(groups)).mapInPandas(search, "component long, weight double, low long, high long")
-    edge = F.min(F.struct("weight", "low", "high")).alias("edge")
-    return found.groupBy("component").agg(edge).select("edge.*").collect()
+def _first_outside(groups: np.ndarray, weights: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per point, its cheapest candidate that is still outside its group (infinite without one); per group, the least of them."""
+    points = np.arange(len(groups))
+    outside = (groups[others] != groups[:, None]) & np.isfinite(weights)
+    place = outside.argmax(axis=1)
+    reach = np.where(outside.any(axis=1), weights[points, place], np.inf)
+    least = np.full(len(groups), np.inf)
+    np.minimum.at(least, groups, reach)
+    return reach, others[points, place], least
 
 
 def spanning_tree(spark: SparkSession, points: np.ndarray, neighbours: int = MIN_SAMPLES) -> list[tuple[float, int, int]]:
-    """Edges (weight, low, high) of the minimum spanning tree of mutual reachability."""
+    """Edges (weight, low, high) of the minimum spanning tree of mutual reachability.
+
+    A point keeps the candidates of its last search. Groups only grow, so what is
+    not among them costs at least as much as the last one: a point searches again
+    only if none is left and that bound lies below the cheapest edge of its group.
+    """
     cores = core_distances(spark, points, neighbours).toPandas()
     core = np.empty(len(points))
     core[cores["id"]] = cores["core"]
     shared = spark.sparkContext.broadcast((points, core))
     groups = np.arange(len(points))
+    others = np.repeat(groups[:, None], CANDIDATES, axis=1)
+    weights = np.full(others.shape, -np.inf)
     edges: list[tuple[float, int, int]] = []
     while len(edges) < len(points) - 1:
+        reach, target, least = _first_outside(groups, weights, others)
+        wanted = np.isinf(reach) & (weights[:, -1] < least[groups])
+        if wanted.any():
+            found = _search(spark, shared, groups, wanted)
+            weights[found["point"]], others[found["point"]] = np.stack(found["weights"]), np.stack(found["others"])
+            reach, target, least = _first_outside(groups, weights, others)
+        low, high = np.minimum(target, np.arange(len(groups))), np.maximum(target, np.arange(len(groups)))
+        order = np.lexsort((high, low, reach, groups))
+        firsts = order[np.unique(groups[order], return_index=True)[1]]
         joined = groups.copy()
         # Cheapest first; an edge that would close a cycle is one of several
         # equally cheap ones and is left out.
-        for weight, low, high in sorted(_cheapest_edges(spark, shared, groups)):
-            left, right = _top(joined, low), _top(joined, high)
+        for weight, one, two in sorted(zip(reach[firsts].tolist(), low[firsts].tolist(), high[firsts].tolist())):
+            left, right = _top(joined, one), _top(joined, two)
             if left != right:
-                edges.append((weight, low, high))
+                edges.append((weight, one, two))
                 joined[right] = left
         groups = np.array([_top(joined, point) for point in range(len(points))])
     return sorted(edges)
