@@ -93,13 +93,13 @@ def incident_evidence(logs: DataFrame, incidents: DataFrame, incident_id: str, l
     return evidence(logs, one, limit).orderBy("place").select(*EVIDENCE_COLUMNS)
 
 
-def _top(found: DataFrame, column: str, out: str) -> DataFrame:
+def _top(found: DataFrame, column: str, out: str, values: int) -> DataFrame:
     """Per incident, the most frequent values with counts; first seen goes first on a tie."""
     counts = found.groupBy("incident_id", F.col(column).alias("value")).agg(
         F.count("*").alias("records"), F.min("place").alias("first")
     )
     frequency = Window.partitionBy("incident_id").orderBy(F.desc("records"), "first")
-    top = counts.withColumn("rank", F.row_number().over(frequency)).filter(F.col("rank") <= TOP_VALUES)
+    top = counts.withColumn("rank", F.row_number().over(frequency)).filter(F.col("rank") <= values)
     listed = F.array_sort(F.collect_list(F.struct("rank", "value", "records")))
     return top.groupBy("incident_id").agg(
         F.transform(listed, lambda entry: F.struct(entry["value"].alias("value"), entry["records"].alias("records"))).alias(out)
@@ -112,15 +112,15 @@ def value_counts_text(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
 
 
-def evidence_figures(found: DataFrame) -> DataFrame:
-    """Per incident with evidence: records, anomalies, errors, top components and types."""
+def evidence_figures(found: DataFrame, values: int = TOP_VALUES) -> DataFrame:
+    """Per incident with evidence: records, anomalies, errors, and up to `values` top components and types."""
     totals = found.groupBy("incident_id").agg(
         F.count("*").alias("evidence_records"),
         F.count_if("is_anomaly").alias("anomalous_records"),
         F.count_if(F.col("severity_score") >= 2).alias("error_records"),
     )
-    components = _top(found, "component", "top_components")
-    types = _top(found, "parsed_message_type", "top_types")
+    components = _top(found, "component", "top_components", values)
+    types = _top(found, "parsed_message_type", "top_types", values)
     return totals.join(components, "incident_id").join(types, "incident_id")
 
 
