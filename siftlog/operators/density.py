@@ -25,12 +25,15 @@ from siftlog.session import stage
 COMPONENTS = 8
 MIN_CLUSTER = 50
 MIN_SAMPLES = 10
+# Rows whose silhouette is taken, each against all rows.
 SILHOUETTE_ROWS = 5_000
 SILHOUETTE_MIN_ROWS = 20
 # The sample travels to every task; the reports never ask for more than 15,000 rows.
 SAMPLE_LIMIT = 100_000
 CENTROID_LIMIT = 10_000
 CHUNK = 64
+# Sums that a task of the silhouette holds before it hands them on.
+HELD_SUMS = 1 << 22
 # Points outside its group that a point keeps from a search of the spanning tree.
 CANDIDATES = 16
 
@@ -59,17 +62,6 @@ def _blocks(spark: SparkSession, rows: int) -> DataFrame:
     return spark.range(0, rows, 1, min(2 * spark.sparkContext.defaultParallelism, max(1, rows // CHUNK)))
 
 
-def _distances(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Distances from some rows to all rows; equal for both directions of a pair."""
-    total = np.zeros((len(rows), len(points)))
-    difference = np.empty_like(total)
-    for axis in np.ascontiguousarray(points.T):
-        np.subtract(axis[rows][:, None], axis[None, :], out=difference)
-        np.multiply(difference, difference, out=difference)
-        total += difference
-    return np.sqrt(total, out=total)
-
-
 def _each_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
     for batch in batches:
         ids = batch["id"].to_numpy()
@@ -369,32 +361,69 @@ def model_distance(directions: np.ndarray, centres: Centroids, clusters: int, va
 def silhouette_rows(
     members: DataFrame, key: str, vector: str = "features", label: str = "label", size: int = SILHOUETTE_ROWS, seed: int = SEED
 ) -> DataFrame:
-    """Silhouette per row over a bounded sample of the clustered rows.
+    """Silhouette of `size` clustered rows, drawn by hash, each held against all clustered rows.
 
-    Every task holds the sample and returns one number per row of its block.
+    The rows asked for travel to every task, which adds up the distances from each
+    of them to the rows it reads, per label; the sums meet in Spark. 0 for the only
+    row of a cluster, without a second cluster, and where all distances are 0.
     """
     spark = members.sparkSession
-    clustered = members.filter(F.col(label) >= 0).select(key, vector, label)
-    points, table = _collect_points(sample_rows(clustered, size, seed, key).orderBy(key), vector, key, label)
-    names, own = np.unique(table[label].to_numpy(), return_inverse=True)
-    counts = np.bincount(own, minlength=len(names))
-    ids = table[key].to_numpy()
-    shared = spark.sparkContext.broadcast(points)
-    member = np.eye(len(names))[own]
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _each_chunk(batches):
-            sums = _distances(shared.value, rows) @ member
-            at, mine = np.arange(len(rows)), own[rows]
-            inside = sums[at, mine] / np.maximum(counts[mine] - 1, 1)
-            means = sums / counts
-            means[at, mine] = np.inf
-            outside = means.min(axis=1)
-            value = np.where(counts[mine] > 1, (outside - inside) / np.maximum(outside, inside), 0.0)
-            yield pd.DataFrame({key: ids[rows], label: names[mine], "silhouette": value})
-
-    schema = f"{key} {clustered.schema[key].dataType.simpleString()}, {label} long, silhouette double"
-    return _blocks(spark, len(points)).mapInPandas(measure, schema)
+    clustered = members.filter(F.col(label) >= 0).select(key, vector, F.col(label).cast("long").alias(label))
+    vector_width(clustered, vector)
+    asked = sample_rows(clustered, size, seed, key).toArrow()
+    points = list_matrix(asked.column(vector).combine_chunks())
+    centre = points.mean(axis=0) if len(points) else np.zeros(points.shape[1])
+    shared = spark.sparkContext.broadcast((points - centre, centre))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, centre = shared.value
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            values, own = list_matrix(batch.column(0)) - centre, batch.column(1).to_numpy()
+            for name in np.unique(own).tolist():
+                rows, sums = held.get(name, (0, np.zeros(len(points))))
+                mine = values[own == name]
+                held[name] = (rows + len(mine), sums + _distance_sums(points, mine))
+            if len(held) * len(points) > HELD_SUMS:
+                yield from _sum_rows(held)
+                held.clear()
+        yield from _sum_rows(held)
+
+    sums = clustered.select(vector, label).mapInArrow(measure, "place long, other long, rows long, total double")
+    sums = sums.groupBy("place", "other").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+    places = pa.array(np.arange(len(points)))
+    # At most `size` keys and labels.
+    known = spark.createDataFrame(asked.select([key, label]).append_column("place", places))
+    own = F.col("other") == F.col(label)
+    found = known.join(sums, "place").groupBy("place", key, label).agg(
+        F.max(F.when(own, F.col("rows"))).alias("rows"),
+        F.max(F.when(own, F.col("total") / F.greatest(F.col("rows") - 1, F.lit(1)))).alias("inside"),
+        F.min(F.when(~own, F.col("total") / F.col("rows"))).alias("outside"),
+    )
+    wide = F.greatest("outside", "inside")
+    value = F.when((F.col("rows") > 1) & F.col("outside").isNotNull() & (wide > 0), (F.col("outside") - F.col("inside")) / wide)
+    return found.select(key, label, F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+
+
+def _distance_sums(points: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Per point, the sum of its distances to all values; `CHUNK` points at a time."""
+    norms, across = (values**2).sum(axis=1), np.ascontiguousarray(values.T)
+    sums = np.empty(len(points))
+    for start in range(0, len(points), CHUNK):
+        part = points[start : start + CHUNK]
+        both = (part**2).sum(axis=1)[:, None] + norms
+        squared = both - 2.0 * (part @ across)
+        # What rounding leaves of the distance between copies.
+        squared[squared < both * 1e-14] = 0.0
+        sums[start : start + CHUNK] = np.sqrt(squared).sum(axis=1)
+    return sums
+
+
+def _sum_rows(held: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for name, (rows, sums) in held.items():
+        n = len(sums)
+        columns = [np.arange(n), np.full(n, name), np.full(n, rows), sums]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["place", "other", "rows", "total"])
 
 
 def silhouette_score(members: DataFrame, key: str, vector: str = "features", label: str = "label") -> float | None:
