@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.operators.ordering import BROADCAST_ROWS, Distribution, add_percentile_rank, column_quantiles, distributions, exact_quantiles
+from siftlog.operators.ordering import add_percentile_ranks, column_quantiles, exact_quantiles, place
 
 # Detector names, their titles, and the rules of the vote.
 TITLES = {
@@ -41,33 +41,19 @@ def flag_outliers(df: DataFrame, score: str, flag: str, percentile: float = PERC
     return df.withColumn(flag, F.col(score) >= F.lit(threshold)), threshold
 
 
-def _add_percentiles(df: DataFrame, spreads: dict[str, Distribution], row_key: str) -> DataFrame:
-    """Percentile ranks of all scores.
-
-    Small rank tables are broadcast to the wide rows. Large ones are joined to
-    the scores alone, and the ranks are then joined to the wide rows once.
-    """
-    wide = all(spread.distinct <= BROADCAST_ROWS for spread in spreads.values())
-    scores = [f"{name}_score" for name in spreads]
-    ranked = df if wide else df.select(row_key, *scores)
-    for name, spread in spreads.items():
-        ranked = add_percentile_rank(ranked, f"{name}_score", f"{name}_percentile", spread)
-    return ranked if wide else df.join(ranked.drop(*scores), row_key)
-
-
 def combine(df: DataFrame, row_key: str, percentiles: dict[str, float] | None = None, primary: str = PRIMARY) -> Combined:
     """Add flags, votes, percentiles, the ensemble score and the incident signal.
 
     `df` holds the three scores, `severity_score` and a unique `row_key`; it is
     read several times, so it should be a table.
     """
-    found = distributions(df, [f"{name}_score" for name in DETECTORS])
-    spreads = {name: found[f"{name}_score"] for name in DETECTORS}
-    shares = [(percentiles or {}).get(name, PERCENTILE) / 100.0 for name in DETECTORS]
-    found = exact_quantiles([(spreads[name], [share, 0.5]) for name, share in zip(DETECTORS, shares)])
-    thresholds = {name: values[0] for name, values in zip(DETECTORS, found)}
-    medians = {name: values[1] for name, values in zip(DETECTORS, found)}
-    out = _add_percentiles(df, spreads, row_key)
+    scores = {name: f"{name}_score" for name in DETECTORS}
+    placed = place(df, list(scores.values()), row_key)
+    shares = {name: (percentiles or {}).get(name, PERCENTILE) / 100.0 for name in DETECTORS}
+    found = exact_quantiles(placed, {score: [shares[name], 0.5] for name, score in scores.items()})
+    thresholds = {name: found[score][0] for name, score in scores.items()}
+    medians = {name: found[score][1] for name, score in scores.items()}
+    out = add_percentile_ranks(df, row_key, {score: f"{name}_percentile" for name, score in scores.items()}, placed)
     for name in DETECTORS:
         out = out.withColumn(f"{name}_anomaly", F.col(f"{name}_score") >= F.lit(thresholds[name]))
     votes = sum((F.col(f"{name}_anomaly").cast("int") for name in DETECTORS), F.lit(0))

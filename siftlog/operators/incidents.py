@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlog.functions.text import severity_label
-from siftlog.operators.ordering import RANGE, by_range, cut_points, range_count, running_total, with_range
+from siftlog.operators.ordering import RANGE, by_range, find_cuts, running_total, with_range
 from siftlog.session import stage
 
 # Minutes without a signal that end an incident, minutes after
@@ -56,7 +56,7 @@ def instants_of(signals: DataFrame) -> DataFrame:
 def boundaries(instants: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
     """Per instant: the time and component before it, the gap, and whether a session opens."""
     position = F.unix_micros(TIME).cast("double")
-    cuts = instants.agg(cut_points(position, range_count(instants))).first()[0]
+    cuts = find_cuts(instants, {"time": position})["time"]
     placed = with_range(instants, position, cuts)
     inside = Window.partitionBy(RANGE).orderBy(F.asc_nulls_last(TIME))
     lasts = placed.groupBy(RANGE).agg(

@@ -210,9 +210,7 @@ def scored_frame(spark, rows):
     return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], schema)
 
 
-@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_votes_and_flags(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(ensemble, "BROADCAST_ROWS", broadcast_rows)
+def test_votes_and_flags(spark):
     rng = np.random.default_rng(4)
     data = [(int(rng.integers(0, 4)), *map(float, rng.integers(0, 200, 3))) for _ in range(500)]
     combined = ensemble.combine(scored_frame(spark, data), "row")
