@@ -24,15 +24,6 @@ class Leaf:
     def column(self) -> str:
         return PREFIX + ".".join(self.keys)
 
-    @property
-    def path(self) -> str:
-        return "$" + "".join(f"[\"{key}\"]" if "'" in key else f"['{key}']" for key in self.keys)
-
-    @property
-    def is_reachable(self) -> bool:
-        """No path can name a key that holds both kinds of quotes."""
-        return not any("'" in key and '"' in key for key in self.keys)
-
     @property
     def is_numeric(self) -> bool:
         return isinstance(self.type, T.NumericType)
@@ -43,11 +34,26 @@ class Leaf:
 
     def value(self, metrics: Column) -> Column:
         """The leaf of a variant column: a double, or text for anything not numeric."""
+        holder, path = metrics, "$"
+        for key in self.keys:
+            if _has_path(key):
+                path += _step(key)
+            else:
+                holder, path = F.try_element_at(F.try_variant_get(holder, path, "map<string,variant>"), F.lit(key)), "$"
         if self.is_numeric:
-            return F.try_variant_get(metrics, self.path, "double")
+            return F.try_variant_get(holder, path, "double")
         if self.is_boolean:
-            return F.try_variant_get(metrics, self.path, "boolean").cast("double")
-        return F.try_variant_get(metrics, self.path, "string")
+            return F.try_variant_get(holder, path, "boolean").cast("double")
+        return F.try_variant_get(holder, path, "string")
+
+
+def _has_path(key: str) -> bool:
+    """No path can name a key that holds both kinds of quotes; it is looked up in a map."""
+    return not ("'" in key and '"' in key)
+
+
+def _step(key: str) -> str:
+    return f"[\"{key}\"]" if "'" in key else f"['{key}']"
 
 
 def metrics_text(df: DataFrame, column: str = METRICS_COLUMN) -> Column:
@@ -90,7 +96,7 @@ def discover_leaves(df: DataFrame, column: str = METRICS_COLUMN) -> list[Leaf]:
         return []
     # Objects are structs in a schema text; names in back quotes stay as they are.
     schema = re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda part: "STRUCT<" if part[0] == "OBJECT<" else part[0], merged)
-    return [leaf for leaf in _leaves(T.DataType.fromDDL(schema)) if leaf.is_reachable]
+    return _leaves(T.DataType.fromDDL(schema))
 
 
 def flatten_metrics(df: DataFrame, leaves: list[Leaf], column: str = METRICS_COLUMN) -> DataFrame:
@@ -104,10 +110,13 @@ def flatten_metrics(df: DataFrame, leaves: list[Leaf], column: str = METRICS_COL
 
 def _place(text: Column, leaf: Leaf) -> list[Column]:
     """The position of each key of a leaf inside its object."""
-    places = []
-    for depth, key in enumerate(leaf.keys):
-        holder = text if depth == 0 else F.get_json_object(text, Leaf(leaf.keys[:depth], leaf.type).path)
+    places, holder = [], text
+    for key in leaf.keys:
         places.append(F.array_position(F.json_object_keys(holder), key).cast("int"))
+        if _has_path(key):
+            holder = F.get_json_object(holder, "$" + _step(key))
+        else:
+            holder = F.try_element_at(F.from_json(holder, "map<string,string>"), F.lit(key))
     return places
 
 

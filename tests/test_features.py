@@ -115,6 +115,17 @@ def test_unusual_metric_names(spark):
     assert {k: flat["metric_" + k] for k in names} == names
 
 
+def test_metric_names_with_both_quotes(spark):
+    both = "it's \"q\""
+    frame = logs(spark, [("m", json.dumps({"a": 1, both: 2, "up": {both: {"z": 3, both: 4, "b": 5}}})), ("m", json.dumps({both: 7})), ("m", json.dumps({"up": 1}))])
+    assert [leaf.keys for leaf in metrics.numeric_leaves(frame)] == [("a",), (both,)]
+    frame = frame.limit(2)
+    names = [leaf.column for leaf in metrics.numeric_leaves(frame)]
+    assert names == [f"metric_{name}" for name in ("a", both, f"up.{both}.z", f"up.{both}.{both}", f"up.{both}.b")]
+    found = features.build_features(frame).orderBy("event_id").collect()
+    assert [[row[name] for name in names] for row in found] == [[1, 2, 3, 4, 5], [None, 7, None, None, None]]
+
+
 def test_numeric_leaves(spark):
     frame = logs(spark, [("m", NESTED), ("m", OTHER)])
     assert {leaf.column for leaf in metrics.numeric_leaves(frame)} == {"metric_z", "metric_io.read", "metric_io.deep.x"}
