@@ -120,34 +120,25 @@ def _place(text: Column, leaf: Leaf) -> list[Column]:
     return places
 
 
-def _first_seen(df: DataFrame, leaves: list[Leaf], column: str) -> list[Leaf]:
-    """Leaves in the order in which the records, by time, bring them.
+def numeric_leaves(df: DataFrame, limit: int = 8, column: str = METRICS_COLUMN) -> list[Leaf]:
+    """The first `limit` numeric leaves, in the order in which the records, by time, bring them.
 
-    Within a record, top-level values come before nested ones.
+    A leaf is numeric if all its values are; a boolean one also needs a value in
+    every row. The order is the same for any number of leaves; within a record,
+    top-level values come before nested ones. One pass after that of `discover_leaves`.
     """
-    text = metrics_text(df, column)
+    candidates = [leaf for leaf in discover_leaves(df, column) if leaf.is_numeric or leaf.is_boolean]
+    if not candidates:
+        return []
+    text, metrics = metrics_text(df, column), metrics_variant(df, column)
     time, event_id = F.col("normalized_timestamp"), F.col("event_id")
-    firsts = []
-    for leaf in leaves:
+    firsts, gaps = [], []
+    for leaf in candidates:
         places = _place(text, leaf)
         seen = F.struct(time.isNull(), time, event_id, F.array(F.lit(int(len(leaf.keys) > 1)), *places))
         firsts.append(F.min(F.when(places[-1] > 0, seen)))
-    found = df.agg(*firsts).first()
-    order = sorted(zip(found, leaves), key=lambda pair: (pair[0] is None, pair[0] and tuple(pair[0])))
-    return [leaf for _, leaf in order]
-
-
-def numeric_leaves(df: DataFrame, limit: int = 8, column: str = METRICS_COLUMN) -> list[Leaf]:
-    """The first `limit` numeric leaves, in the order in which the records bring them.
-
-    A leaf is numeric if all its values are; a boolean one also needs a value in
-    every row. The order is the same for any number of leaves.
-    """
-    candidates = [leaf for leaf in discover_leaves(df, column) if leaf.is_numeric or leaf.is_boolean]
-    booleans = [leaf for leaf in candidates if leaf.is_boolean]
-    if booleans:
-        metrics = metrics_variant(df, column)
-        gaps = df.agg(*[F.count_if(leaf.value(metrics).isNull()) for leaf in booleans]).first()
-        partial = {leaf for leaf, count in zip(booleans, gaps) if count > 0}
-        candidates = [leaf for leaf in candidates if leaf not in partial]
-    return _first_seen(df, candidates, column)[:limit] if candidates else []
+        gaps.append(F.count_if(leaf.value(metrics).isNull()) if leaf.is_boolean else F.lit(0))
+    found = df.agg(*[column.alias(f"c{i}") for i, column in enumerate(firsts + gaps)]).first()
+    facts = [(found[i], found[len(candidates) + i], leaf) for i, leaf in enumerate(candidates)]
+    facts.sort(key=lambda fact: (fact[0] is None, fact[0] and tuple(fact[0])))
+    return [leaf for _, missing, leaf in facts if not missing][:limit]

@@ -10,7 +10,7 @@ from siftlog.operators.features import add_base_features
 from siftlog.operators.incidents import build_incidents
 from siftlog.operators.matrix import fit_scaling
 from siftlog.plans.detection import ROW
-from siftlog.session import prepare, spread, stage
+from siftlog.session import prepare, spread, stage, times_dropped
 
 COMPONENT = "CASE WHEN user_id % 50 = 0 THEN 'unknown' ELSE concat('svc-', cast(user_id % 8 AS string)) END"
 MESSAGE = """
@@ -59,10 +59,11 @@ _tables: dict[tuple, DataFrame] = {}
 
 
 def version(spark: SparkSession, sf_dir: str) -> tuple:
-    """Place, size and time of the files of `events`, so that nothing is kept when they change."""
+    """Place, size and time of the files of `events`, so that nothing is kept when they change or staged tables go."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return tuple(sorted((str(file.getPath()), file.getLen(), file.getModificationTime()) for file in [files.getFileStatus(path), *files.listStatus(path)]))
+    listed = [files.getFileStatus(path), *files.listStatus(path)]
+    return (times_dropped(spark), tuple(sorted((str(file.getPath()), file.getLen(), file.getModificationTime()) for file in listed)))
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_drops: dict[str, int] = {}
 
 
 def build_session(app_name: str = "siftlog", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,6 +69,19 @@ def stage(df: DataFrame, name: str, *folders: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Remove all tables that this application has staged; results that were not read or written yet go with them."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftlog/{context.applicationId}")
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    _drops[context.applicationId] = times_dropped(spark) + 1
+
+
+def times_dropped(spark: SparkSession) -> int:
+    """How often the staged tables were removed: what is kept across calls goes by it."""
+    return _drops.get(spark.sparkContext.applicationId, 0)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give every core a part of a plain scan that has fewer parts than there are cores."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

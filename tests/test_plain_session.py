@@ -1,5 +1,7 @@
 """The detectors on a session with Spark's own settings."""
 
+import os
+
 import pytest
 
 from siftlog.plans import checks, event_logs
@@ -50,3 +52,15 @@ def test_hours_with_a_stray_year(spark):
     found = reports.hourly_activity(view)
     assert found.count() == (48 * 365 + 12) * 24 + 6
     assert found.filter("logs > 0").count() == 2
+
+
+def test_staged_tables_can_be_removed(spark):
+    from siftlog.session import drop_staged, shared_dir, stage
+
+    stage(spark.range(3), "numbers")
+    first = checks.QUERIES["a13_votes"](spark, FOLDER).count()
+    folder = f"{shared_dir(spark)}/siftlog/{spark.sparkContext.applicationId}"
+    assert len(os.listdir(folder)) > 1
+    drop_staged(spark)
+    assert not os.path.exists(folder)
+    assert checks.QUERIES["a13_votes"](spark, FOLDER).count() == first
