@@ -1,11 +1,15 @@
-"""Benchmark decontamination: rare n-grams find passages, alignment scores them.
+"""Benchmark decontamination: shared word pairs find passages, alignment scores them.
 
 Words are compared in plain form (ASCII letters in lower case, other ASCII signs
-part words). Runs of SEED_WORDS words of the test items are looked for in all
-documents through a bit field of fixed size, and an exact join follows. Seeds that
-meet at about the same offset of a document and an item propose a passage if one of
-them is rare for that item, or there are several. Smith-Waterman alignment of
-passage and item gives the score.
+part words). An alignment of score S has S - 1 or more pairs of neighbouring words
+in common: M matches and E differences lie in at most E + 1 runs, which hold
+M - E - 1 pairs. So of all pairs of an item but S - 1 - K, whichever they are, K
+are among them. Those are the seeds of the item, the rarest ones in the documents
+for speed. They are looked for in all documents through a bit field of fixed size
+and an exact join. The diagonals (place in the document less place in the item) of
+an alignment differ by at most its gaps, so it lies in two neighbouring blocks of
+diagonals. Smith-Waterman alignment scores all two blocks that have K seeds: none
+that reaches the least score is left out.
 """
 
 from __future__ import annotations
@@ -14,19 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from siftlog.llm.common import chunks, long_array, mix, ready, rolled, text_key
 from siftlog.session import stage
 
-SEED_WORDS = 4
+SEED_WORDS = 2
+# Items of fewer words hold nothing.
+LEAST_WORDS = 4
 # Size of the bit field: 2 MB, whatever the size of the benchmark.
 FIELD_BITS = 24
-# A seed is rare for an item if it is found at most so many times as often as the item's median seed.
-RARE_TIMES = 4
-# So many seeds propose a passage without a rare one.
+# Seeds that propose a passage, where an alignment must have so many: K above.
 ENOUGH_SEEDS = 3
 MATCH, MISMATCH, GAP = 1, -1, -1
 # Least score as a share of the words of the item, which is the score of an exact copy.
@@ -49,28 +53,32 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """`item_id` and `item`: the word hashes of each distinct item with at least one seed or word."""
+    """`item_id`, `item_key` and `item`: the word hashes of each distinct item that is long enough."""
     narrow = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), _lists([words for _, words in _word_lists(batch.column("text"))])], ["item_id", "item"])
 
-    return narrow.mapInArrow(read, StructType([narrow.schema["item_id"], StructField("item", ArrayType(LongType()))])).filter(F.size("item") > 0)
+    read_items = narrow.mapInArrow(read, StructType([narrow.schema["item_id"], StructField("item", ArrayType(LongType()))]))
+    return read_items.filter(F.size("item") >= LEAST_WORDS).distinct().select("item_id", F.xxhash64("item").alias("item_key"), "item")
 
 
 def seeds_of(items: DataFrame) -> DataFrame:
-    """`seed`, `item_id`, `place` and the number of words of its item `length`. Items shorter than a seed have none."""
+    """`seed`, `item_id`, `item_key`, `place` and the number of words of its item `length`: all word pairs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, words in enumerate(batch.column("item").to_pylist()):
-                found = rolled(np.array(words, dtype=np.int64).view(np.uint64), SEED_WORDS)
-                n = len(found)
-                ids = pa.concat_arrays([batch.column("item_id").slice(i, 1)] * n) if n else batch.column("item_id").slice(0, 0)
-                yield pa.RecordBatch.from_arrays([long_array(found), ids, pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, len(words), dtype=np.int32))], ["seed", "item_id", "place", "length"])
-
-    kinds = [StructField("seed", LongType()), items.schema["item_id"], StructField("place", IntegerType()), StructField("length", IntegerType())]
+            lists = [np.array(words, dtype=np.int64).view(np.uint64) for words in batch.column("item").to_pylist()]
+            lengths = np.array([len(words) for words in lists], dtype=np.int64)
+            counts = np.maximum(lengths - SEED_WORDS + 1, 0)
+            row = np.repeat(np.arange(len(lists)), counts)
+            found = np.concatenate([rolled(words, SEED_WORDS) for words in lists]) if lists else np.zeros(0, np.uint64)
+            place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+            keys = [batch.column(name).take(pa.array(row, pa.int64())) for name in ("item_id", "item_key")]
+            yield pa.RecordBatch.from_arrays([long_array(found), *keys, long_array(place), long_array(lengths[row])], ["seed", "item_id", "item_key", "place", "length"])
+
+    kinds = [StructField("seed", LongType()), items.schema["item_id"], items.schema["item_key"], StructField("place", LongType()), StructField("length", LongType())]
     return items.mapInArrow(cut, StructType(kinds))
 
 
@@ -94,52 +102,67 @@ def bit_field(seeds: DataFrame) -> np.ndarray:
     return field
 
 
-def passages(docs: DataFrame, field: np.ndarray, reach: int) -> DataFrame:
-    """Stretches of documents around possible seeds, `reach` words to either side; overlapping ones are merged.
+def _seen(texts: pa.Array, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some rows at a time: the first row; row, place and value of what may be a seed."""
+    for chunk in chunks(texts, plain=True):
+        found = rolled(chunk.word_hashes(), SEED_WORDS)
+        hit = chunk.row[: len(found)] == chunk.row[SEED_WORDS - 1 :]
+        for probe in _probes(found):
+            hit &= (bits[probe >> 3] >> (probe & 7).astype(np.uint8) & 1).astype(bool)
+        at = np.flatnonzero(hit)
+        owner = chunk.row[at]
+        yield chunk.first, owner, at - chunk.word_bounds()[owner], found[at]
 
-    `first` is the place of the first word, `words` their hashes, `seeds` and
-    `places` what was found and where in the document.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(field)
+
+def seed_counts(docs: DataFrame, field: np.ndarray) -> DataFrame:
+    """`seed` and how many `hits` it has in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [found for *_, found in _seen(batch.column("text"), shared.value)]
+            values, hits = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([long_array(values), long_array(hits)], ["seed", "hits"])
+
+    return docs.select("text").mapInArrow(count, "seed long, hits long").groupBy("seed").agg(F.sum("hits").alias("hits"))
+
+
+def seed_places(docs: DataFrame, field: np.ndarray) -> DataFrame:
+    """`doc_id`, `text_key`, `seed` and its place `at` in the document, for all that may be seeds."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
     narrow = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            rows: list[int] = []
-            firsts: list[int] = []
-            words, seeds, places = [], [], []
+            for first, owner, at, found in _seen(batch.column("text"), shared.value):
+                keys = [batch.column(name).take(pa.array(first + owner, pa.int64())) for name in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*keys, long_array(found), long_array(at)], ["doc_id", "text_key", "seed", "at"])
+
+    return narrow.mapInArrow(scan, StructType([narrow.schema["doc_id"], narrow.schema["text_key"], StructField("seed", LongType()), StructField("at", LongType())]))
+
+
+def windows(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """`doc_id`, `text_key`, `item_id`, `item_key` and the `window` of word hashes of each spot (`begin`, `end`) of a document."""
+    wanted = spots.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "spots")
+    narrow = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    joined = narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text"))).select("doc_id", "text_key", "text", "spots")
+    kinds = {field.name: field for field in joined.schema["spots"].dataType.elementType.fields}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, held = batch.column("spots").offsets.to_numpy(), batch.column("spots").values
+            begins, ends = held.field("begin").to_numpy(), held.field("end").to_numpy()
             for chunk in chunks(batch.column("text"), plain=True):
-                hashes = chunk.word_hashes()
-                found = rolled(hashes, SEED_WORDS)
-                if not len(found):
-                    continue
-                hit = chunk.row[: len(found)] == chunk.row[SEED_WORDS - 1 :]
-                for probe in _probes(found):
-                    hit &= (bits[probe >> 3] >> (probe & 7).astype(np.uint8) & 1).astype(bool)
-                at = np.flatnonzero(hit)
-                if not len(at):
-                    continue
-                bounds = chunk.word_bounds()
-                owner = chunk.row[at]
-                # A stretch ends where the next possible seed is too far or in another row.
-                new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (np.diff(at) > 2 * reach + SEED_WORDS)))
-                begin = np.flatnonzero(new)
-                for a, b in zip(begin, np.concatenate((begin[1:], [len(at)]))):
-                    row = int(owner[a])
-                    low = max(int(bounds[row]), int(at[a]) - reach)
-                    high = min(int(bounds[row + 1]), int(at[b - 1]) + SEED_WORDS + reach)
-                    rows.append(chunk.first + row)
-                    firsts.append(low - int(bounds[row]))
-                    words.append(hashes[low:high])
-                    seeds.append(found[at[a:b]])
-                    places.append(at[a:b] - bounds[row])
-            keys = [batch.column(name).take(pa.array(rows, pa.int64())) for name in ("doc_id", "text_key")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(firsts, pa.int64()), _lists(words), _lists(seeds), _lists(places)], ["doc_id", "text_key", "first", "words", "seeds", "places"])
-
-    lists = [StructField(name, ArrayType(LongType())) for name in ("words", "seeds", "places")]
-    return narrow.mapInArrow(scan, StructType([narrow.schema["doc_id"], narrow.schema["text_key"], StructField("first", LongType()), *lists]))
+                hashes, bounds = chunk.word_hashes(), chunk.word_bounds()
+                a, b = int(offsets[chunk.first]), int(offsets[chunk.first + chunk.rows])
+                row = np.repeat(np.arange(chunk.rows), np.diff(offsets[chunk.first : chunk.first + chunk.rows + 1]))
+                low, high = bounds[row] + begins[a:b], np.minimum(bounds[row] + ends[a:b], bounds[row + 1])
+                keys = [batch.column(name).take(pa.array(chunk.first + row, pa.int64())) for name in ("doc_id", "text_key")]
+                items = [held.field(name).slice(a, b - a) for name in ("item_id", "item_key")]
+                yield pa.RecordBatch.from_arrays([*keys, *items, _lists([hashes[i:j] for i, j in zip(low, high)])], ["doc_id", "text_key", "item_id", "item_key", "window"])
+
+    fields = [narrow.schema["doc_id"], narrow.schema["text_key"], kinds["item_id"], kinds["item_key"], StructField("window", ArrayType(LongType()))]
+    return joined.mapInArrow(cut, StructType(fields))
 
 
 def align(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -181,34 +204,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
 
     Whole texts are searched. `score` is the best local alignment, a word in common
     counting 1 and a difference -1, over the words of the item; `n_words` those
-    words. Null or empty texts and items hold nothing, nor do items of fewer words
-    than a seed; repeated rows of documents count as one, and items with equal
+    words. All pairs that reach `least_score` are found, as long as it is two words
+    or more of the item. Null or empty texts and items hold nothing, nor do items of
+    fewer than four words; repeated rows of documents count as one, and items with equal
     words each get their pairs. Ties can't arise: there is one row per pair. Other
     columns are not read. Empty tables give none.
     """
     ready(docs.sparkSession)
     items = stage(item_words(benchmark), "items")
-    seeds = stage(seeds_of(items), "seeds")
-    reach = 2 * (seeds.agg(F.max("length")).first()[0] or 1)
-    found = stage(passages(docs, bit_field(seeds), reach), "passages")
-    pairs = F.explode(F.arrays_zip("seeds", "places")).alias("hit")
-    hits = found.select("doc_id", "text_key", "first", pairs).select("doc_id", "text_key", "first", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("at"))
-    counts = hits.groupBy("seed").agg(F.count("*").alias("hits"))
-    counted = seeds.join(counts, "seed", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    usual = counted.groupBy("item_id").agg(F.expr("percentile_approx(hits, 0.5)").alias("usual"))
-    known = counted.join(usual, "item_id").withColumn("rare", F.col("hits") <= RARE_TIMES * F.greatest("usual", F.lit(1)))
-    known = stage(known.filter("hits > 0").select("seed", "item_id", "place", "length", "rare"), "known")
-    meeting = hits.join(known, "seed").withColumn("block", F.floor((F.col("at") - F.col("place")) / F.col("length")))
-    proposed = meeting.groupBy("doc_id", "text_key", "first", "item_id", "length", "block").agg(F.max("rare").alias("rare"), F.count_distinct("seed").alias("n"))
-    proposed = proposed.filter(F.col("rare") | (F.col("n") >= ENOUGH_SEEDS)).drop("rare", "n")
-    # A copy begins in its block; slack for words that were put in or left out.
-    slack = F.ceil(F.col("length") / 4) + 1
-    begin = F.greatest(F.col("block") * F.col("length") - slack - F.col("first"), F.lit(0))
-    stretch = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.col("first").alias("_first"), "words")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text")) & (F.col("first") == F.col("_first"))
-    window = F.slice("words", (begin + 1).cast("int"), (2 * F.col("length") + 2 * slack).cast("int"))
-    ready_pairs = proposed.join(stretch, same).select("doc_id", "text_key", "item_id", window.alias("window")).join(items, "item_id")
-    ready_pairs = ready_pairs.select("doc_id", "text_key", "item_id", "window", "item").filter(F.size("window") > 0)
+    pairs = stage(seeds_of(items), "pairs")
+    counts = seed_counts(docs, bit_field(pairs))
+    # Least score in words; pairs that an alignment has at least; how many of them propose a passage.
+    least = F.ceil(F.col("length") * F.lit(least_score) - F.lit(1e-9))
+    have = F.greatest(least - 1, F.lit(1))
+    enough = F.least(have, F.lit(ENOUGH_SEEDS))
+    rarest = Window.partitionBy("item_id", "item_key").orderBy(F.coalesce("hits", F.lit(0)), "place")
+    ranked = pairs.join(counts, "seed", "left").select(*pairs.columns, F.row_number().over(rarest).alias("rank"), enough.alias("enough"), (F.col("length") - least + 1).alias("width"))
+    seeds = stage(ranked.filter(F.col("rank") <= F.col("length") - 1 - have + F.col("enough")).drop("rank"), "seeds")
+    hits = seed_places(docs, bit_field(seeds))
+    block = F.floor((F.col("at") - F.col("place")) / F.col("width"))
+    meeting = hits.join(seeds, "seed").withColumn("block", F.explode(F.array(block - 1, block)))
+    keys = ("doc_id", "text_key", "item_id", "item_key", "length", "width", "enough", "block")
+    proposed = meeting.groupBy(*keys).agg(F.count_distinct("place").alias("n")).filter(F.col("n") >= F.col("enough"))
+    begin = F.greatest(F.col("block") * F.col("width"), F.lit(0)).alias("begin")
+    end = ((F.col("block") + 2) * F.col("width") + F.col("length")).alias("end")
+    spots = proposed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "item_key", begin, end)).alias("spots"))
+    found = windows(docs, stage(spots, "spots"))
+    ready_pairs = found.join(items, ["item_id", "item_key"]).select("doc_id", "text_key", "item_id", "window", "item")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(column: pa.Array) -> list[np.ndarray]:

@@ -89,3 +89,25 @@ def test_edges(spark):
     assert sorted(str((row.doc_id, row.text)) for row in kept.collect()) == sorted(str((doc, text)) for doc, text, *_ in EDGES if doc not in near or text is None)
     assert D.contaminated(edge_documents(spark, []), items).count() == 0
     assert D.contaminated(docs, spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_every_pair_that_reaches_the_least_score_is_found(spark):
+    """Edited passages that stand in many documents, and copies with a word put in after every second one."""
+    draw = random.Random(3)
+    vocab = vocabulary(draw, 3000)
+    say = lambda n: [draw.choice(vocab) for _ in range(n)]
+    items = [(i, [f"x{i}q{k}" for k in range(n)]) for i, n in enumerate([12, 12, 16, 4, 20, 30, 12])]
+    edited = list(items[0][1])
+    edited[4], edited[8] = "other", "words"
+    texts = [say(30) + edited + say(30) for _ in range(12)] + [say(9) + edited]
+    for _, words in items:
+        spaced = [part for k, word in enumerate(words) for part in ([word, "in"] if k % 2 and k < len(words) - 1 else [word])]
+        texts += [say(draw.randint(0, 40)) + spaced + say(draw.randint(0, 40)) for _ in range(6)]
+        for share in (0.1, 0.2, 0.25, 0.3, 0.4):
+            texts.append(say(5) + [draw.choice(vocab) if draw.random() < share else word for word in words] + say(50))
+    rows = [(i, " ".join(text), "en", "s") for i, text in enumerate(texts)]
+    found = D.contaminated(edge_documents(spark, rows), spark.createDataFrame([(i, " ".join(words), "own", 0.0) for i, words in items], ITEMS)).collect()
+    scores = {(doc, i): plain_score(text, words) / len(words) for doc, text in enumerate(texts) for i, words in items}
+    expected = {pair: score for pair, score in scores.items() if score >= D.LEAST_SCORE}
+    assert len(expected) > 40
+    assert {(row.doc_id, row.item_id): row.score for row in found} == pytest.approx(expected)
