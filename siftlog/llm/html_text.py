@@ -86,9 +86,7 @@ def tree(page: str) -> Node:
     stack: list[tuple[str, Node]] = [("", root)]
     skip = ""
     at = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() < at:
-            continue
+    while token := _TOKEN.search(page, at):
         if token.start() > at and not skip:
             stack[-1][1].parts.append(page[at : token.start()])
         at = token.end()
@@ -108,12 +106,12 @@ def tree(page: str) -> Node:
             # A stray end of a block still parts texts.
             stack[-1][1].parts.append(None)
             continue
-        if skip:
+        if tag in RAW and not (skip and token[3].endswith("/")):
+            # Its content has no tokens: go on behind its end.
+            end = re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*)?(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else len(page)
-            skip = tag
+        if skip:
             continue
         if tag in SKIPPED and tag != "head":
             if not token[3].endswith("/") and tag not in VOID:

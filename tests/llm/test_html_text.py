@@ -57,6 +57,13 @@ def test_odd_pages(spark):
     assert run(spark, []) == {}
 
 
+def test_raw_elements_end_at_their_own_tag(spark):
+    """Signs of tags, comments and quotes in scripts, styles and text fields are no tokens."""
+    raw = ["<script>for(i=0;i<n;i++){f(i);}</script>", "<script>a='<!--'; b=\"<p title='\"</script >", "<style>/* <!-- <b */</style>", "<textarea>x <!-- <i</textarea>", "<svg><style>a<b</style><title/><g></svg>"]
+    rows = [(f"http://raw{i}.x/", f"<html><head>{part}</head><body>{part}<article><h1>T</h1>{part}<p>one{part} two</p></article><script>z()</script></body></html>") for i, part in enumerate(raw)]
+    assert {text for text in run(spark, rows).values()} == {"T\none two"}
+
+
 def test_wrappers_of_many_partials(spark, monkeypatch):
     """Wrappers of a host aligned in groups, level by level, are one in the end."""
     monkeypatch.setattr(H, "GROUP", 3)
