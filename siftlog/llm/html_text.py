@@ -48,7 +48,7 @@ OPEN_WORDS = frozenset("with has no without".split())
 ARTICLE_WORDS = frozenset("articlebody article-body article-content entry-content post-content post-body story-body".split())
 # Closed by a new block: a paragraph; by one of the same kind: rows and items.
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}
-# Pages of a host whose fixed texts count as its own, at least.
+# Pages of a host with different texts, at least, for its fixed texts to count as its own.
 TEMPLATE_PAGES = 3
 # Wrappers that are aligned in one group, and hosts that a task holds at once.
 GROUP, HOSTS_AT_ONCE = 32, 2_000
@@ -150,6 +150,10 @@ def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=6).hexdigest()
+
+
 def blocks(node: Node) -> Iterator[str]:
     """The texts of an element in order, what is beside the article left out."""
     run: list[str] = []
@@ -179,7 +183,7 @@ def page_wrapper(node: Node) -> list:
         elif part is not None and not part.aside:
             parts.append(page_wrapper(part))
     text = clean(" ".join(texts))
-    digest = hashlib.blake2b(text.encode(), digest_size=6).hexdigest() if text else ""
+    digest = _digest(text) if text else ""
     return [node.label, digest, len(text), False, False, _fold(parts)]
 
 
@@ -255,7 +259,9 @@ def article_path(wrapper: list) -> tuple[list[str], bool]:
 
 
 def fixed_texts(wrapper: list) -> list[str]:
-    """Digests of the texts that are no slots."""
+    """Digests of the texts that all pages have: no slots, nor anything optional or repeated."""
+    if wrapper[OPTIONAL] or wrapper[REPEATED]:
+        return []
     own = [wrapper[TEXT]] if wrapper[TEXT] not in ("", SLOT) else []
     return own + [digest for part in wrapper[PARTS] for digest in fixed_texts(part)]
 
@@ -273,7 +279,7 @@ def main_text(page: str, path: list[str] | None, said: bool, fixed: frozenset[st
             found = [part for node in found for part in node.parts if isinstance(part, Node) and part.label == label and not part.aside]
     texts = [text for node in found for text in blocks(node)]
     if not said and fixed:
-        texts = [text for text in texts if hashlib.blake2b(text.encode(), digest_size=6).hexdigest() not in fixed]
+        texts = [text for text in texts if _digest(text) not in fixed]
     return "\n".join(texts)
 
 
@@ -281,27 +287,33 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-_PARTIAL = "host string, wrapper string, pages long"
+_PARTIAL = "host string, wrapper string, pages long, seen array<string>"
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """`host`, `wrapper` (JSON) and the number of `pages` behind it: one row per host."""
+    """`host`, `wrapper` (JSON), the number of `pages` with text behind it, and digests of TEMPLATE_PAGES texts `seen`, if there are as many: one row per host."""
     narrow = pages.select(host_of(F.col("url")).alias("host"), "html").filter(F.col("html").isNotNull())
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list, int]] = {}
+        held: dict[str, tuple[list, int, set[str]]] = {}
 
         def emit() -> pa.RecordBatch:
-            rows = [(host, json.dumps(wrapper), n) for host, (wrapper, n) in held.items()]
+            rows = [(host, json.dumps(wrapper), n, sorted(seen)) for host, (wrapper, n, seen) in held.items()]
             held.clear()
-            columns = list(zip(*rows)) if rows else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["host", "wrapper", "pages"])
+            columns = list(zip(*rows)) if rows else [(), (), (), ()]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds)], ["host", "wrapper", "pages", "seen"])
 
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                new = page_wrapper(tree(page.as_py()))
-                old = held.get(host)
-                held[host] = (new, 1) if old is None else (align(old[0], new), old[1] + 1)
+                root = tree(page.as_py())
+                new, old = page_wrapper(root), held.get(host)
+                if not _chars(new):
+                    continue
+                seen = old[2] if old else set()
+                if len(seen) < TEMPLATE_PAGES:
+                    seen.add(_digest("\n".join(blocks(root))))
+                held[host] = (new, 1, seen) if old is None else (align(old[0], new), old[1] + 1, seen)
                 if len(held) > HOSTS_AT_ONCE:
                     yield emit()
         yield emit()
@@ -311,7 +323,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         whole = made[0]
         for other in made[1:]:
             whole = align(whole, other)
-        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(whole)], "pages": [int(group["pages"].sum())]})
+        seen = sorted({digest for part in group["seen"] for digest in part})[:TEMPLATE_PAGES]
+        return pd.DataFrame({"host": group["host"].iloc[:1].tolist(), "wrapper": [json.dumps(whole)], "pages": [int(group["pages"].sum())], "seen": [seen]})
 
     level = stage(narrow.mapInArrow(infer, _PARTIAL), "wrappers")
     while True:
@@ -322,7 +335,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         # Equal wrappers count once; groups of a host stay small whatever its pages.
         parts = max(1, -(-most // GROUP))
         member = F.pmod(F.xxhash64("wrapper", "pages"), F.lit(parts))
-        equal = level.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"))
+        equal = level.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("seen")))), 1, TEMPLATE_PAGES).alias("seen"))
         level = stage(equal.groupBy("host", member.alias("member")).applyInPandas(merge, _PARTIAL), "wrappers")
 
 
@@ -337,7 +350,7 @@ def extract(pages: DataFrame) -> DataFrame:
     empty table gives none.
     """
     ready(pages.sparkSession)
-    known = wrappers(pages).select(F.col("host").alias("_host"), "wrapper", F.col("pages").alias("_pages"))
+    known = wrappers(pages).select(F.col("host").alias("_host"), "wrapper", F.size("seen").alias("_pages"))
     narrow = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     joined = narrow.join(known, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper", "_pages")
 

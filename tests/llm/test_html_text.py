@@ -64,6 +64,18 @@ def test_raw_elements_end_at_their_own_tag(spark):
     assert {text for text in run(spark, rows).values()} == {"T\none two"}
 
 
+def test_texts_of_one_page_and_of_copies_are_not_the_template(spark):
+    """Left out is what all of several different pages share, not what one page or its copies have."""
+    frame = "<body><div class=top><p>Welcome to the site</p></div><div class=text>{}</div></body>"
+    rows = [("http://e.x/", frame.format(f"<p>Story {i} begins.</p><p>More of story {i}.</p>")) for i in range(5)]
+    rows.append(("http://e.x/6", frame.format("<h2>Only here</h2><p>Story 6 begins.</p><blockquote>Said once</blockquote><p>More of it.</p><pre>code</pre>")))
+    rows += [("http://f.x/", "<body><div class=text><h2>Copied</h2><p>A lone paragraph</p></div></body>")] * 4 + [("http://f.x/", "")]
+    found = run(spark, rows)
+    assert found[0] == "Story 0 begins.\nMore of story 0."
+    assert found[5] == "Only here\nStory 6 begins.\nSaid once\nMore of it.\ncode"
+    assert [found[i] for i in range(6, 11)] == ["Copied\nA lone paragraph"] * 4 + [""]
+
+
 def test_wrappers_of_many_partials(spark, monkeypatch):
     """Wrappers of a host aligned in groups, level by level, are one in the end."""
     monkeypatch.setattr(H, "GROUP", 3)
