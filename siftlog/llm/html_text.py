@@ -44,6 +44,8 @@ ASIDE_WORDS = frozenset(
     "sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond reply replies share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager toolbar skip".split()
 )
+# Of those, the ones that name what others wrote or notices of law; the rest may also describe the element around an article.
+FOREIGN_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended recommendations cookie cookies consent gdpr".split())
 OPEN_WORDS = frozenset("with has no without".split())
 ARTICLE_WORDS = frozenset("articlebody article-body article-content entry-content post-content post-body story-body".split())
 # Closed by a new block: a paragraph; by one of the same kind: rows and items.
@@ -59,25 +61,76 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-hidden|hidden)\s*
 
 @dataclass
 class Node:
-    """A block element of a page: `parts` are texts and elements in order."""
+    """A block element of a page: `parts` are texts and elements in order.
+
+    `marks` are the words that alone make it one beside the article.
+    """
 
     label: str
     aside: bool = False
+    marks: frozenset[str] = frozenset()
     parts: list = field(default_factory=list)
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with class and role, and whether it is beside the article."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, frozenset[str]]:
+    """Tag with class and role, whether it is beside the article, and the words of names if only they (or a form) say so."""
     found = {name.lower(): (a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     names = " ".join(found[name] for name in ("class", "id") if name in found).lower()
     words = re.split(r"[^a-z0-9]+", names)
-    marked = any(word in ASIDE_WORDS and (not i or words[i - 1] not in OPEN_WORDS) for i, word in enumerate(words))
+    marks = {word for i, word in enumerate(words) if word in ASIDE_WORDS and (not i or words[i - 1] not in OPEN_WORDS)} if tag not in ("body", "html", "main") else set()
     role = found.get("role", "").lower()
-    aside = tag in ASIDE or role in ASIDE_ROLES or (marked and tag not in ("body", "html", "main"))
+    sure = (tag in ASIDE and tag != "form") or role in ASIDE_ROLES
+    if tag == "form":
+        marks.add(tag)
     kind = ".".join([tag, *sorted(found.get("class", "").lower().split())])
     if role == "main" or found.get("itemprop", "").lower() == "articlebody" or any(name in ARTICLE_WORDS for name in names.split()):
         kind = f"article!{kind}"
-    return kind, aside
+    return kind, sure or bool(marks), frozenset() if sure else frozenset(marks)
+
+
+def _said(label: str) -> int:
+    """2 for an article element, 1 for the main element."""
+    name = label.split("!")[-1].split(".")[0]
+    return 2 if name == "article" or label.startswith("article!") else 1 if name == "main" else 0
+
+
+def _open_asides(root: Node) -> None:
+    """Elements that only their names or a form put beside the article are no asides if the article lies in them.
+
+    That is so where they are or hold the article or main element with most text
+    (within comments and the like only if there is no other), and where they hold
+    most of the text in paragraphs and more than what is left of the page.
+    """
+    articles: list[tuple[int, list[Node]]] = []
+    marked: list[tuple[Node, int, int, bool]] = []
+
+    def visit(node: Node, chain: list[Node], paragraph: bool) -> tuple[int, int, int]:
+        """Characters of text: all, in paragraphs, outside marked elements."""
+        chain = [*chain, node] if node.marks else chain
+        paragraph = paragraph or re.match(r"(?:article!)?(p|blockquote|pre)(\.|$)", node.label) is not None
+        text = sum(len(word) for part in node.parts if isinstance(part, str) for word in part.split())
+        size, told, own = text, text if paragraph else 0, text
+        for part in node.parts:
+            if isinstance(part, Node) and (part.marks or not part.aside):
+                more = visit(part, chain, paragraph)
+                size, told, own = size + more[0], told + more[1], own + (0 if part.marks else more[2])
+        if own and _said(node.label):
+            articles.append((own, chain))
+        if node.marks:
+            marked.append((node, size, told, any(held.marks & FOREIGN_WORDS for held in chain)))
+        return size, told, own
+
+    _, told, seen = visit(root, [], False)
+    if not marked:
+        return
+    opened = {(node.label, node.marks) for node, size, own_told, foreign in marked if not foreign and 2 * own_told > told and size > seen}
+    if articles:
+        fit = [found for found in articles if not any(node.marks & FOREIGN_WORDS for node in found[1])]
+        opened |= {(node.label, node.marks) for node in max(fit or articles, key=lambda found: found[0])[1]}
+    for node, *_ in marked:
+        # Elements named alike are of one kind.
+        if (node.label, node.marks) in opened:
+            node.aside = False
 
 
 def tree(page: str) -> Node:
@@ -86,6 +139,7 @@ def tree(page: str) -> Node:
     stack: list[tuple[str, Node]] = [("", root)]
     skip = ""
     at = 0
+    some = False
     while token := _TOKEN.search(page, at):
         if token.start() > at and not skip:
             stack[-1][1].parts.append(page[at : token.start()])
@@ -136,13 +190,16 @@ def tree(page: str) -> Node:
         if tag in VOID:
             stack[-1][1].parts.append(None)
             continue
-        label, aside = _label(tag, token[3])
-        node = Node(label, aside or tag == "head")
+        label, aside, marks = _label(tag, token[3])
+        node = Node(label, aside or tag == "head", marks)
+        some |= bool(marks)
         stack[-1][1].parts.append(node)
         if not token[3].endswith("/"):
             stack.append((tag, node))
     if at < len(page) and not skip:
         stack[-1][1].parts.append(page[at:])
+    if some:
+        _open_asides(root)
     return root
 
 
@@ -245,8 +302,7 @@ def article_path(wrapper: list) -> tuple[list[str], bool]:
 
     def visit(part: list, path: list[str]) -> None:
         nonlocal best
-        name = part[LABEL].split("!")[-1].split(".")[0]
-        said = 2 if name == "article" or part[LABEL].startswith("article!") else 1 if name == "main" else 0
+        said = _said(part[LABEL])
         own = sum(_chars(p) for p in part[PARTS] if re.match(r"(p|h[1-6]|blockquote|pre|ul|ol|dl|table)(\.|$)", p[LABEL]))
         size = _chars(part) if said else part[CHARS] + own
         if size and (said, size) > best[0]:

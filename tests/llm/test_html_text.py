@@ -76,6 +76,22 @@ def test_texts_of_one_page_and_of_copies_are_not_the_template(spark):
     assert [found[i] for i in range(6, 11)] == ["Copied\nA lone paragraph"] * 4 + [""]
 
 
+def test_names_around_the_article_do_not_drop_it(spark):
+    """Class names and forms around an article; comments, side columns and controls still go."""
+    rest = "<div class=sidebar><p>Links</p></div><section id=comments><article class=comment><p>a comment longer than all else of the page</p></article></section>"
+    article = "<h1>T</h1><p>One two.</p><p>Three.</p>"
+    pages = [
+        f"<div class='content sidebar-right'><article>{article}</article></div>{rest}",
+        f"<article class='post social'>{article}</article>{rest}",
+        f"<form id=aspnetForm action=x><input><div class=menu><a>Home</a></div><main>{article}<select><option>o</select><button>Go</button></main></form>{rest}",
+        f"<div id=page-with-banner class=banner><div class='post comments-closed'><article>{article}</article></div></div>",
+        f"<div>Top</div><div class='text widget'>{article}<div class=share>Share it</div></div><form><p>mail</p></form>",
+    ]
+    found = run(spark, [(f"http://g{i}.x/", f"<html><body>{text}</body></html>") for i, text in enumerate(pages)])
+    assert [found[i] for i in range(4)] == ["T\nOne two.\nThree."] * 4
+    assert found[4].endswith("T\nOne two.\nThree.")
+
+
 def test_wrappers_of_many_partials(spark, monkeypatch):
     """Wrappers of a host aligned in groups, level by level, are one in the end."""
     monkeypatch.setattr(H, "GROUP", 3)
