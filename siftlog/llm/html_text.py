@@ -292,26 +292,51 @@ def _chars(part: list) -> int:
     return part[CHARS] + sum(map(_chars, part[PARTS]))
 
 
-def article_path(wrapper: list) -> tuple[list[str], bool]:
-    """Labels from the root to the article, and whether an element says that it is one.
+def _texts(part: list, path: tuple[str, ...] = (), loose: bool = False) -> Iterator[tuple[tuple[str, ...], bool]]:
+    """Labels from the root to every element with own text, and whether pages may differ in it."""
+    loose = loose or part[OPTIONAL] or part[REPEATED]
+    if part[TEXT]:
+        yield path, loose or part[TEXT] == SLOT
+    for child in part[PARTS]:
+        yield from _texts(child, (*path, child[LABEL]), loose)
 
-    The article element with the most text; else the main element; else the
-    element whose own texts, paragraphs and headings have the most.
+
+def article_paths(wrapper: list, template: bool) -> tuple[list[tuple[str, ...]], bool]:
+    """Labels from the root to the article, and whether elements say that they are one.
+
+    All outermost article elements; else the main elements; else the lowest element
+    that holds all texts in which pages differ (all texts if there is no `template`).
     """
-    best: tuple[tuple[int, int], list[str], bool] = ((-1, -1), [], False)
-
-    def visit(part: list, path: list[str]) -> None:
-        nonlocal best
-        said = _said(part[LABEL])
-        own = sum(_chars(p) for p in part[PARTS] if re.match(r"(p|h[1-6]|blockquote|pre|ul|ol|dl|table)(\.|$)", p[LABEL]))
-        size = _chars(part) if said else part[CHARS] + own
-        if size and (said, size) > best[0]:
-            best = ((said, size), path, said > 0)
-        for child in part[PARTS]:
-            visit(child, [*path, child[LABEL]])
+    said: dict[int, list[tuple[str, ...]]] = {1: [], 2: []}
 
-    visit(wrapper, [])
-    return best[1], best[2]
+    def visit(part: list, path: tuple[str, ...], inside: int) -> None:
+        level = _said(part[LABEL])
+        if level > inside and _chars(part):
+            said[level].append(path)
+        for child in part[PARTS]:
+            visit(child, (*path, child[LABEL]), max(inside, level))
+
+    visit(wrapper, (), 0)
+    for level in (2, 1):
+        if said[level]:
+            return said[level], True
+    texts = list(_texts(wrapper))
+    held = [path for path, loose in texts if loose or not template] or [path for path, _ in texts]
+    common = held[0] if held else ()
+    for path in held:
+        n = next((i for i, (a, b) in enumerate(zip(common, path)) if a != b), min(len(common), len(path)))
+        common = common[:n]
+    return [common], False
+
+
+def elements(root: Node, paths: list[tuple[str, ...]]) -> Iterator[Node]:
+    """The elements at the paths in the order of the page."""
+    if () in paths:
+        yield root
+        return
+    for part in root.parts:
+        if isinstance(part, Node) and not part.aside and (rest := [path[1:] for path in paths if path[0] == part.label]):
+            yield from elements(part, rest)
 
 
 def fixed_texts(wrapper: list) -> list[str]:
@@ -322,17 +347,14 @@ def fixed_texts(wrapper: list) -> list[str]:
     return own + [digest for part in wrapper[PARTS] for digest in fixed_texts(part)]
 
 
-def main_text(page: str, path: list[str] | None, said: bool, fixed: frozenset[str]) -> str:
-    """The text of the article: of all elements on the path of the wrapper, else of what the page itself suggests."""
+def main_text(page: str, paths: list[tuple[str, ...]] | None, said: bool, fixed: frozenset[str]) -> str:
+    """The text of the article: of all elements at the paths of the wrapper, else of what the page itself suggests."""
     root = tree(page)
-    found = [root]
-    for label in path or []:
-        found = [part for node in found for part in node.parts if isinstance(part, Node) and part.label == label and not part.aside]
-    own_path, own_said = ([], False) if path and found and said else article_path(page_wrapper(root))
-    if not found or path is None or (own_said and not said):
-        found, said, fixed = [root], own_said, frozenset()
-        for label in own_path:
-            found = [part for node in found for part in node.parts if isinstance(part, Node) and part.label == label and not part.aside]
+    found = list(elements(root, paths)) if paths else []
+    if not found or not said:
+        own_paths, own_said = article_paths(page_wrapper(root), False)
+        if not found or own_said:
+            found, said, fixed = list(elements(root, own_paths)), own_said, frozenset()
     texts = [text for node in found for text in blocks(node)]
     if not said and fixed:
         texts = [text for text in texts if _digest(text) not in fixed]
@@ -401,7 +423,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A block's white space, after character references are decoded, is one space;
     blocks are joined by line ends in the order of the page. A null or empty html
     gives an empty text; a null url stands for a host of its own; repeated rows
-    give equal results. Of several article elements on one path all count. Pages
+    give equal results. Of several article elements all count. Pages
     cut off anywhere are read as far as they go. Other columns are not read. An
     empty table gives none.
     """
@@ -411,15 +433,15 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = narrow.join(known, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper", "_pages")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, path, said, fixed = None, None, False, frozenset()
+        last, paths, said, fixed = None, None, False, frozenset()
         for batch in batches:
             texts = []
             for page, wrapper, n in zip(batch.column("html"), batch.column("wrapper").to_pylist(), batch.column("_pages").to_pylist()):
                 if wrapper != last:
                     last, made = wrapper, json.loads(wrapper) if wrapper else None
-                    path, said = article_path(made) if made else (None, False)
+                    paths, said = article_paths(made, n >= TEMPLATE_PAGES) if made else (None, False)
                     fixed = frozenset(fixed_texts(made)) if made and n >= TEMPLATE_PAGES and not said else frozenset()
-                texts.append(main_text(page.as_py() or "", path, said, fixed))
+                texts.append(main_text(page.as_py() or "", paths, said, fixed))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = StructType([narrow.schema["page_id"], narrow.schema["url"], StructField("text", StringType()), StructField("n_chars", LongType())])

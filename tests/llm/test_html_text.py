@@ -92,6 +92,17 @@ def test_names_around_the_article_do_not_drop_it(spark):
     assert found[4].endswith("T\nOne two.\nThree.")
 
 
+def test_articles_of_several_containers_are_whole(spark):
+    """Containers beside each other, and article elements on different paths."""
+    body = "<body><div class=top>Site</div><div><h1>T{0}</h1><div class=lead><p>A{0}</p></div><div class=text><p>B{0} is the longest part of all.</p></div><div class=end>C{0}<p>D{0}</p></div></div></body>"
+    rows = [("http://h.x/", body.format(i)) for i in range(4)]
+    rows.append(("http://i.x/", "<body><div><h1>T</h1><div class=lead><p>A</p></div><div class=text><p>B is longer</p></div></div></body>"))
+    rows.append(("http://j.x/", "<body>Site<div class=a><article><p>One</p></article></div><div class=b><section><article>Two is longer</article></section></div></body>"))
+    found = run(spark, rows)
+    assert [found[i] for i in range(4)] == [f"T{i}\nA{i}\nB{i} is the longest part of all.\nC{i}\nD{i}" for i in range(4)]
+    assert [found[4], found[5]] == ["T\nA\nB is longer", "One\nTwo is longer"]
+
+
 def test_wrappers_of_many_partials(spark, monkeypatch):
     """Wrappers of a host aligned in groups, level by level, are one in the end."""
     monkeypatch.setattr(H, "GROUP", 3)
