@@ -36,7 +36,7 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[\"'][A-Za-z0-9+/_.=-]{16,128}[\"']"
+SECRET = r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[\"'][A-Za-z0-9+/_.=-]{16,}+[\"']"
 KINDS = (
     Kind("email", EMAIL, True, 0.9, 0.9, r"(?i)\b(?:mail|e-mail|email|contact|write|kontakt|correo|courriel)\b"),
     Kind("ip", IP, True, 0.6, 0.6, r"(?i)\b(?:ip|host|server|address|adresse|direcci[oó]n)\b"),

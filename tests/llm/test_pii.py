@@ -46,6 +46,12 @@ def test_added_spans(spark):
     assert texts(8, "secret") == ['token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"', "api_key: 'ABCDEFGHIJKLMNOPQRST'"]
 
 
+def test_long_secrets_are_whole(spark):
+    texts = [f'x token="{"eyJhbGciOi" * n}.{"aB3_-" * n}" y' for n in (8, 40, 20_000)] + ['token="' + "a" * 3000 + " "]
+    found = {row.doc_id: row["all"] for row in spans(spark, [(i, text, "en", "s") for i, text in enumerate(texts)])}
+    assert found == {**{i: f"secret:2:{len(texts[i]) - 2}" for i in range(3)}, 3: ""}
+
+
 def test_context_raises_the_score(spark):
     docs = edge_documents(spark, [(1, "call +1 234 567 890", "en", "s"), (2, "nothing +1 234 567 890", "en", "s")])
     scores = {row.doc_id: row["_spans"][0].score for row in pii.find(docs).select("_row.doc_id", "_spans").collect()}
