@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import chat, decontamination, html_text, language_id, line_dedup, mixing, pii, quality, simhash, warc
+from siftlog.llm import chat, decontamination, html_text, language_id, line_dedup, mixing, pii, quality, simhash, token_files, warc
 from siftlog.llm.common import table
+from siftlog.session import stage
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +84,19 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from the binary files."""
+    path = token_files.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    rows = stage(token_files.with_checksums(token_files.read_shards(spark, path)), "token-rows")
+    return token_files.with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_language_id, op2_source_mix, op3_quality_rules, op4_html_text, op5_line_dedup,
         op6_arc_to_warc, op7_personal_data, op8_chat_format, op9_benchmark_leaks, op10_simhash_groups,
+        op12_token_files,
     )
 }
 
