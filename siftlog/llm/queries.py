@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import chat, decontamination, html_text, language_id, line_dedup, mixing, pii, quality, simhash, token_files, warc
+from siftlog.llm import chat, decontamination, html_text, language_id, line_dedup, mixing, phrases, pii, quality, simhash, spelling, token_files, warc
 from siftlog.llm.common import table
 from siftlog.session import stage
 
@@ -84,6 +84,11 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids as read back from the binary files."""
     path = token_files.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -91,12 +96,17 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_language_id, op2_source_mix, op3_quality_rules, op4_html_text, op5_line_dedup,
         op6_arc_to_warc, op7_personal_data, op8_chat_format, op9_benchmark_leaks, op10_simhash_groups,
-        op12_token_files,
+        op11_collocations, op12_token_files, op13_spelling_variants,
     )
 }
 
@@ -151,4 +161,34 @@ with turns as (
 select conv_id, n_turns, sha256(said) as turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, formatted_chars::bigint as formatted_chars from sums
 """
 
-SQL = {"op5_line_dedup": LINE_DEDUP, "op6_arc_to_warc": ARC_TO_WARC, "op8_chat_format": CHAT_FORMAT}
+COLLOCATIONS = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), lists as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+), totals as (
+  select lang, sum(len(w))::bigint as n from lists group by lang
+), places as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from lists
+), grams as (
+  select lang, w[i:i + k - 1] as g, k, count(*) as f from places, range(1, 6) s(k) where i + k - 1 <= len(w) group by all having count(*) >= 100
+), cuts as (
+  select c.lang, c.g, c.k, c.f as a, cut, l.f as l, r.f as r, n, (1000::hugeint * c.f * n) // (l.f::hugeint * r.f) as score
+  from grams c, range(1, 5) s(cut), grams l, grams r, totals t
+  where c.k >= 2 and cut < c.k and l.lang = c.lang and l.g = c.g[1:cut] and r.lang = c.lang and r.g = c.g[cut + 1:] and t.lang = c.lang
+), scored as (
+  select * from cuts qualify row_number() over (partition by lang, g order by score, cut) = 1
+), held as (
+  select lang, g[i:i + m - 1] as g, max(f) as f from grams, range(2, 5) s(m), range(1, 5) p(i) where m < k and i + m - 1 <= k group by all
+), kept as (
+  select s.* from scored s left join held h on h.lang = s.lang and h.g = s.g where h.f is null or 100 * h.f < 100 * s.a
+), ranked as (
+  select lang, array_to_string(g, ' ') as phrase, a, l, r, n, score from kept
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from ranked qualify rank <= 2000
+"""
+
+SQL = {"op11_collocations": COLLOCATIONS, "op5_line_dedup": LINE_DEDUP, "op6_arc_to_warc": ARC_TO_WARC, "op8_chat_format": CHAT_FORMAT}
