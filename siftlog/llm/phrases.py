@@ -19,8 +19,11 @@ these as well; a range border lies inside at most as many phrases as a phrase ha
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,8 @@ HELD_PERCENT = 100
 NO_LANGUAGE = "und"
 # Bits of the filter of a level; it takes 8 MB whatever the data.
 FIELD_BITS = 26
-# Text bytes worked on at once, hashes kept before equal ones are combined, sampled phrases for each border of ranges.
-CHUNK_BYTES, HELD_HASHES, SAMPLED = 8 << 20, 1 << 21, 32
+# Text bytes worked on at once, hashes and phrases kept before equal ones are combined, sampled phrases for each border of ranges.
+CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, SAMPLED = 1 << 19, 1 << 18, 200_000, 32
 # Parts of a language's phrases that are ranked alone first.
 SALTS = 16
 
@@ -64,7 +67,7 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.row = np.searchsorted(bounds, self.starts, "right") - 1
-        self.piece = np.cumsum(kind == 2)[self.starts] + self.row
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts] + self.row
 
     def windows(self, n: int) -> np.ndarray:
         """Whether the `n` words from each word on are there and in one piece."""
@@ -179,19 +182,49 @@ def _tallies(words: Words, languages: list[str], fields: list[np.ndarray]) -> It
 
 
 def counts(docs: DataFrame, fields: list[np.ndarray]) -> DataFrame:
-    """`lang`, `words` and count `f` of every frequent phrase; the empty phrase counts all words of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast(fields)
+    """`lang`, `words` and count `f` of every frequent phrase; the empty phrase counts all words of a language.
+
+    Tasks write runs of what they have counted, a part of the phrases to a row; the
+    runs of a part meet in one task, which holds the distinct phrases of its part.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fields)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, ...]] = Counter()
+
+        def runs() -> pa.RecordBatch:
+            found: dict[int, tuple[list, list, list]] = {}
+            for gram, n in held.items():
+                run = found.setdefault(zlib.crc32("\t".join(gram).encode()) % parts, ([], [], []))
+                for column, value in zip(run, (gram[0], gram[1:], n)):
+                    column.append(value)
+            held.clear()
+            langs, grams, numbers = zip(*found.values()) if found else ((), (), ())
+            columns = [pa.array(found.keys(), pa.int32()), pa.array(langs, pa.list_(pa.string())), pa.array(grams, pa.list_(pa.list_(pa.string()))), pa.array(numbers, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["part", "langs", "grams", "numbers"])
+
         for batch in batches:
             for words, languages in _chunks(batch):
-                rows = list(_tallies(words, languages, shared.value))
-                for first in range(0, len(rows), 20_000):
-                    langs, grams, numbers = zip(*rows[first : first + 20_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.list_(pa.string())), pa.array(numbers, pa.int64())], ["lang", "words", "f"])
+                for name, gram, n in _tallies(words, languages, shared.value):
+                    held[name, *gram] += n
+                if len(held) > HELD_PHRASES:
+                    yield runs()
+        yield runs()
 
-    counted = docs.mapInArrow(count, "lang string, words array<string>, f long").groupBy("lang", "words").agg(F.sum("f").alias("f"))
-    return counted.filter((F.col("f") >= LEAST_COUNT) | (F.size("words") == 0))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, ...]] = Counter()
+        for batch in batches:
+            for langs, grams, numbers in zip(*(batch.column(name) for name in ("langs", "grams", "numbers"))):
+                for lang, gram, n in zip(langs.as_py(), grams.as_py(), numbers.as_py()):
+                    held[lang, *gram] += n
+        rows = iter(sorted((gram, n) for gram, n in held.items() if n >= LEAST_COUNT or len(gram) == 1))
+        while some := list(islice(rows, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([gram[0] for gram, _ in some]), pa.array([gram[1:] for gram, _ in some], pa.list_(pa.string())), pa.array([n for _, n in some])], ["lang", "words", "f"])
+
+    counted = docs.mapInArrow(count, "part int, langs array<string>, grams array<array<string>>, numbers array<long>")
+    return counted.repartitionById(parts, F.col("part")).mapInArrow(merge, "lang string, words array<string>, f long")
 
 
 _STREAM = {"lang": pa.string(), "words": pa.list_(pa.string()), "f": pa.int64(), "longer": pa.int64(), "first": pa.list_(pa.int64()), "chain": pa.list_(pa.int64())}
