@@ -15,8 +15,8 @@ by the running sums of the sizes, and decompresses and checks these alone.
 
 from __future__ import annotations
 
-import hashlib
 import os
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,7 +25,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftlog.llm.common import ready, text_key
+from siftlog.llm.common import ready, text_buffers, text_key
 from siftlog.session import stage, stage_path
 
 # Ids of a frame and of a shard, about; a longer document has frames, or a shard, of its own.
@@ -44,140 +43,154 @@ SEEK_FRAME, DOCUMENT_FRAME, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A5E, 0x184D2A50,
 VERSION = 1
 _HEAD = "<HHIIQ"
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
-# Words whose ids a worker keeps, and ids of them; both start anew beyond that.
-MOST_WORDS, MOST_IDS = 1 << 20, 1 << 23
+# Parts of words whose ids a worker keeps, and ids of them; both start anew beyond that. Text bytes encoded at once.
+MOST_PARTS, MOST_IDS, CHUNK_BYTES = 700_000, 1 << 22, 4 << 20
 PARTS_AT_ONCE = 256
-MARKS = ".,;:!?"
-_NUL = "\x00"
+MARKS = string.punctuation
+# Kinds of bytes, and bytes with A-Z read as a-z.
+OTHER, SPACE, MARK, LETTER = range(4)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+_KIND[[*MARKS.encode()]] = MARK
+_KIND[[*string.ascii_letters.encode()]] = LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_NUL, _NON_ASCII = "\x00", "\x80"
 
 
 class WordEncoder:
     """Ids of whole texts, from the ids of their words.
 
     The tokenizer must never join what white space separates, must split between a
-    letter and a final mark, and must read A-Z as a-z; this is tried at the start, and
-    what does not hold is not used. The ids of words are kept.
+    letter and final marks, and must read A-Z as a-z; this is tried at the start, and
+    what does not hold is not used. A chunk with a special token in it is only cut at white
+    space. The ids of parts are kept.
     """
 
     def __init__(self, spec: str) -> None:
+        # Spark has a worker on each core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.spec = spec
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         pairs = [(a, b) for a in ("ab", "x.", "1", "é") for b in ("cd", "'s", "2", "\u0301c", ".")]
         self.by_words = all(self._is_sum(f"{a}{gap}{b}", a, b) for a, b in pairs for gap in " \t\n\v\f\r")
-        letters = [chr(i) for i in (*range(65, 91), *range(97, 123))]
-        self.by_cores = self.by_words and all(self._is_sum(f"a{sign}{tail}", f"a{sign.lower()}", tail) for sign in letters for tail in (*MARKS, MARKS, MARKS[::-1]))
+        letters = [chr(i) for i in range(0x100) if _is_letter(chr(i))]
+        tails = [*MARKS, *(a + b for a in MARKS for b in MARKS), MARKS, MARKS[::-1]]
+        self.by_cores = self.by_words and all(self._is_sum(f"a{sign}{tail}", f"a{sign.lower() if sign < _NON_ASCII else sign}", tail) for tail in tails for sign in (letters if len(tail) == 1 else "aZé"))
+        self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         nul = self.plain([_NUL])[0]
         self.nul = nul[0] if self.by_words and len(nul) == 1 else None
         self.clear()
 
+    def __reduce__(self) -> tuple:
+        """A worker that gets this by broadcast makes its own, and keeps it from task to task."""
+        return WordEncoder, (self.spec,)
+
     def _is_sum(self, whole: str, *parts: str) -> bool:
         return self.plain([whole])[0] == sum(self.plain(list(parts)), [])
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
+        # Number of each part; the empty one is the first.
+        self.parts: dict[str, int] = {"": 0}
         self.starts, self.lengths, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.pool = np.zeros(1 << 16, np.uint32)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Ids of new parts: many are encoded as one text with NULs between, which no other sign's ids hold."""
-        joined = [part for part in parts if self.nul is not None and _NUL not in part]
-        for first in range(0, len(joined), PARTS_AT_ONCE):
-            some = joined[first : first + PARTS_AT_ONCE]
-            ids = self.plain([f" {_NUL} ".join(some)])[0]
-            cuts = [-1, *(i for i, value in enumerate(ids) if value == self.nul), len(ids)]
-            own = [ids[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:])]
-            self.parts.update(zip(some, own if len(own) == len(some) else self.plain(some)))
-        alone = [part for part in parts if part not in self.parts]
-        self.parts.update(zip(alone, self.plain(alone)))
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: of the word without its final marks, in lower case, and of the marks."""
-        split = []
-        for word in words:
-            core = word.rstrip(MARKS) if self.by_cores else word
-            tail = word[len(core) :]
-            if tail and not (core[-1:].isascii() and core[-1:].isalpha()):
-                core, tail = word, ""
-            split.append((core.lower() if self.by_cores and core.isascii() and core.isalpha() else core, tail))
-        self._encode_parts(list({part for pair in split for part in pair if part not in self.parts}))
-        found = [self.parts[core] + self.parts[tail] for core, tail in split]
+    def _ids_of(self, parts: list[str]) -> list[list[int]]:
+        """Ids of some parts: they are encoded as one text with NULs between, which no other sign's ids hold."""
+        if self.nul is None or any(_NUL in part for part in parts):
+            return self.plain(parts)
+        ids = self.plain([f" {_NUL} ".join(parts)])[0]
+        cuts = [-1, *(i for i, value in enumerate(ids) if value == self.nul), len(ids)]
+        own = [ids[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return own if len(own) == len(parts) else self.plain(parts)
+
+    def _learn(self, parts: list[str]) -> None:
+        found = [ids for first in range(0, len(parts), PARTS_AT_ONCE) for ids in self._ids_of(parts[first : first + PARTS_AT_ONCE])]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        count, total = len(self.known) + len(found), self.used + int(lengths.sum())
+        have = len(self.parts)
+        count, total = have + len(found), self.used + int(lengths.sum())
         if count > len(self.starts):
             self.starts, self.lengths = (np.concatenate([old, np.zeros(count, np.int64)]) for old in (self.starts, self.lengths))
         if total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(total, np.uint32)])
-        self.lengths[len(self.known) : count] = lengths
-        self.starts[len(self.known) : count] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[have:count] = lengths
+        self.starts[have:count] = self.used + np.cumsum(lengths) - lengths
         self.pool[self.used : total] = np.fromiter(chain.from_iterable(found), np.uint32, total - self.used)
         self.used = total
-        self.known.update(zip(words, range(len(self.known), count)))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and where each text's begin; nulls are empty."""
+        self.parts.update(zip(parts, range(have, count)))
+
+    def _parts_of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Words, cut before their final marks, and the number of parts before each text."""
+        lower = _LOWER[data]
+        plain = lower.tobytes()
+        cuts = self.by_cores and not any(token in plain for token in self.added)
+        data = lower if cuts else data
+        kind = _KIND[data]
+        inside = kind != SPACE
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[bounds] = True
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | edge[1:-1]
+        if cuts:
+            # Of words with a mark at the end, the last byte that is no mark; if a letter ends there, the marks behind it are a part.
+            first = np.flatnonzero(begins)
+            ends = inside.copy()
+            ends[:-1] &= ~inside[1:] | edge[1:-1]
+            last = np.flatnonzero(ends)
+            marked = kind[last] == MARK
+            first, last = first[marked], last[marked]
+            waiting = np.arange(len(last))
+            while len(waiting):
+                last[waiting] -= 1
+                waiting = waiting[last[waiting] >= first[waiting]]
+                waiting = waiting[kind[last[waiting]] == MARK]
+            last = last[last >= first]
+            sign, before = data[last], data[np.maximum(last - 1, 0)]
+            letter = (kind[last] == LETTER) | ((before == 0xC3) & (sign >= 0x80) & (sign != 0x97) & (sign != 0xB7))
+            begins[last[letter] + 1] = True
+        starts = np.flatnonzero(begins)
+        kept = np.concatenate(([0], np.cumsum(inside, dtype=np.int64)))
+        offsets = np.concatenate((kept[starts], kept[-1:]))
+        parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+        return parts, np.searchsorted(starts, bounds)
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, given as bytes and where each begins, in order, and where each text's ids begin."""
         if not self.by_words:
-            own = self.plain([text or "" for text in texts.to_pylist()])
-            bounds = np.concatenate(([0], np.cumsum([len(ids) for ids in own], dtype=np.int64)))
-            return np.array([i for ids in own for i in ids], np.uint32), bounds
-        if len(self.known) > MOST_WORDS or self.used > MOST_IDS:
+            own = self.plain([data[a:b].tobytes().decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+            upto = np.concatenate(([0], np.cumsum([len(ids) for ids in own], dtype=np.int64)))
+            return np.fromiter(chain.from_iterable(own), np.uint32, int(upto[-1])), upto
+        if len(self.parts) > MOST_PARTS or self.used > MOST_IDS:
             self.clear()
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [word for word in words if word not in self.known]
+        parts, before = self._parts_of(data, bounds)
+        coded = parts.dictionary_encode()
+        listed = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [part for part in listed if part not in self.parts]
         if new:
             self._learn(new)
-        places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        codes = places[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        lengths = self.lengths[codes]
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        first = np.repeat(self.starts[codes] - upto[:-1], lengths)
-        ids = self.pool[first + np.arange(upto[-1])]
-        per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        return ids, upto[np.concatenate(([0], np.cumsum(per_text)))]
-
-
-_encoders: dict[bytes, WordEncoder] = {}
-
-
-def encoder_of(spec: str) -> WordEncoder:
-    """The encoder of a tokenizer's JSON; a worker keeps the last one."""
-    key = hashlib.sha1(spec.encode()).digest()
-    if key not in _encoders:
-        # Spark has a worker on each core.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders.clear()
-        _encoders[key] = WordEncoder(spec)
-    return _encoders[key]
+        codes = np.fromiter(map(self.parts.__getitem__, listed), np.int64, len(listed))[coded.indices.to_numpy()]
+        upto = np.concatenate(([0], np.cumsum(self.lengths[codes])))
+        places = np.repeat(self.starts[codes] - upto[:-1], np.diff(upto))
+        places += np.arange(upto[-1])
+        return self.pool[places], upto[before]
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """`doc_id`, `text_key` and the ids of each text with `end_id` behind them, as bytes of 2 or 4 an id (`width`).
-
-    `tokenizer` is the place of a JSON file on the driver; its content goes to the workers.
-    """
-    spec = Path(tokenizer).read_text(encoding="utf-8")
-    model = Tokenizer.from_str(spec)
-    width = 2 if max(model.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
-    narrow = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text"))
+def _is_letter(sign: str) -> bool:
+    return sign.isalpha() and (sign < _NON_ASCII or "\xc0" <= sign <= "\xff")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value)
-        for batch in batches:
-            ids, bounds = encoder.encode(batch.column("text"))
-            ends = np.insert(ids, bounds[1:], end_id).astype(f"<u{width}")
-            offsets = (bounds + np.arange(len(bounds))) * width
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ends)])
-            widths = pa.array(np.full(batch.num_rows, width, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), widths, data.cast(pa.binary())], ["doc_id", "text_key", "width", "ids"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text_key long, width int, ids binary")
+def _some_rows(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about CHUNK_BYTES each; a longer text is alone."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1)
+        yield first, last
+        first = last
 
 
 class ShardWriter:
@@ -286,24 +299,34 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int) -> str:
     one id follow a hash of their text; rows equal in both are interchangeable. Ids must
     be integers. Other columns are not read. An empty table gives no shard.
 
-    Each text is encoded once, into a table in the shared folder. Tasks write ranges of
-    ids, so no task holds more than a shard of about SHARD_IDS and the document that closes it.
+    `tokenizer` is the place of a JSON file on the driver; its content goes to the workers.
+    `end_id` closes each document. Tasks encode and write ranges of ids, so none holds more
+    than a shard of about SHARD_IDS and the document that closes it.
     """
     spark = ready(docs.sparkSession)
     path = stage_path(spark, "tokens")
-    rows = stage(encode(docs.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer, end_id), "ids")
+    encoder = WordEncoder(Path(tokenizer).read_text(encoding="utf-8"))
+    width = 2 if max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+    shared = spark.sparkContext.broadcast(encoder)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     order = [F.asc_nulls_last("doc_id"), F.asc("text_key")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, piece = None, 0
         for batch in batches:
-            for doc, width, data in zip(batch.column("doc_id").to_pylist(), batch.column("width").to_pylist(), batch.column("ids")):
-                writer = writer or ShardWriter(width, TaskContext.get().partitionId(), piece)
-                writer.add(doc, data.as_py())
-                if writer.ids >= SHARD_IDS:
-                    yield pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], ["shard"])
-                    writer, piece = None, piece + 1
+            docs, (text, offsets) = batch.column("doc_id").to_pylist(), text_buffers(batch.column("text"))
+            for first, last in _some_rows(offsets):
+                a, b = int(offsets[first]), int(offsets[last])
+                ids, bounds = shared.value.encode(text[a:b], offsets[first : last + 1] - a)
+                data = np.insert(ids, bounds[1:], end_id).astype(f"<u{width}").tobytes()
+                ends = ((bounds + np.arange(len(bounds))) * width).tolist()
+                for doc, a, b in zip(docs[first:last], ends[:-1], ends[1:]):
+                    writer = writer or ShardWriter(width, TaskContext.get().partitionId(), piece)
+                    writer.add(doc, data[a:b])
+                    if writer.ids >= SHARD_IDS:
+                        yield pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], ["shard"])
+                        writer, piece = None, piece + 1
         if writer:
             yield pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], ["shard"])
 
