@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.common import ready
+from siftlog.llm.common import bound, ready, running_sums
 
 # The control strings of the template.
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>"
 LEARNT_ROLE = "assistant"
+# What stands before a text.
+HEADER = r"^<\|im_(?:sep|next)\|>"
 
 
 def escape(text: Column) -> Column:
@@ -28,43 +30,30 @@ def unescape(text: Column) -> Column:
 
 
 def merged_turns(turns: Column) -> Column:
-    """Sorted turns with adjacent ones of one role put together: `role` and its `texts`."""
-    kind = "array<struct<role:string,texts:array<string>>>"
+    """What each of the sorted turns adds to the text: the control strings `before` it, its `text`, and whether it is `learnt`.
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        longer = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        new = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        same = F.when(F.size(blocks) > 0, last["role"] == turn["role"]).otherwise(False)
-        return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(longer))).otherwise(F.concat(blocks, F.array(new)))
-
-    return F.aggregate(turns, F.array().cast(kind), add)
-
-
-def render(blocks: Column) -> Column:
-    parts = F.transform(blocks, lambda block: F.concat(F.lit(START), escape(block["role"]), F.lit(SEP), F.array_join(F.transform(block["texts"], escape), NEXT), F.lit(END)))
-    return F.array_join(parts, "")
+    A turn of the role of the one before it goes on in that one's block.
+    """
+    roles = F.transform(turns, lambda turn: turn["role"])
+    previous = F.concat(F.array(F.lit(None).cast("string")), F.slice(roles, F.lit(1), F.greatest(F.size(roles) - 1, F.lit(0))))
 
+    def piece(turn: Column, role: Column) -> Column:
+        opening = F.concat(F.lit(START), escape(turn["role"]), F.lit(SEP))
+        before = F.when(role.isNull(), opening).when(role == turn["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), opening))
+        return F.struct(before.alias("before"), escape(turn["text"]).alias("text"), (turn["role"] == LEARNT_ROLE).alias("learnt"))
 
-def loss_spans(formatted: Column) -> Column:
-    """`start` and `end` (code points, end exclusive) of each learnt text in a formatted conversation."""
-    blocks = F.slice(F.split(formatted, r"<\|im_start\|>", -1), F.lit(2), F.size(F.split(formatted, r"<\|im_start\|>", -1)))
+    return F.zip_with(turns, previous, piece)
 
-    def add(state: Column, block: Column) -> Column:
-        role = F.substring_index(block, SEP, 1)
-        body = F.substring(block, F.length(role) + len(SEP) + 1, F.length(block) - F.length(role) - len(SEP) - len(END))
-        begin = state["at"] + len(START) + F.length(role) + len(SEP)
-        lengths = F.transform(F.split(body, r"<\|im_next\|>", -1), F.length)
 
-        def text_span(inner: Column, length: Column) -> Column:
-            span = F.struct(inner["at"].alias("start"), (inner["at"] + length).alias("end"))
-            return F.struct((inner["at"] + length + len(NEXT)).alias("at"), F.concat(inner["spans"], F.array(span)).alias("spans"))
+def render(pieces: Column) -> Column:
+    return F.concat(F.array_join(F.transform(pieces, lambda piece: F.concat(piece["before"], piece["text"])), ""), F.lit(END))
 
-        empty = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-        spans = F.when(role == LEARNT_ROLE, F.aggregate(lengths, empty, text_span)["spans"]).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct((state["at"] + len(START) + F.length(block)).alias("at"), F.concat(state["spans"], spans).alias("spans"))
 
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")), add)["spans"]
+def loss_spans(pieces: Column) -> Column:
+    """`start` and `end` (code points, end exclusive) of each learnt text in the rendered pieces."""
+    ends = running_sums(F.transform(pieces, lambda piece: F.length(piece["before"]) + F.length(piece["text"])))
+    spans = F.zip_with(pieces, ends, lambda piece, end: F.struct((end - F.length(piece["text"])).alias("start"), end.alias("end"), piece["learnt"].alias("learnt")))
+    return F.transform(F.filter(spans, lambda span: span["learnt"]), lambda span: F.struct(span["start"].alias("start"), span["end"].alias("end")))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -89,9 +78,29 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     ready(turns.sparkSession)
     turn = F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    formatted = gathered.select("conv_id", render(merged_turns(F.col("turns"))).alias("formatted"))
-    return formatted.select("conv_id", "formatted", loss_spans(F.col("formatted")).alias("loss"))
+    both = bound(F.col("turns"), lambda sorted_: bound(merged_turns(sorted_), lambda pieces: F.struct(render(pieces).alias("formatted"), loss_spans(pieces).alias("loss"))))
+    return gathered.select("conv_id", both.alias("both")).select("conv_id", "both.formatted", "both.loss")
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    return F.array_join(F.transform(loss, lambda span: unescape(F.substring(formatted, span["start"] + 1, span["end"] - span["start"]))), "")
+    """The texts under the loss mask, as they were.
+
+    The conversation is parted at its control strings; parts and spans are sorted
+    together by where they start, so that a span stands before the text it marks.
+    """
+
+    def entry(at: Column, kind: int, text: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    def read(row: Column) -> Column:
+        ends = running_sums(F.transform(row["parts"], F.length))
+        bodies = F.zip_with(row["parts"], ends, lambda part, end: entry(end - F.length(part) + F.length(F.regexp_extract(part, HEADER, 0)), 1, F.when(part.rlike(HEADER), F.regexp_replace(part, HEADER, ""))))
+        texts = F.filter(bodies, lambda body: body["text"].isNotNull())
+        marks = F.transform(row["loss"], lambda span: entry(span["start"], 0, F.lit(None).cast("string")))
+        return bound(F.array_sort(F.concat(marks, texts)), marked)
+
+    def marked(entries: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.transform(F.slice(entries, F.lit(1), F.greatest(F.size(entries) - 1, F.lit(0))), lambda own: F.when(own["kind"] == 0, own["at"]).otherwise(-1)))
+        return F.array_join(F.zip_with(entries, before, lambda own, at: F.when((own["kind"] == 1) & (own["at"] == at), unescape(own["text"])).otherwise("")), "")
+
+    return bound(F.struct(F.split(formatted, r"(?=<\|im_)", -1).alias("parts"), loss.alias("loss")), read)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,8 @@ from siftlog.session import prepare
 WORD = "[^\\x20\\x09-\\x0D]+"
 # Text bytes that are worked on at once; a longer document is worked on alone.
 CHUNK_BYTES = 1 << 20
+# An array in memory has fewer numbers than two to this power.
+MOST_DOUBLINGS = 26
 # Rows and bytes that Spark hands to Python at once.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
@@ -54,6 +56,28 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of the first, first two, ... numbers of an array, in passes that double their reach: n log n for n numbers."""
+
+    def reach(width: int) -> Callable[[Column], Column]:
+        def add(sums: Column) -> Column:
+            # As a constant, the array of zeros would be made beforehand, whatever its length.
+            zeros = F.array_repeat(F.lit(0), F.least(F.size(sums), F.lit(width)))
+            before = F.concat(zeros, F.slice(sums, F.lit(1), F.size(sums) - width))
+            return F.when(F.size(sums) > width, F.zip_with(sums, before, lambda a, b: a + b)).otherwise(sums)
+
+        return add
+
+    for place in range(MOST_DOUBLINGS):
+        values = bound(values, reach(1 << place))
+    return values
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share an id. Rows equal in id and text count as one document stored twice."""
     return F.xxhash64(text)

@@ -20,6 +20,7 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +34,7 @@ from siftlog.llm.common import ready
 from siftlog.session import stage
 
 # Elements and words of class names.
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title select option textarea button datalist audio video map".split())
+SKIPPED = frozenset("script style noscript template iframe object svg canvas head title select option textarea button datalist audio video map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -46,7 +47,11 @@ ASIDE_WORDS = frozenset(
 )
 # Of those, the ones that name what others wrote or notices of law; the rest may also describe the element around an article.
 FOREIGN_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended recommendations cookie cookies consent gdpr".split())
-OPEN_WORDS = frozenset("with has no without".split())
+# Words that may stand beside those in one name; a name with any other word says what its element is about.
+NEUTRAL_WORDS = frozenset(
+    "site main page post article entry blog news top bottom left right inner outer upper lower primary secondary global mobile desktop sticky fixed inline js my the all more box block container wrapper wrap "
+    "section list item items area bar button buttons link links icon icons group row column col content body header title label text form field form posts articles stories story unit slot space zone panel tools row media".split()
+)
 ARTICLE_WORDS = frozenset("articlebody article-body article-content entry-content post-content post-body story-body".split())
 # Closed by a new block: a paragraph; by one of the same kind: rows and items.
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}
@@ -55,7 +60,11 @@ TEMPLATE_PAGES = 3
 # Wrappers that are aligned in one group, and hosts that a task holds at once.
 GROUP, HOSTS_AT_ONCE = 32, 2_000
 SLOT = "*"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
+# Nodes below one another; elements that lie deeper are put side by side, with all their texts in order.
+MOST_DEPTH = 100
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)([^<>\"']*(?:\"[^<>\"]*\"[^<>\"']*|'[^<>']*'[^<>\"']*)*)>")
+_TAG_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SIGNS = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-hidden|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -72,17 +81,27 @@ class Node:
     parts: list = field(default_factory=list)
 
 
+def _marks(names: str) -> set[str]:
+    """The words of names made of ASIDE_WORDS, and words that say nothing else."""
+    out: set[str] = set()
+    for name in names.split():
+        words = [word for word in re.split(r"[^a-z]+", name) if word]
+        if all(word in ASIDE_WORDS or word in NEUTRAL_WORDS for word in words):
+            out.update(word for word in words if word in ASIDE_WORDS)
+    return out
+
+
 def _label(tag: str, attributes: str) -> tuple[str, bool, frozenset[str]]:
     """Tag with class and role, whether it is beside the article, and the words of names if only they (or a form) say so."""
     found = {name.lower(): (a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     names = " ".join(found[name] for name in ("class", "id") if name in found).lower()
-    words = re.split(r"[^a-z0-9]+", names)
-    marks = {word for i, word in enumerate(words) if word in ASIDE_WORDS and (not i or words[i - 1] not in OPEN_WORDS)} if tag not in ("body", "html", "main") else set()
+    marks = _marks(names) if tag not in ("body", "html", "main") else set()
     role = found.get("role", "").lower()
     sure = (tag in ASIDE and tag != "form") or role in ASIDE_ROLES
     if tag == "form":
         marks.add(tag)
-    kind = ".".join([tag, *sorted(found.get("class", "").lower().split())])
+    # Numbers in names tell pages or places apart, not kinds.
+    kind = ".".join([tag, *sorted(set(re.sub("[0-9]+", "", found.get("class", "").lower()).split()))])
     if role == "main" or found.get("itemprop", "").lower() == "articlebody" or any(name in ARTICLE_WORDS for name in names.split()):
         kind = f"article!{kind}"
     return kind, sure or bool(marks), frozenset() if sure else frozenset(marks)
@@ -133,71 +152,161 @@ def _open_asides(root: Node) -> None:
             node.aside = False
 
 
+class _Tokens:
+    """The tags of a page, comments and declarations left out; no part of the page is read again and again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = page.rfind(">")
+        self.signs: list[int] | None = None
+
+    def _end_of_tag(self, at: int) -> int:
+        """The next ">" outside quotes, or -1; what is found once holds for all signs on the way."""
+        if self.signs is None:
+            self.signs = [found.start() for found in _SIGNS.finditer(self.page)]
+            self.ends: list[int | None] = [None] * len(self.signs)
+            self.partner, later = [-1] * len(self.signs), {}
+            for i in range(len(self.signs) - 1, -1, -1):
+                sign = self.page[self.signs[i]]
+                self.partner[i] = later.get(sign, -1)
+                later[sign] = i
+        i, way, end = bisect_left(self.signs, at), [], -1
+        while i < len(self.signs):
+            if self.ends[i] is not None:
+                end = self.ends[i]
+                break
+            if self.page[self.signs[i]] == ">":
+                end = self.signs[i]
+                break
+            way.append(i)
+            if self.partner[i] < 0:
+                break
+            i = self.partner[i] + 1
+        for i in way:
+            self.ends[i] = end
+        return end
+
+    def after(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """The next token from a place on: start, end, tag ("" for none), attributes, and whether it ends an element."""
+        page = self.page
+        start = page.find("<", at)
+        while start >= 0:
+            sign = page[start + 1 : start + 2]
+            if sign == "!" and page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", False
+            if sign in ("!", "?") and sign:
+                end = page.find(">", start)
+                return start, len(page) if end < 0 else end + 1, "", "", False
+            if found := _TAG.match(page, start):
+                return start, found.end(), found[2].lower(), found[3], bool(found[1])
+            if found := _TAG_START.match(page, start):
+                end = self._end_of_tag(found.end())
+                if end >= 0:
+                    return start, end + 1, found[2].lower(), page[found.end() : end], bool(found[1])
+                if self.last < start:
+                    return start, len(page), "", "", False
+            start = page.find("<", start + 1)
+        return None
+
+
+class _Open:
+    """The open elements of a page: tags, nodes, and where each tag is open."""
+
+    def __init__(self, root: Node) -> None:
+        self.tags, self.nodes = [""], [root]
+        self.places: dict[str, list[int]] = {}
+
+    def add(self, tag: str, node: Node, stays: bool) -> None:
+        if len(self.nodes) > MOST_DEPTH:
+            node.aside |= self.nodes[-1].aside
+            self.nodes[MOST_DEPTH - 1].parts.append(node)
+        else:
+            self.nodes[-1].parts.append(node)
+        if stays:
+            self.places.setdefault(tag, []).append(len(self.tags))
+            self.tags.append(tag)
+            self.nodes.append(node)
+        else:
+            self._go_on()
+
+    def _go_on(self) -> None:
+        """What follows in an element that lies too deep goes into a node behind those in it."""
+        if len(self.nodes) > MOST_DEPTH:
+            last = self.nodes[-1]
+            self.nodes[-1] = Node(last.label, last.aside, last.marks)
+            self.nodes[MOST_DEPTH - 1].parts.append(self.nodes[-1])
+
+    def close(self, depth: int) -> None:
+        while len(self.tags) > depth:
+            self.places[self.tags.pop()].pop()
+            self.nodes.pop()
+        self._go_on()
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Where one of the tags was opened last; 0 if none is open."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
+
+
 def tree(page: str) -> Node:
     """The block elements of a page; inline ones are part of the text around them, a line break is white space."""
     root = Node("")
-    stack: list[tuple[str, Node]] = [("", root)]
+    opened = _Open(root)
+    tokens = _Tokens(page)
     skip = ""
     at = 0
     some = False
-    while token := _TOKEN.search(page, at):
-        if token.start() > at and not skip:
-            stack[-1][1].parts.append(page[at : token.start()])
-        at = token.end()
-        tag = (token[2] or "").lower()
+    while token := tokens.after(at):
+        start, end, tag, attributes, closes = token
+        if start > at and not skip:
+            opened.nodes[-1].parts.append(page[at:start])
+        at = end
         if not tag:
             continue
-        if token[1]:
+        if closes:
             if skip:
                 skip = "" if tag == skip else skip
                 continue
             if tag in INLINE:
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            if depth := opened.last((tag,)):
+                opened.close(depth)
             # A stray end of a block still parts texts.
-            stack[-1][1].parts.append(None)
+            opened.nodes[-1].parts.append(None)
             continue
-        if tag in RAW and not (skip and token[3].endswith("/")):
+        if tag in RAW and not (skip and attributes.endswith("/")):
             # Its content has no tokens: go on behind its end.
-            end = re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*)?(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            over = re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*)?(?:>|\Z)", re.I).search(page, at)
+            at = over.end() if over else len(page)
             continue
         if skip:
             continue
         if tag in SKIPPED and tag != "head":
-            if not token[3].endswith("/") and tag not in VOID:
+            if not attributes.endswith("/") and tag not in VOID:
                 skip = tag
             continue
         if tag in INLINE:
             if tag == "br":
-                stack[-1][1].parts.append(" ")
+                opened.nodes[-1].parts.append(" ")
             continue
-        if stack[-1][0] == "p":
-            stack.pop()
+        if opened.tags[-1] == "p":
+            opened.close(len(opened.tags) - 1)
         if tag in SELF_CLOSING:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in SELF_CLOSING[tag]:
-                    break
-                if stack[depth][0] == tag or (tag in ("td", "th") and stack[depth][0] in ("td", "th")) or (tag in ("dt", "dd") and stack[depth][0] in ("dt", "dd")):
-                    del stack[depth:]
-                    break
-        if tag == "body":
+            alike = ("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else (tag,)
+            depth = opened.last(alike)
+            if depth > opened.last(SELF_CLOSING[tag]):
+                opened.close(depth)
+        if tag == "body" and (depth := opened.last(("head",))):
             # A head that was left open.
-            stack = [entry for entry in stack if entry[0] != "head"]
+            opened.close(depth)
         if tag in VOID:
-            stack[-1][1].parts.append(None)
+            opened.nodes[-1].parts.append(None)
             continue
-        label, aside, marks = _label(tag, token[3])
-        node = Node(label, aside or tag == "head", marks)
+        label, aside, marks = _label(tag, attributes)
         some |= bool(marks)
-        stack[-1][1].parts.append(node)
-        if not token[3].endswith("/"):
-            stack.append((tag, node))
+        opened.add(tag, Node(label, aside or tag == "head", marks), not attributes.endswith("/"))
     if at < len(page) and not skip:
-        stack[-1][1].parts.append(page[at:])
+        opened.nodes[-1].parts.append(page[at:])
     if some:
         _open_asides(root)
     return root
@@ -266,28 +375,47 @@ def align(one: list, two: list) -> list:
 
 
 def _align_parts(one: list[list], two: list[list]) -> list[list]:
-    """Align two sequences by their longest common subsequence of labels; the rest becomes optional."""
+    """Align two sequences by their labels in one pass; what only one of them has becomes optional."""
     if [part[LABEL] for part in one] == [part[LABEL] for part in two]:
         return [align(a, b) for a, b in zip(one, two)]
-    n, m = len(one), len(two)
-    longest = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            longest[i][j] = longest[i + 1][j + 1] + 1 if one[i][LABEL] == two[j][LABEL] else max(longest[i + 1][j], longest[i][j + 1])
+    ahead = [_places(one), _places(two)]
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and one[i][LABEL] == two[j][LABEL]:
+    while i < len(one) and j < len(two):
+        if one[i][LABEL] == two[j][LABEL]:
             out.append(align(one[i], two[j]))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and longest[i + 1][j] >= longest[i][j + 1]):
-            out.append([*one[i][:OPTIONAL], True, *one[i][REPEATED:]])
-            i += 1
+            continue
+        # Where each side's element comes next on the other side; the nearer one is waited for.
+        in_one, in_two = _next(ahead[0], two[j][LABEL], i, len(one)), _next(ahead[1], one[i][LABEL], j, len(two))
+        if in_two is not None and (in_one is None or in_two - j <= in_one - i):
+            out.extend(map(_optional, two[j:in_two]))
+            j = in_two
+        elif in_one is not None:
+            out.extend(map(_optional, one[i:in_one]))
+            i = in_one
         else:
-            out.append([*two[j][:OPTIONAL], True, *two[j][REPEATED:]])
-            j += 1
+            out += [_optional(one[i]), _optional(two[j])]
+            i, j = i + 1, j + 1
+    return out + list(map(_optional, one[i:])) + list(map(_optional, two[j:]))
+
+
+def _optional(part: list) -> list:
+    return [*part[:OPTIONAL], True, *part[REPEATED:]]
+
+
+def _places(parts: list[list]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for i, part in enumerate(parts):
+        out.setdefault(part[LABEL], []).append(i)
     return out
 
 
+def _next(places: dict[str, list[int]], label: str, at: int, end: int) -> int | None:
+    own = places.get(label, [])
+    k = bisect_left(own, at)
+    return own[k] if k < len(own) and own[k] < end else None
+
+
 def _chars(part: list) -> int:
     return part[CHARS] + sum(map(_chars, part[PARTS]))
 

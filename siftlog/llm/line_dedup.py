@@ -66,9 +66,17 @@ def without_lines(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shorten(text, found) for text, found in zip(texts, places)], columns=["text", "removed"])
 
 
+def counts_name(docs: DataFrame) -> str:
+    """The name of the column that `dedup_lines` adds: `_lines`, with more underscores if `docs` has that."""
+    name = "_lines"
+    while name.lower() in [own.lower() for own in docs.columns]:
+        name = f"_{name}"
+    return name
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`; `text` without its repeated lines, and the numbers
-    of lines `before` and `removed` in a struct `_lines`.
+    of lines `before` and `removed` in a struct named by `counts_name`.
 
     Lines end at \\n; white space around a line doesn't count, lines without a word
     are never removed and don't part neighbours. Documents of fewer than three
@@ -87,7 +95,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = F.struct(before.cast("long").alias("before"), F.coalesce("_shorter.removed", F.lit(0)).cast("long").alias("removed"))
     text = F.coalesce("_shorter.text", F.col("_row.text"))
     values = [(text if name == "text" else F.col("_row")[name]).alias(name) for name in docs.columns]
-    return out.select(*values, lines.alias("_lines"))
+    return out.select(*values, lines.alias(counts_name(docs)))
 
 
 def with_char_counts(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.common import ready
+from siftlog.llm.common import bound, ready, running_sums
 
 # Code points before a span in which words are looked for, and the least score of a span that a pattern alone doesn't make sure.
 CONTEXT_CHARS, LEAST_SCORE = 40, 0.5
@@ -42,7 +42,7 @@ KINDS = (
     Kind("ip", IP, True, 0.6, 0.6, r"(?i)\b(?:ip|host|server|address|adresse|direcci[oó]n)\b"),
     Kind("card", CARD, True, 0.3, 0.8, r"(?i)\b(?:card|visa|mastercard|amex|credit|karte|tarjeta|carte)\b"),
     Kind("phone", PHONE, True, 0.6, 0.6, r"(?i)\b(?:phone|call|tel|mobile|fax|telefon|tel[eé]fono)\b"),
-    Kind("iban", IBAN, False, 0.1, 0.9, r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b"),
+    Kind("iban", IBAN, False, 0.4, 0.9, r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b"),
     Kind("secret", SECRET, False, 0.7, 0.7, r"(?i)\b(?:key|login|auth|credential)\b"),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -50,19 +50,23 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """The matches of a pattern in order: `start`, `end` (exclusive) in code points and `found`."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.length)
+    """The matches of a pattern in order: `start`, `end` (exclusive) in code points, `found`, and the CONTEXT_CHARS `before` it.
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
-        end = start + F.length(pair["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    The text before a match reaches back to the match before the last one at most.
+    """
+
+    def spans(parts: Column) -> Column:
+        found, gaps = parts["found"], F.slice(parts["gaps"], F.lit(1), F.size(parts["found"]))
+        ends = running_sums(F.zip_with(gaps, found, lambda gap, word: F.length(gap) + F.length(word)))
+        tails = F.zip_with(gaps, found, lambda gap, word: F.right(F.concat(F.right(gap, F.lit(CONTEXT_CHARS)), word), F.lit(CONTEXT_CHARS)))
+        earlier = F.concat(F.array(F.lit("")), F.slice(tails, F.lit(1), F.greatest(F.size(tails) - 1, F.lit(0))))
+        before = F.zip_with(earlier, gaps, lambda tail, gap: F.right(F.concat(tail, F.right(gap, F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS)))
+        ended = F.zip_with(found, ends, lambda word, end: F.struct((end - F.length(word)).alias("start"), end.alias("end"), word.alias("found")))
+        return F.zip_with(ended, before, lambda span, context: F.struct(span["start"].alias("start"), span["end"].alias("end"), span["found"].alias("found"), context.alias("before")))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda word, gap: F.struct(gap.alias("gap"), word.alias("found")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans"))
-    return F.aggregate(pairs, empty, add)["spans"]
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    empty = F.array().cast("array<struct<start:int,end:int,found:string,before:string>>")
+    return bound(parts, lambda both: F.when(F.size(both["found"]) > 0, spans(both)).otherwise(empty))
 
 
 def digits(found: Column) -> Column:
@@ -114,9 +118,7 @@ def kind_spans(text: Column, kind: Kind) -> Column:
     """The spans of one kind with their scores, in order."""
 
     def scored(span: Column) -> Column:
-        begin = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.substring(text, begin + 1, span["start"] - begin)
-        nearby = F.when(before.rlike(kind.context), 0.2).otherwise(0.0)
+        nearby = F.when(span["before"].rlike(kind.context), 0.2).otherwise(0.0)
         score = F.when(checked(kind.name, span["found"]), kind.checked_score).otherwise(kind.score) + nearby
         return F.struct(F.lit(kind.name).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
@@ -130,8 +132,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     Spans are sorted by kind in the order of KINDS, then by start; places are code
     points, the end is exclusive. Email, ip, card and phone follow fixed rules and
-    always stay; account numbers need their checksum, or a word nearby and a score
-    of LEAST_SCORE, and secrets their label. A null text has none, an empty table
+    always stay, words nearby raise their score only; account numbers need their checksum
+    or, without it, a word nearby that lifts them to LEAST_SCORE, and secrets their label. A null text has none, an empty table
     gives an empty one; every row gets its own result, so repeated rows repeat it.
     """
     ready(docs.sparkSession)
@@ -149,6 +151,11 @@ def joined_spans(kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(spans, lambda span: F.concat_ws(":", span["kind"], span["start"].cast("string"), span["end"].cast("string"))), ",")
 
 
+def joined_scores() -> Column:
+    """The score of each span, as a percentage."""
+    return F.array_join(F.transform("_spans", lambda span: F.round(span["score"] * 100).cast("int").cast("string")), ",")
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each span of the text replaced by its kind in angle brackets; of overlapping spans the first counts."""
     found = find(docs)

@@ -37,8 +37,9 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of repeated windows."""
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", F.col("_lines.before").alias("n_lines"), F.col("_lines.removed").alias("n_removed"), "text")
+    docs = table(spark, sf_dir, "documents")
+    counts = line_dedup.counts_name(docs)
+    return line_dedup.dedup_lines(docs).select("doc_id", F.col(f"{counts}.before").alias("n_lines"), F.col(f"{counts}.removed").alias("n_removed"), "text")
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data of every document."""
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_of(kind).alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select(F.col("_row.doc_id").alias("doc_id"), *counts, F.sha2(pii.joined_spans(pii.BASE), 256).alias("base_sha256"), pii.joined_spans().alias("spans"))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), *counts, F.sha2(pii.joined_spans(pii.BASE), 256).alias("base_sha256"), pii.joined_spans().alias("spans"), pii.joined_scores().alias("scores"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

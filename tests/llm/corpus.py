@@ -26,7 +26,7 @@ EDGES = [
     (8, "one", "fr", "z"),
     (8, "two words", "fr", "z"),
 ]
-CLASHES = ("_row", "_doc", "_text", "_key", "_id", "fingerprint", "group", "text_key", "size", "taken", "kept", "lines", "places", "first", "wrapper", "host", "seed")
+CLASHES = ("_row", "_doc", "_text", "_key", "_id", "fingerprint", "group", "text_key", "size", "taken", "kept", "lines", "places", "first", "wrapper", "host", "seed", "_lines", "__lines", "words", "word", "lang_", "ids", "text_key_", "part", "range", "chain", "f", "n", "a")
 DOCUMENTS = "doc_id long, text string, lang string, source string"
 
 

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from siftlog.llm import chat
@@ -42,5 +44,23 @@ def test_loss_spans_mark_the_texts(spark):
             assert row.formatted[end:].startswith((chat.END, chat.NEXT))
 
 
+def test_many_turns_take_time_in_proportion(spark):
+    """What one conversation takes grows with its turns, not with their square."""
+
+    def seconds(n):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é <| "), F.col("id").cast("string")).alias("text")).cache()
+        rows.count()
+        start = time.perf_counter()
+        done = chat.format_conversations(rows)
+        row = done.select(F.size(chat.read_turns(F.col("formatted"))).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learnt")).first()
+        assert row.turns == n
+        assert row.learnt == "".join(f"é <| {i}" for i in range(n) if i % 3)
+        return time.perf_counter() - start
+
+    seconds(100)
+    small = seconds(4_000)
+    assert seconds(32_000) < 24 * small + 2
+
+
 def test_empty(spark):
     assert chat.format_conversations(spark.createDataFrame([], TURNS)).count() == 0

@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,53 @@ def test_given_pages(spark, folder):
         assert row.found == "\n".join(part for part in parts if part)
 
 
+def test_deep_and_long_pages_take_time_in_proportion():
+    """Depth, quotes without an end, many siblings, stray ends: crash-free, and eight times the input takes far less than its square."""
+
+    def seconds(make, n):
+        text = make(n)
+        start = time.perf_counter()
+        H.page_wrapper(H.tree(text))
+        found = list(H.blocks(H.tree(text)))
+        return time.perf_counter() - start, found
+
+    kinds = [
+        lambda n: "<div>" * n + "deep" + "</div>x" * n,
+        lambda n: "<p>it's x <a b='" * n,
+        lambda n: "<a <b c=\"" * n + ">",
+        lambda n: "<h2>t</h2><p>x</p>" * n,
+        lambda n: "<div>" * n + "</section>" * n + "y",
+        lambda n: "<ul><li><ul>" + "<div>" * n + "<li>z</li>" * n,
+        lambda n: "<" * n + "<!-- " * n,
+    ]
+    for make in kinds:
+        small, _ = seconds(make, 2_500)
+        large, _ = seconds(make, 20_000)
+        assert large < 24 * small + 1
+    assert seconds(kinds[0], 100_000)[1] == ["deep", *["x"] * 100_000]
+
+
+def test_deep_elements_keep_their_order_and_asides():
+    deep = "<div>" * 150 + "a<section>b<p>c</p>d<nav>menu<div>in it</div>still</nav>e</section>f" + "</div>g" * 150
+    assert list(H.blocks(H.tree(deep))) == ["a", "b", "c", "d", "e", "f", *["g"] * 150]
+
+
+def test_long_alignments_and_numbered_classes():
+    one, two = (H.page_wrapper(H.tree("".join(f"<h2 class='post-{k + i}'>t</h2><p>x</p>" for i in range(n)))) for k, n in ((0, 6_000), (9, 6_001)))
+    start = time.perf_counter()
+    whole = H.align(one, two)
+    assert time.perf_counter() - start < 20
+    many = H.page_wrapper(H.tree("<div class=post-1><p>a</p></div>"))
+    for i in range(2_000):
+        many = H.align(many, H.page_wrapper(H.tree(f"<div class=post-{i}><p>a{i}</p></div>")))
+    assert len(str(many)) < 300 and len(whole[H.PARTS]) == 12_002
+
+
+def test_names_of_other_things_stay_in_the_article(spark):
+    article = "<article><h1>T</h1><p>One.</p><p class='share-price'>Two.</p><section id='skip-bad-debt'><p>Three.</p></section><p>If <math><mi>x</mi></math> then.</p><div class='share-buttons'>Share</div><div class=ad>Buy</div></article>"
+    assert run(spark, [("http://k.x/", article)]) == {0: "T\nOne.\nTwo.\nThree.\nIf x then."}
+
+
 def test_hosts(spark):
     urls = ["http://a.B/x", "https://u:p@h.example:8080/x", None, "", "nothing", "ftp://z?q"]
     rows = spark.createDataFrame([(url,) for url in urls], "url string").select(H.host_of(F.col("url"))).collect()

@@ -19,11 +19,13 @@ def plain(rows):
 def check(spark, rows):
     docs = edge_documents(spark, rows)
     done = line_dedup.dedup_lines(docs)
-    assert done.columns == [*docs.columns, "_lines"]
+    assert line_dedup.counts_name(docs) == "___lines"
+    assert done.columns == [*docs.columns, "___lines"]
+    assert {row["_lines"] for row in done.select("_lines").collect()} <= {"own _lines"}
     found = done.collect()
     key = lambda pair: (str(pair[0]), pair[1] is None, pair[1] or "")
     assert sorted(((row.doc_id, row.text) for row in found), key=key) == sorted(zip([row[0] for row in rows], plain(rows)), key=key)
-    return {(row.doc_id, row.text): row["_lines"] for row in found}
+    return {(row.doc_id, row.text): row["___lines"] for row in found}
 
 
 def test_edges(spark):

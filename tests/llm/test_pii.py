@@ -1,3 +1,5 @@
+import time
+
 from corpus import EDGES, base_spans, edge_documents, sha256
 from pyspark.sql import functions as F
 
@@ -58,6 +60,29 @@ def test_context_raises_the_score(spark):
     assert scores == {1: 0.8, 2: 0.6}
 
 
+def test_context_decides_on_numbers_without_a_checksum(spark):
+    number = "DE88 3704 0044 0532 0130 00"
+    texts = [f"my account {number} is", f"part {number} is", f"{number} {number} account {number}", "account " + "x" * 40 + f" {number}"]
+    found = {row.doc_id: row["all"] for row in spans(spark, [(i, text, "en", "s") for i, text in enumerate(texts)])}
+    assert found == {0: "iban:11:38", 1: "", 2: "iban:64:91", 3: ""}
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    """What one row takes grows with its spans, not with their square."""
+
+    def seconds(n):
+        docs = edge_documents(spark, [(1, "é a.b@c.de or 10.0.0.1, " * n, "en", "s")]).cache()
+        docs.count()
+        start = time.perf_counter()
+        counts = pii.find(docs).select(F.size("_spans"), F.sha2(pii.joined_spans(), 256)).first()
+        assert counts[0] == 2 * n
+        return time.perf_counter() - start
+
+    seconds(100)
+    small = seconds(4_000)
+    assert seconds(32_000) < 24 * small + 2
+
+
 def test_redact(spark):
     docs = edge_documents(spark, [(1, "é to a@b.co, 1.1.1.1 end", "en", "s"), (2, None, "en", "s")])
     done = pii.redact(docs)
