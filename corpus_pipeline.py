@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated passages of lines; `n_chars` follows the text. No document goes."""
     ready(spark)
-    return line_dedup.with_char_counts(line_dedup.dedup_lines(docs).drop("_lines"))
+    return line_dedup.with_char_counts(line_dedup.dedup_lines(docs).drop(line_dedup.counts_name(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
