@@ -1,8 +1,9 @@
-"""Density clustering of a bounded sample, and distances to its centroids.
+"""Density clustering and distances to its centroids.
 
 Campello, Moulavi, Sander: Density-Based Clustering Based on Hierarchical
-Density Estimates, PAKDD 2013. The spanning tree grows by Boruvka rounds, each
-a Spark job over blocks of the sample.
+Density Estimates, PAKDD 2013. All rows of a table are clustered by `hierarchy`.
+For a sample of bounded size there is a shorter way here: the spanning tree grows
+by Boruvka rounds, each a Spark job over blocks of the sample.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlog.operators import cells, hierarchy
 from siftlog.operators.matrix import SEED, sample_rows, vector_width
 from siftlog.session import stage
 
@@ -104,12 +106,12 @@ def core_distances(spark: SparkSession, points: np.ndarray, neighbours: int = MI
     return _blocks(spark, len(points)).mapInPandas(measure, "id long, core double")
 
 
-def core_table(sample: DataFrame, key: str, vector: str = "features", neighbours: int = MIN_SAMPLES) -> DataFrame:
-    """The core distance of every row of a bounded sample."""
-    spark = sample.sparkSession
-    points, table = _collect_points(sample.orderBy(key), vector, key)
-    keys = spark.createDataFrame(table.rename_axis("id").reset_index(), f"id long, {key} {sample.schema[key].dataType.simpleString()}")
-    return core_distances(spark, points, neighbours).join(keys, "id").select(key, "core")
+def core_table(rows: DataFrame, key: str, vector: str = "features", neighbours: int = MIN_SAMPLES) -> DataFrame:
+    """`key` and the core distance `core` of every row."""
+    plain = rows.select(key, F.col(vector).alias("features"))
+    points = cells.distinct_points(plain)
+    cores = points.select("id", "features").join(cells.core_distances(points, vector_width(plain, "features"), neighbours), "id")
+    return plain.join(cores, "features").select(key, "core")
 
 
 def _cheapest_outside(
@@ -464,11 +466,18 @@ def cluster_sample(sample: DataFrame, min_cluster: int = MIN_CLUSTER, neighbours
     return sample.join(known, F.col("event_id").eqNullSafe(F.col("_id"))).select("event_id", "features", "label")
 
 
-def fit_density(sample: DataFrame, min_cluster: int = MIN_CLUSTER, neighbours: int = MIN_SAMPLES) -> DensityModel:
-    """Reduce, cluster and summarise a bounded sample of `event_id` and `features`."""
+def cluster_all(rows: DataFrame, min_cluster: int = MIN_CLUSTER, neighbours: int = MIN_SAMPLES) -> DataFrame:
+    """Add `label` to all rows of `event_id` and `features`, reduced like those of `fit_density`; no part goes through the driver."""
+    reduced = stage(assign_projection(rows.select("event_id", "features"), fit_pca(rows)), "reduced")
+    return hierarchy.cluster_rows(reduced, min_cluster, neighbours)
+
+
+def fit_density(sample: DataFrame, min_cluster: int = MIN_CLUSTER, neighbours: int = MIN_SAMPLES, whole: bool = False) -> DensityModel:
+    """Reduce, cluster and summarise `event_id` and `features`: a bounded sample, or all rows of a `whole` table."""
     directions = fit_pca(sample)
     reduced = assign_projection(sample, directions)
-    members = stage(cluster_sample(reduced, min_cluster, neighbours), "members")
+    clustered = hierarchy.cluster_rows(stage(reduced.select("event_id", "features"), "reduced"), min_cluster, neighbours) if whole else cluster_sample(reduced, min_cluster, neighbours)
+    members = stage(clustered, "members")
     rows, noise, clusters = members.agg(
         F.count("*"), F.count_if(F.col("label") < 0), F.count_distinct(F.when(F.col("label") >= 0, F.col("label")))
     ).first()

@@ -324,13 +324,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def density_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clustered sample, drawn from all records as `detect` draws it."""
-
-    def build() -> DataFrame:
-        sample = matrix.sample_rows(fitting_points(spark, sf_dir), detection.DENSITY_SAMPLE, matrix.SEED + 1)
-        return density.fit_density(sample).members
-
-    return kept(spark, sf_dir, "density-members", build)
+    """All records, clustered."""
+    return kept(spark, sf_dir, "density-members", lambda: density.cluster_all(fitting_points(spark, sf_dir)))
 
 
 def score_bounds(scored: DataFrame, inside: Column) -> DataFrame:
@@ -403,8 +398,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a6_core_distance")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = matrix.sample_rows(vectors(spark, sf_dir), detection.DENSITY_SAMPLE, matrix.SEED + 1, "vec_id")
-    return density.core_table(sample, "vec_id").select("vec_id", F.round("core", 6).alias("core"))
+    return density.core_table(vectors(spark, sf_dir), "vec_id").select("vec_id", F.round("core", 6).alias("core"))
 
 
 @query("a6_density_clusters")

@@ -19,7 +19,7 @@ from siftlog.operators.matrix import SEED, FeatureChoice, Scaling, choose_featur
 from siftlog.session import stage
 from siftlog.sources.jsonl import load_logs
 
-# The rows that the density clustering works on, and the texts of the model record.
+# The rows that the density clustering works on unless asked for all, and the texts of the model record.
 DENSITY_SAMPLE = 15_000
 PRIMARY_TITLE = "Autoencoder"
 RULE = "2 of 3 models"
@@ -53,24 +53,24 @@ def fit_detectors(
     choice: FeatureChoice,
     seed: int = SEED,
     model_sample: int | None = None,
-    density_sample: int = DENSITY_SAMPLE,
+    density_sample: int | None = DENSITY_SAMPLE,
 ) -> Detectors:
     """Scale over all rows and fit the detectors; `features` is read several times, so it should be a table.
 
-    Forest and autoencoder are fitted on all rows, or on `model_sample` of them.
-    The density clustering compares all pairs of its rows, so it always works on
-    a sample, of `density_sample` rows.
+    Forest and autoencoder are fitted on all rows, or on `model_sample` of them, the
+    density clustering on `density_sample` rows, or on all of them if that is None.
     """
     scaling = fit_scaling(features, choice.names)
     points = features.select("event_id", scaling.scaled().alias("features"))
-    draws = [(density_sample, seed + 1)] + ([(model_sample, seed)] if model_sample else [])
-    dense, *few = [stage(sample, "sample") for sample in draw_samples(points, draws, rows=scaling.rows)]
-    shared = few[0] if few else stage(points, "points")
+    draws = [(size, at) for size, at in ((density_sample, seed + 1), (model_sample, seed)) if size]
+    drawn = [stage(sample, "sample") for sample in draw_samples(points, draws, rows=scaling.rows)] if draws else []
+    shared = drawn[-1] if model_sample else stage(points, "points")
+    dense = drawn[0] if density_sample else stage(points, "points") if model_sample else shared
     # The fits are many small jobs that leave cores idle; they run side by side.
     with ThreadPoolExecutor(3) as pool:
         forest = pool.submit(fit_forest, shared)
         autoencoder = pool.submit(fit_autoencoder, shared)
-        density = pool.submit(fit_density, dense)
+        density = pool.submit(fit_density, dense, whole=not density_sample)
         sizes = [min(size or scaling.rows, scaling.rows) for size in (model_sample, density_sample)]
         return Detectors(choice, scaling, forest.result(), autoencoder.result(), density.result(), *sizes)
 
@@ -124,7 +124,7 @@ def detect(
     logs: DataFrame,
     models: Detectors | None = None,
     model_sample: int | None = None,
-    density_sample: int = DENSITY_SAMPLE,
+    density_sample: int | None = DENSITY_SAMPLE,
 ) -> Detection:
     """Score log records; with `models`, by an earlier fit."""
     choice = models.choice if models else choose_features(logs)
