@@ -6,6 +6,7 @@ Decentralized Data, AISTATS 2017. Kingma, Ba: Adam, ICLR 2015.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlog.operators.matrix import SEED, vector_width
+from siftlog.session import stage
 
 # Training settings.
 EPOCHS = 8
@@ -140,31 +142,42 @@ def fit_autoencoder(
 
     Rows belong to a shard by hash. There are at least `shards` of them, and
     more once they would pass `shard_rows` rows on average, so a task holds
-    about as many rows whatever the input. Their states are averaged in Spark.
+    about as many rows whatever the input. They are packed once, with the only
+    shuffle of rows; their states are averaged in Spark after each epoch.
     """
     width, rows = vector_width(sample), sample.count()
     shards = max(shards, -(-rows // shard_rows))
     sizes = layer_sizes(width)
     weights = _initial(sizes, seed)
     state = State(weights, np.zeros_like(weights), np.zeros_like(weights))
-    sharded = sample.select(
+    placed = sample.select(
         "event_id", "features", F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(shards)).cast("int").alias("shard")
     )
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        # Rows of one id go by their values, so that the order is the same in any layout.
+        flat = rows["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+        values = flat.reshape(len(rows), width)
+        values = values[np.lexsort((*values.T[::-1], rows["event_id"].to_numpy().astype(str)))]
+        return pa.table({"shard": [key[0].as_py()], "values": [values.ravel()]})
+
+    # Each shard is a row in a file of its own, which the epochs read where they run.
+    packed = stage(placed.groupBy("shard").applyInArrow(pack, "shard int, values array<double>"), "shards", "shard")
     losses = []
     for epoch in range(epochs):
         start = state
 
-        def train(key: tuple, rows: pa.Table) -> pa.Table:
-            # Rows of one id go by their values, so that the order is the same in any layout.
-            flat = rows["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
-            values = flat.reshape(len(rows), width)
-            values = values[np.lexsort((*values.T[::-1], rows["event_id"].to_numpy().astype(str)))]
-            rng = np.random.default_rng([seed, epoch, key[0].as_py()])
-            done, loss = _local_epoch(values, start, sizes, STEP_ROWS, rng)
-            numbers = np.concatenate([done.weights, done.first, done.second])
-            return pa.table({"rows": [len(values)], "steps": [done.steps], "loss": [loss], "state": [numbers]})
-
-        loss, steps, numbers = _mean_state(sharded.groupBy("shard").applyInArrow(train, STATE_SCHEMA))
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, flat in zip(batch.column("shard").to_pylist(), batch.column("values")):
+                    values = flat.values.to_numpy(zero_copy_only=False).reshape(-1, width)
+                    rng = np.random.default_rng([seed, epoch, shard])
+                    done, loss = _local_epoch(values, start, sizes, STEP_ROWS, rng)
+                    numbers = np.concatenate([done.weights, done.first, done.second])
+                    row = {"rows": [len(values)], "steps": [done.steps], "loss": [loss], "state": [numbers]}
+                    yield pa.RecordBatch.from_pydict(row)
+
+        loss, steps, numbers = _mean_state(packed.mapInArrow(train, STATE_SCHEMA))
         state = State(*np.split(numbers, 3), steps=steps)
         losses.append(loss)
     return Autoencoder(sizes, state.weights, losses)
