@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlog.functions.text import quoted, time_text
+from siftlog.operators.ordering import RANGE, by_range, find_cuts, with_range
+from siftlog.session import stage
 
 TIME = "normalized_timestamp"
+# Incidents of a time range, about.
+RANGE_SPANS = 64
 
 # Records of evidence per incident, values listed per figure, and the columns shown.
 EVIDENCE_ROWS = 40
@@ -54,27 +58,43 @@ Do not invent log events, metrics, root causes, or remediation results.
 ROLE = "You are a precise, evidence-grounded log analyst."
 
 
-def _minute(time: Column) -> Column:
-    return F.floor(F.unix_micros(time) / F.lit(60_000_000.0))
+def _last_begun(spans: Column, time: Column, most: int) -> Column:
+    """The last of at most `most` spans, sorted by their start, that starts at `time` or before; found by halving."""
+    found = F.lit(0)
+    for place in range(most.bit_length() - 1, -1, -1):
+        found = _further(spans, time, found, 1 << place)
+    return F.element_at(F.transform(F.array(found), lambda n: F.when(n > 0, F.get(spans, n - 1))), 1)
+
+
+def _further(spans: Column, time: Column, found: Column, step: int) -> Column:
+    def go(n: Column) -> Column:
+        return F.when((n + step <= F.size(spans)) & (F.get(spans, n + (step - 1))["start"] <= time), n + step).otherwise(n)
+
+    return F.element_at(F.transform(F.array(found), go), 1)
 
 
 def rows_in_span(logs: DataFrame, incidents: DataFrame) -> DataFrame:
     """All records, not only signals, between the start and the end of an incident.
 
-    A range join by minute: an incident is spread over its minutes, so a record
-    meets only the incidents of its own minute. Incidents of one table lie more
-    than a minute apart, which leaves at most two.
+    An as-of join: time is cut into ranges with about `RANGE_SPANS` incidents each. A
+    range has the list of those that start in it, after the one before, which may
+    still be open. A record goes to its range and finds the last incident that has
+    begun, so an incident is two rows at most, however long it is. Incidents of one
+    table don't overlap.
     """
-    spans = incidents.select(
-        "incident_id",
-        "start_time",
-        "end_time",
-        F.explode(F.sequence(_minute(F.col("start_time")), _minute(F.col("end_time")))).alias("_minute"),
-    )
-    timed = logs.select("event_id", *EVIDENCE_COLUMNS, "severity_score", _minute(F.col(TIME)).alias("_minute"))
-    inside = F.col(TIME).between(F.col("start_time"), F.col("end_time"))
-    # The minutes of all incidents together have no bound, so they are never broadcast.
-    return timed.join(spans.hint("merge"), "_minute").filter(inside).drop("_minute", "start_time", "end_time")
+    started = F.unix_micros("start_time").cast("double")
+    known = incidents.filter("start_time is not null")
+    cuts = find_cuts(known, {"start": started}, RANGE_SPANS, 1)["start"]
+    span = F.struct(F.unix_micros("start_time").alias("start"), F.unix_micros("end_time").alias("end"), "incident_id")
+    lists = with_range(known, started, cuts).groupBy(RANGE).agg(F.array_sort(F.collect_list(span)).alias("_own"))
+    # A row per range.
+    before = F.lag(F.get("_own", F.size("_own") - 1)).over(by_range())
+    lists = stage(lists.select(RANGE, F.when(before.isNull(), F.col("_own")).otherwise(F.concat(F.array(before), "_own")).alias("_spans")), "spans")
+    most = lists.agg(F.max(F.size("_spans"))).first()[0] or 0
+    time = F.unix_micros(TIME)
+    timed = with_range(logs.select("event_id", *EVIDENCE_COLUMNS, "severity_score").filter(F.col(TIME).isNotNull()), time.cast("double"), cuts)
+    met = timed.join(lists, RANGE).withColumn("_span", _last_begun(F.col("_spans"), time, most))
+    return met.filter(time <= F.col("_span.end")).withColumn("incident_id", F.col("_span.incident_id")).drop(RANGE, "_spans", "_span")
 
 
 def evidence(logs: DataFrame, incidents: DataFrame, limit: int = EVIDENCE_ROWS) -> DataFrame:

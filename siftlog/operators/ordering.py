@@ -28,13 +28,14 @@ MOST_RANGES = 4_096
 SALTS = 256
 
 
-def find_cuts(df: DataFrame, values: dict[str, Column]) -> dict[str, list[float]]:
+def find_cuts(df: DataFrame, values: dict[str, Column], range_rows: int | None = None, least: int | None = None) -> dict[str, list[float]]:
     """The inner borders of ranges with about as many rows each, for several values in one job.
 
     A border that is there twice is a value of at least one range's share of the rows.
+    There are `least` ranges or more, as many as partitions if that is not given.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(least, min(MOST_RANGES, math.ceil(df.count() / RANGE_ROWS)))
+    least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, min(MOST_RANGES, math.ceil(df.count() / (range_rows or RANGE_ROWS))))
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
     accuracy = max(10_000, 4 * ranges)
     found = df.agg(*[F.percentile_approx(value, shares, accuracy).alias(name) for name, value in values.items()]).first()

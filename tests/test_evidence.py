@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,25 @@ def test_first_rows_in_the_span(logs, found_incidents):
     assert set(by_incident) == {"INC-00000", "INC-00001", "INC-00002"}
 
 
+def test_as_of_join_against_all_pairs(spark, monkeypatch):
+    """Incidents of very different lengths, many on one range's border, records on their first and last instants."""
+    monkeypatch.setattr(evidence, "RANGE_SPANS", 3)
+    draw = random.Random(4)
+    spans, now = [], 0.0
+    for i in range(40):
+        begin = now + draw.choice([2.0, 3.5, 60.0])
+        now = begin + draw.choice([0.0, 0.5, 2_000_000.0 if i == 17 else 7.0])
+        spans.append((f"INC-{i:05d}", begin, now))
+    times = [t + d for _, a, b in spans for t in (a, b) for d in (-0.25, 0.0, 0.25)] + [a + (b - a) * draw.random() for _, a, b in spans for _ in range(3)] + [0.5] * 50
+    incidents = spark.createDataFrame([(name, at(a), at(b), "Low", "c", 1) for name, a, b in spans], INCIDENT_SCHEMA)
+    logs = spark.createDataFrame([(f"{i:05d}", at(t), "c", "t", "m", "Low", 0, False) for i, t in enumerate(times)] + [("none", None, "c", "t", "m", "Low", 0, False)], LOG_SCHEMA)
+    found = evidence.rows_in_span(logs, incidents)
+    assert "explode" not in found._jdf.queryExecution().toString().lower()
+    pairs = sorted((row.incident_id, row.event_id) for row in found.collect())
+    assert pairs == sorted((name, f"{i:05d}") for name, a, b in spans for i, t in enumerate(times) if at(a) <= at(t) <= at(b))
+    assert evidence.rows_in_span(logs, incidents.limit(0)).count() == 0
+
+
 def test_one_incident(logs, found_incidents):
     rows = evidence.incident_evidence(logs, found_incidents, "INC-00000").collect()
     assert len(rows) == 5 and rows[0].normalized_timestamp == at(1.1)
