@@ -159,7 +159,7 @@ def fit_autoencoder(
         flat = rows["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
         values = flat.reshape(len(rows), width)
         values = values[np.lexsort((*values.T[::-1], rows["event_id"].to_numpy().astype(str)))]
-        return pa.table({"shard": [key[0].as_py()], "values": [values.ravel()]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "values": [values.ravel()]})
 
     # Each shard is a row in a file of its own, which the epochs read where they run.
     packed = stage(placed.groupBy("shard").applyInArrow(pack, "shard int, values array<double>"), "shards", "shard")
