@@ -28,21 +28,31 @@ class FeatureChoice:
     leaves: tuple[Leaf, ...]
 
 
+def flat_metrics(df: DataFrame) -> list[str]:
+    """The numeric `metric_*` columns that a table has already, in their order; boolean ones if they have a value in every row."""
+    flat = [field for field in df.schema.fields if field.name.startswith("metric_") and isinstance(field.dataType, (T.NumericType, T.BooleanType))]
+    booleans = [field.name for field in flat if isinstance(field.dataType, T.BooleanType)]
+    gaps = df.agg(*[F.count_if(column(name).isNull()) for name in booleans]).first() if booleans else ()
+    missing = {name for name, n in zip(booleans, gaps) if n}
+    return [field.name for field in flat if field.name not in missing]
+
+
 def choose_features(logs: DataFrame, metric_features: int = METRIC_FEATURES) -> FeatureChoice:
-    """The base features and the first `metric_features` numeric metrics, in the order in which records bring them."""
-    leaves = tuple(numeric_leaves(logs, metric_features))
-    return FeatureChoice(BASE_FEATURES + tuple(leaf.column for leaf in leaves), leaves)
+    """The base features and the first `metric_features` numeric metrics.
+
+    Metrics that are columns already come first; then those of the metrics objects,
+    in the order in which records bring them, without any that has the name of such a column.
+    """
+    flat = flat_metrics(logs)[:metric_features]
+    # As many more as could have a name that is taken.
+    found = numeric_leaves(logs, metric_features + len(flat)) if len(flat) < metric_features else []
+    leaves = tuple(leaf for leaf in found if leaf.column not in flat)[: metric_features - len(flat)]
+    return FeatureChoice((*BASE_FEATURES, *flat, *(leaf.column for leaf in leaves)), leaves)
 
 
 def feature_columns(df: DataFrame) -> list[str]:
-    """The same choice for a table whose metrics are flat columns already."""
-    base = [name for name in BASE_FEATURES if name in df.columns]
-    flat = [
-        field.name
-        for field in df.schema.fields
-        if field.name.startswith("metric_") and isinstance(field.dataType, (T.NumericType, T.BooleanType))
-    ]
-    names = base + flat[:METRIC_FEATURES]
+    """The same choice for a table without metrics objects, which may lack base features."""
+    names = [name for name in BASE_FEATURES if name in df.columns] + flat_metrics(df)[:METRIC_FEATURES]
     if not names:
         raise ValueError("no numeric feature is available")
     return names

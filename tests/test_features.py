@@ -149,6 +149,16 @@ def test_feature_columns_of_a_flat_table(spark):
         matrix.feature_columns(spark.createDataFrame([("a",)], "x string"))
 
 
+def test_flat_columns_come_before_metrics_objects(spark):
+    rows = logs(spark, [("m", '{"a": 1, "flat": 5, "b": 2.5}'), ("n", '{"a": 3, "flat": 6, "b": 1}')])
+    flat = rows.withColumns({"metric_flat": F.lit(2.0), "metric_text": F.lit("x"), "metric_on": F.lit(True), "metric_gap": F.when(F.col("event_id") == "0", True)})
+    choice = matrix.choose_features(flat)
+    assert choice.names[6:] == ("metric_flat", "metric_on", "metric_a", "metric_b")
+    assert [matrix.choose_features(flat, n).names[6:] for n in (1, 3)] == [("metric_flat",), ("metric_flat", "metric_on", "metric_a")]
+    made = features.build_features(flat, list(choice.leaves)).orderBy("event_id").select(matrix.matrix(choice.names[6:])).collect()
+    assert [row[0] for row in made] == [[2.0, 1.0, 1.0, 2.5], [2.0, 1.0, 3.0, 1.0]]
+
+
 def test_cleaning_and_scaling(spark):
     rows = [(1.0, 5.0), (math.inf, 5.0), (-math.inf, 5.0), (math.nan, 5.0), (None, 5.0), (7.0, 5.0)]
     frame = spark.createDataFrame(rows, "a double, b double")
