@@ -37,7 +37,7 @@ from siftlog.session import stage
 SKIPPED = frozenset("script style noscript template iframe object svg canvas head title select option textarea button datalist audio video map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mstyle mspace mfrac msqrt mroot msub msup msubsup munder mover munderover semantics".split())
 ASIDE = frozenset("nav aside footer form dialog menu fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 ASIDE_WORDS = frozenset(
