@@ -41,7 +41,7 @@ NO_LANGUAGE = "und"
 # Bits of the filter of a level; it takes 8 MB whatever the data.
 FIELD_BITS = 26
 # Text bytes worked on at once, hashes and phrases kept before equal ones are combined, sampled phrases for each border of ranges.
-CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, SAMPLED = 1 << 19, 1 << 18, 200_000, 32
+CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, SAMPLED = 1 << 19, 1 << 18, 60_000, 32
 # Parts of a language's phrases that are ranked alone first.
 SALTS = 16
 

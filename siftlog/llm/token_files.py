@@ -44,7 +44,7 @@ VERSION = 1
 _HEAD = "<HHIIQ"
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
 # Parts of words whose ids a worker keeps, and ids of them; both start anew beyond that. Text bytes encoded at once.
-MOST_PARTS, MOST_IDS, CHUNK_BYTES = 700_000, 1 << 22, 4 << 20
+MOST_PARTS, MOST_IDS, CHUNK_BYTES = 350_000, 1 << 21, 2 << 20
 PARTS_AT_ONCE = 256
 MARKS = string.punctuation
 # Kinds of bytes, and bytes with A-Z read as a-z.
