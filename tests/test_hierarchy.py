@@ -159,3 +159,45 @@ def test_few_rows_and_none(spark):
     assert [row.label for row in hierarchy.cluster_rows(frame, 2, 5).collect()] == [-1, -1, -1]
     assert hierarchy.cluster_rows(frame.limit(1), 2, 5).collect()[0].label == -1
     assert hierarchy.cluster_rows(frame.filter(F.lit(False)), 2, 5).collect() == []
+
+
+def test_choice_in_a_deep_tree_takes_few_steps(spark, monkeypatch):
+    # A chain of clusters, each with a small part beside it: 150 levels.
+    rng = np.random.default_rng(3)
+    depth = 150
+    above, top = {0: None}, {0: math.inf}
+    for i in range(1, 2 * depth):
+        above[i] = i - 1 if i % 2 else i - 2
+        top[i] = 1000.0 - i + (i % 2 == 0)
+    leaves = {i: top[i] * rng.uniform(0.01, 0.99) if i else 5000.0 for i in above}
+    copies = {i: int(rng.integers(1, 60)) for i in above}
+    tree = spark.createDataFrame([(i, above[i], top[i]) for i in above], "node long, above long, top double")
+    lowest = spark.createDataFrame([(i, i) for i in above], "territory long, node long")
+    placed = spark.createDataFrame([(i, copies[i], leaves[i], i) for i in above], "id long, copies long, leaves double, territory long")
+
+    def excess(low, high):
+        return 1 / low - 1 / high
+
+    home = {}
+    for i in above:
+        home[i] = i
+        while top[home[i]] <= leaves[i]:
+            home[i] = above[home[i]]
+    rows, mass, part, best = dict.fromkeys(above, 0), dict.fromkeys(above, 0.0), dict.fromkeys(above, 0.0), {}
+    for i in above:
+        rows[home[i]] += copies[i]
+        mass[home[i]] += excess(leaves[i], top[home[i]]) * copies[i]
+    for i in sorted(above, reverse=True):
+        best[i] = max(mass[i], part[i])
+        if i:
+            up = above[i]
+            rows[up], mass[up], part[up] = rows[up] + rows[i], mass[up] + excess(top[i], top[up]) * rows[i], part[up] + best[i]
+    expected = {0: None}
+    for i in range(1, 2 * depth):
+        expected[i] = expected[above[i]] if expected[above[i]] is not None else i if mass[i] >= part[i] else None
+    staged, stage = [], hierarchy.stage
+    monkeypatch.setattr(hierarchy, "stage", lambda df, name, *folders: (staged.append(name), stage(df, name, *folders))[1])
+    found = {row.territory: row.chosen for row in hierarchy.chosen_clusters(placed, tree, lowest).collect()}
+    assert found == expected
+    assert len(set(found.values())) > 2
+    assert len(staged) < 60
