@@ -201,3 +201,20 @@ def test_choice_in_a_deep_tree_takes_few_steps(spark, monkeypatch):
     assert found == expected
     assert len(set(found.values())) > 2
     assert len(staged) < 60
+
+
+def test_ranked_neighbours_have_plain_distances():
+    rng = np.random.default_rng(5)
+    features = np.vstack([rng.normal(size=(300, 24)) + 1e4, np.repeat(rng.normal(size=(1, 24)), 7, axis=0)])
+    n = len(features)
+    cell = cells.Points(np.arange(n), features, np.ones(n, int), np.zeros(n), np.arange(n), np.full(n, np.inf))
+    plain = np.sort(cell.distances(cell), axis=1)
+    ranked = cells.Ranked(cell)
+    row, place, distance = ranked.nearest(cell, 10)
+    assert distance.reshape(n, 10).tolist() == plain[:, :10].tolist()
+    assert (cell.distances(cell)[row, place] == distance).all()
+    cell.bound = plain[:, 3]
+    row, _, distance = ranked.nearest(cell, 10)
+    for i in range(n):
+        near = plain[i][plain[i] <= plain[i, 3]][:10]
+        assert distance[row == i][: len(near)].tolist() == near.tolist()
