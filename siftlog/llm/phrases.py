@@ -19,14 +19,12 @@ these as well; a range border lies inside at most as many phrases as a phrase ha
 from __future__ import annotations
 
 import hashlib
-import zlib
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +39,7 @@ NO_LANGUAGE = "und"
 # Bits of the filter of a level; it takes 8 MB whatever the data.
 FIELD_BITS = 26
 # Text bytes worked on at once, hashes and phrases kept before equal ones are combined, sampled phrases for each border of ranges.
-CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, SAMPLED = 1 << 19, 1 << 18, 60_000, 32
+CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, SAMPLED = 1 << 19, 1 << 18, 250_000, 32
 # Parts of a language's phrases that are ranked alone first.
 SALTS = 16
 
@@ -149,14 +147,15 @@ def _field(texts: DataFrame, order: int, shorter: np.ndarray | None) -> np.ndarr
     return field
 
 
-def _tallies(words: Words, languages: list[str], fields: list[np.ndarray]) -> Iterator[tuple[str, list[str], int]]:
-    """Language, words and number of the phrases that pass the filters, and of all words as the phrase without words."""
+def _tallies(words: Words, languages: list[str], fields: list[np.ndarray]) -> Iterator[pa.Table]:
+    """Language, phrase and number `f` of the phrases that pass the filters, and of all words as the empty phrase."""
     names = sorted(set(languages))
+    listed_names = pa.array(names, pa.string())
     code_of = {name: i for i, name in enumerate(names)}
     row_codes = np.array([code_of[name] for name in languages], np.int64)
-    for name, n in zip(names, np.bincount(row_codes[words.row], minlength=len(names)).tolist()):
-        if n:
-            yield name, [], n
+    totals = np.bincount(row_codes[words.row], minlength=len(names))
+    there = np.flatnonzero(totals)
+    yield pa.table([listed_names.take(pa.array(there)), pa.array([""] * len(there), pa.string()), pa.array(totals[there].astype(np.int64))], _TALLY)
     if not len(words.starts):
         return
     coded = words.texts().dictionary_encode()
@@ -176,55 +175,42 @@ def _tallies(words: Words, languages: list[str], fields: list[np.ndarray]) -> It
         numbers = np.full(len(words.starts), -1, np.int64)
         numbers[whole] = inverse
         firsts = whole[places]
-        spelt = [listed.take(pa.array(codes[firsts + i])).to_pylist() for i in range(order)]
-        for place, count, *parts in zip(own[firsts].tolist(), counts.tolist(), *spelt):
-            yield names[place], [part.decode() for part in parts], count
+        spelt = [listed.take(pa.array(codes[firsts + i])) for i in range(order)]
+        phrases = pc.binary_join_element_wise(*spelt, pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
+        yield pa.table([listed_names.take(pa.array(own[firsts])), phrases, pa.array(counts.astype(np.int64))], _TALLY)
+
+
+_TALLY = ["lang", "phrase", "f"]
 
 
 def counts(docs: DataFrame, fields: list[np.ndarray]) -> DataFrame:
     """`lang`, `words` and count `f` of every frequent phrase; the empty phrase counts all words of a language.
 
-    Tasks write runs of what they have counted, a part of the phrases to a row; the
-    runs of a part meet in one task, which holds the distinct phrases of its part.
+    Phrases stay in Arrow and are combined some chunks at a time; Spark combines what
+    is left of a task before the shuffle.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fields)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = docs.sparkSession.sparkContext.broadcast(fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, ...]] = Counter()
-
-        def runs() -> pa.RecordBatch:
-            found: dict[int, tuple[list, list, list]] = {}
-            for gram, n in held.items():
-                run = found.setdefault(zlib.crc32("\t".join(gram).encode()) % parts, ([], [], []))
-                for column, value in zip(run, (gram[0], gram[1:], n)):
-                    column.append(value)
+        held: list[pa.Table] = []
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            sums = pa.concat_tables(held).group_by(_TALLY[:2]).aggregate([("f", "sum")])
             held.clear()
-            langs, grams, numbers = zip(*found.values()) if found else ((), (), ())
-            columns = [pa.array(found.keys(), pa.int32()), pa.array(langs, pa.list_(pa.string())), pa.array(grams, pa.list_(pa.list_(pa.string()))), pa.array(numbers, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["part", "langs", "grams", "numbers"])
+            named = pa.table([sums.column(name) for name in ("lang", "phrase", "f_sum")], _TALLY)
+            yield from named.to_batches(max_chunksize=20_000)
 
         for batch in batches:
             for words, languages in _chunks(batch):
-                for name, gram, n in _tallies(words, languages, shared.value):
-                    held[name, *gram] += n
-                if len(held) > HELD_PHRASES:
-                    yield runs()
-        yield runs()
+                held.extend(_tallies(words, languages, shared.value))
+                if sum(map(len, held)) > HELD_PHRASES:
+                    yield from combined()
+        if held:
+            yield from combined()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, ...]] = Counter()
-        for batch in batches:
-            for langs, grams, numbers in zip(*(batch.column(name) for name in ("langs", "grams", "numbers"))):
-                for lang, gram, n in zip(langs.as_py(), grams.as_py(), numbers.as_py()):
-                    held[lang, *gram] += n
-        rows = iter(sorted((gram, n) for gram, n in held.items() if n >= LEAST_COUNT or len(gram) == 1))
-        while some := list(islice(rows, 20_000)):
-            yield pa.RecordBatch.from_arrays([pa.array([gram[0] for gram, _ in some]), pa.array([gram[1:] for gram, _ in some], pa.list_(pa.string())), pa.array([n for _, n in some])], ["lang", "words", "f"])
-
-    counted = docs.mapInArrow(count, "part int, langs array<string>, grams array<array<string>>, numbers array<long>")
-    return counted.repartitionById(parts, F.col("part")).mapInArrow(merge, "lang string, words array<string>, f long")
+    counted = docs.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    words = F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
+    return counted.filter((F.col("f") >= LEAST_COUNT) | (F.col("phrase") == "")).select("lang", words.alias("words"), "f")
 
 
 _STREAM = {"lang": pa.string(), "words": pa.list_(pa.string()), "f": pa.int64(), "longer": pa.int64(), "first": pa.list_(pa.int64()), "chain": pa.list_(pa.int64())}

@@ -105,3 +105,19 @@ def test_words_do_not_cross_rows_or_marks():
     assert words.row.tolist() == [0, 0, 0, 0, 2, 2]
     assert words.windows(2).tolist() == [True, False, True, False, True]
     assert words.windows(9).tolist() == []
+
+
+def test_counts_are_combined_before_the_shuffle(spark, monkeypatch):
+    texts = ["a b c. A  b"] * 120 + ["x y"] * 3
+    docs = spark.createDataFrame([("en" if i % 2 else None, text) for i, text in enumerate(texts)], "lang string, text string")
+    docs = docs.selectExpr("coalesce(lang, 'und') as lang", "text").repartition(3)
+    monkeypatch.setattr(phrases, "HELD_PHRASES", 4)
+    monkeypatch.setattr(phrases, "LEAST_COUNT", 50)
+    fields = [np.full((1 << phrases.FIELD_BITS) // 8, 255, np.uint8)] * 3
+    counted = phrases.counts(docs, fields)
+    plan = counted._jdf.queryExecution().explainString(counted._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.index("partial_sum") > plan.index("Exchange")
+    found = {(row.lang, tuple(row.words)): row.f for row in counted.collect()}
+    odd = [text for i, text in enumerate(texts) if i % 2]
+    assert found["en", ()] == sum(2 if text == "x y" else 5 for text in odd)
+    assert {words: f for (lang, words), f in found.items() if lang == "en" and words} == {("a",): 120, ("b",): 120, ("c",): 60, ("a", "b"): 120, ("b", "c"): 60, ("a", "b", "c"): 60}
