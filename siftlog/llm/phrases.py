@@ -38,8 +38,10 @@ HELD_PERCENT = 100
 NO_LANGUAGE = "und"
 # Bits of the filter of a level; it takes 8 MB whatever the data.
 FIELD_BITS = 26
-# Text bytes worked on at once, hashes and phrases kept before equal ones are combined, sampled phrases for each border of ranges.
-CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, SAMPLED = 1 << 19, 1 << 18, 250_000, 32
+# Tasks for each core that count phrases, and the most splits of one. Every task hands on a row for nearly every frequent phrase, so few make fewer rows.
+COUNTING_TASKS, MOST_SPLITS = 2, 16
+# Text bytes worked on at once, hashes kept before equal ones are combined, phrases that may come in before that, sampled phrases for each border of ranges.
+CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, SAMPLED = 1 << 19, 1 << 18, 400_000, 32
 # Parts of a language's phrases that are ranked alone first.
 SALTS = 16
 
@@ -186,29 +188,35 @@ _TALLY = ["lang", "phrase", "f"]
 def counts(docs: DataFrame, fields: list[np.ndarray]) -> DataFrame:
     """`lang`, `words` and count `f` of every frequent phrase; the empty phrase counts all words of a language.
 
-    Phrases stay in Arrow and are combined some chunks at a time; Spark combines what
-    is left of a task before the shuffle.
+    A few tasks for each core read all texts. They keep their phrases in Arrow and hand them
+    on once there are more than HELD_PHRASES different ones; Spark combines what is left
+    of a task before the shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fields)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held, rows = [], 0
 
-        def combined() -> Iterator[pa.RecordBatch]:
+        def combined() -> pa.Table:
             sums = pa.concat_tables(held).group_by(_TALLY[:2]).aggregate([("f", "sum")])
-            held.clear()
-            named = pa.table([sums.column(name) for name in ("lang", "phrase", "f_sum")], _TALLY)
-            yield from named.to_batches(max_chunksize=20_000)
+            return pa.table([sums.column(name).combine_chunks() for name in ("lang", "phrase", "f_sum")], _TALLY)
 
         for batch in batches:
             for words, languages in _chunks(batch):
-                held.extend(_tallies(words, languages, shared.value))
-                if sum(map(len, held)) > HELD_PHRASES:
-                    yield from combined()
+                found = list(_tallies(words, languages, shared.value))
+                held += found
+                rows += sum(map(len, found))
+                # What is combined is gone through again only once so many have come in.
+                if rows > HELD_PHRASES:
+                    held, rows = [combined()], 0
+                    if len(held[0]) > HELD_PHRASES:
+                        yield from held.pop().to_batches(max_chunksize=20_000)
         if held:
-            yield from combined()
+            yield from combined().to_batches(max_chunksize=20_000)
 
-    counted = docs.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    tasks = max(COUNTING_TASKS * context.defaultParallelism, -(-docs.rdd.getNumPartitions() // MOST_SPLITS))
+    counted = docs.coalesce(tasks).mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     words = F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
     return counted.filter((F.col("f") >= LEAST_COUNT) | (F.col("phrase") == "")).select("lang", words.alias("words"), "f")
 

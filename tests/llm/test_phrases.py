@@ -121,3 +121,39 @@ def test_counts_are_combined_before_the_shuffle(spark, monkeypatch):
     odd = [text for i, text in enumerate(texts) if i % 2]
     assert found["en", ()] == sum(2 if text == "x y" else 5 for text in odd)
     assert {words: f for (lang, words), f in found.items() if lang == "en" and words} == {("a",): 120, ("b",): 120, ("c",): 60, ("a", "b"): 120, ("b", "c"): 60, ("a", "b", "c"): 60}
+
+
+def rows_made(df, name):
+    """Rows that the plan's nodes of this name have made, once `df` has run."""
+    waiting, made = [df._jdf.queryExecution().executedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == name:
+            made += node.metrics().apply("pythonNumRowsReceived").value()
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return made
+
+
+def test_rows_of_counts_do_not_go_by_chunks_or_splits(spark, monkeypatch):
+    """Every task makes one row for a phrase, however often it combines, and more splits make no more tasks."""
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 40)
+    monkeypatch.setattr(phrases, "HELD_PHRASES", 10)
+    monkeypatch.setattr(phrases, "LEAST_COUNT", 50)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame([("en", "a b c. A  b")] * 4000, "lang string, text string").repartition(64)
+        fields = [np.full((1 << phrases.FIELD_BITS) // 8, 255, np.uint8)] * 3
+        counted = phrases.counts(docs, fields)
+        found = {tuple(row.words): row.f for row in counted.collect()}
+        assert found == {(): 20000, ("a",): 8000, ("b",): 8000, ("c",): 4000, ("a", "b"): 8000, ("b", "c"): 4000, ("a", "b", "c"): 4000}
+        tasks = phrases.COUNTING_TASKS * spark.sparkContext.defaultParallelism
+        assert len(found) < rows_made(counted, "MapInArrow") <= tasks * len(found)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_more_phrases_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(phrases, "HELD_PHRASES", 25)
+    monkeypatch.setattr(phrases, "LEAST_COUNT", 5)
+    assert len(check(spark, repeated(5, 120), least=5)) > 20
