@@ -29,6 +29,8 @@ EPSILON = 1e-8
 SHARDS = 4
 SHARD_ROWS = 16_384
 STEP_ROWS = BATCH // SHARDS
+# Tasks of an epoch for each core, and the most shards of one: a task hands on one sum of its states.
+EPOCH_TASKS, TASK_SHARDS = 2, 64
 # Parts of the state are summed as decimals: the sum is the same in any order.
 PART = "decimal(38,20)"
 STATE_SCHEMA = "rows long, steps long, loss double, state array<double>"
@@ -163,6 +165,7 @@ def fit_autoencoder(
 
     # Each shard is a row in a file of its own, which the epochs read where they run.
     packed = stage(placed.groupBy("shard").applyInArrow(pack, "shard int, values array<double>"), "shards", "shard")
+    trained = packed.coalesce(max(EPOCH_TASKS * sample.sparkSession.sparkContext.defaultParallelism, -(-shards // TASK_SHARDS)))
     losses = []
     for epoch in range(epochs):
         start = state
@@ -177,7 +180,7 @@ def fit_autoencoder(
                     row = {"rows": [len(values)], "steps": [done.steps], "loss": [loss], "state": [numbers]}
                     yield pa.RecordBatch.from_pydict(row)
 
-        loss, steps, numbers = _mean_state(packed.mapInArrow(train, STATE_SCHEMA))
+        loss, steps, numbers = _mean_state(trained.mapInArrow(train, STATE_SCHEMA))
         state = State(*np.split(numbers, 3), steps=steps)
         losses.append(loss)
     return Autoencoder(sizes, state.weights, losses)

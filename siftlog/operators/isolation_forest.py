@@ -102,9 +102,10 @@ def grow_trees(sample: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS
     def draw(tree: Column) -> Column:
         return F.pmod(F.xxhash64("_hash", tree), F.lit(1 << 32))
 
-    drawing = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < cut)
     hashed = sample.select("event_id", "features", F.xxhash64("event_id", F.lit(seed)).alias("_hash"))
-    dealt = hashed.select("event_id", "features", "_hash", F.explode(drawing).alias("tree"))
+    # A loop of compiled code over the trees; a filter of an array would go through an expression for each of them.
+    every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    dealt = hashed.select("event_id", "features", "_hash", every).filter(draw(F.col("tree")) < cut)
     order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "event_id", "features")
     drawn = dealt.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= tree_rows)
 

@@ -72,6 +72,16 @@ def test_forest_of_identical_rows(spark):
     assert len(set(scores)) == 1
 
 
+def test_forest_draws_in_compiled_code(spark, planted):
+    """No expression is walked for each tree and row; the rows are those with the smallest draws."""
+    _, frame = planted
+    nodes = isolation_forest.grow_trees(frame, trees=5, tree_rows=64)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "lambda" not in plan
+    sizes = nodes.filter("node = 0").select("tree", "size").collect()
+    assert sorted(map(tuple, sizes)) == [(tree, 64) for tree in range(5)]
+
+
 def test_layer_sizes():
     assert autoencoder.layer_sizes(1) == [1, 16, 8, 16, 1]
     assert autoencoder.layer_sizes(7) == [7, 28, 14, 28, 7]
@@ -102,6 +112,25 @@ def test_autoencoder_learns_and_is_repeatable(spark, planted):
     assert (again.scores(points) == scores).all()
 
 
+def test_few_tasks_train_many_shards(spark, planted, monkeypatch):
+    _, frame = planted
+    tasks, mean = [], autoencoder._mean_state
+
+    def watched(parts):
+        tasks.append(parts.rdd.getNumPartitions())
+        return mean(parts)
+
+    monkeypatch.setattr(autoencoder, "_mean_state", watched)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    # A split for every file.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        autoencoder.fit_autoencoder(frame, epochs=2, shard_rows=20)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert tasks == [autoencoder.EPOCH_TASKS * spark.sparkContext.defaultParallelism] * 2
+
+
 def test_autoencoder_gets_more_shards_with_more_rows(spark, planted):
     points, frame = planted
     model = autoencoder.fit_autoencoder(frame, epochs=4, shard_rows=100)
