@@ -40,8 +40,8 @@ NO_LANGUAGE = "und"
 FIELD_BITS = 26
 # Tasks for each core that count phrases, and the most splits of one. Every task hands on a row for nearly every frequent phrase, so few make fewer rows.
 COUNTING_TASKS, MOST_SPLITS = 2, 16
-# Text bytes worked on at once, hashes kept before equal ones are combined, phrases that may come in before that, sampled phrases for each border of ranges.
-CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, SAMPLED = 1 << 19, 1 << 18, 400_000, 32
+# Text bytes worked on at once, hashes kept before equal ones are combined, different phrases that a task keeps, phrases spelt out at once, sampled phrases for each border of ranges.
+CHUNK_BYTES, HELD_HASHES, HELD_PHRASES, HANDED_ROWS, SAMPLED = 1 << 19, 1 << 18, 400_000, 20_000, 32
 # Parts of a language's phrases that are ranked alone first.
 SALTS = 16
 
@@ -94,6 +94,11 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
         first = last
 
 
+def release() -> None:
+    """Give back what Arrow keeps of freed memory: an executor's idle workers would hold it from task to task."""
+    pa.default_memory_pool().release_unused()
+
+
 def _language_hashes(languages: list[str]) -> np.ndarray:
     known = {name: int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") for name in set(languages)}
     return np.array([known[name] for name in languages], np.uint64)
@@ -134,6 +139,7 @@ def _field(texts: DataFrame, order: int, shorter: np.ndarray | None) -> np.ndarr
                 held.append(grams[whole])
                 if sum(map(len, held)) > HELD_HASHES:
                     yield combined()
+            release()
         if held:
             yield combined()
 
@@ -149,37 +155,98 @@ def _field(texts: DataFrame, order: int, shorter: np.ndarray | None) -> np.ndarr
     return field
 
 
-def _tallies(words: Words, languages: list[str], fields: list[np.ndarray]) -> Iterator[pa.Table]:
-    """Language, phrase and number `f` of the phrases that pass the filters, and of all words as the empty phrase."""
-    names = sorted(set(languages))
-    listed_names = pa.array(names, pa.string())
-    code_of = {name: i for i, name in enumerate(names)}
-    row_codes = np.array([code_of[name] for name in languages], np.int64)
-    totals = np.bincount(row_codes[words.row], minlength=len(names))
-    there = np.flatnonzero(totals)
-    yield pa.table([listed_names.take(pa.array(there)), pa.array([""] * len(there), pa.string()), pa.array(totals[there].astype(np.int64))], _TALLY)
-    if not len(words.starts):
-        return
-    coded = words.texts().dictionary_encode()
-    listed, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    own = row_codes[words.row]
-    hashes = words.hashes(_language_hashes(languages))
-    # Numbers of equal phrases, from the numbers of their beginnings and last words.
-    numbers = own * len(listed) + codes
-    for order, field in enumerate(fields, 1):
-        whole = np.flatnonzero(words.windows(order))
-        # What a filter lets through by chance may have a beginning that was stopped.
-        whole = whole[_in_field(field, _gram_hashes(hashes, order)[whole]) & (numbers[whole] >= 0)]
-        if not len(whole):
+class Tallies:
+    """Counts of phrases that pass the filters, and of all words of a language as the empty phrase.
+
+    A phrase is the number of its beginning and that of its last word, so it takes the
+    same few bytes whatever its length. It is spelt out when it is handed on.
+    """
+
+    def __init__(self, fields: list[np.ndarray]) -> None:
+        self.fields = fields
+        self.clear()
+
+    def clear(self) -> None:
+        self.languages: dict[str, int] = {}
+        self.totals = np.zeros(0, np.int64)
+        self.words = pa.array([], pa.large_binary())
+        # For each order: sorted keys of beginning and last word, the phrases' numbers in that order, and the counts by number.
+        self.keys = [np.zeros(0, np.int64) for _ in self.fields]
+        self.numbers = [np.zeros(0, np.int64) for _ in self.fields]
+        self.counts = [np.zeros(0, np.int64) for _ in self.fields]
+
+    def __len__(self) -> int:
+        return len(self.languages) + sum(map(len, self.keys))
+
+    def add(self, words: Words, languages: list[str]) -> None:
+        """Count the phrases of some whole rows."""
+        row_codes = np.array([self.languages.setdefault(name, len(self.languages)) for name in languages], np.int64)
+        beginnings = row_codes[words.row]
+        totals = np.bincount(beginnings, minlength=len(self.languages)).astype(np.int64)
+        totals[: len(self.totals)] += self.totals
+        self.totals = totals
+        if not len(words.starts):
             return
-        keys = numbers[whole] if order == 1 else numbers[whole] * len(listed) + codes[whole + order - 1]
-        _, places, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        numbers = np.full(len(words.starts), -1, np.int64)
-        numbers[whole] = inverse
-        firsts = whole[places]
-        spelt = [listed.take(pa.array(codes[firsts + i])) for i in range(order)]
-        phrases = pc.binary_join_element_wise(*spelt, pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
-        yield pa.table([listed_names.take(pa.array(own[firsts])), phrases, pa.array(counts.astype(np.int64))], _TALLY)
+        hashes = words.hashes(_language_hashes(languages))
+        lasts = self._word_numbers(words, _in_field(self.fields[0], hashes))
+        for order, field in enumerate(self.fields, 1):
+            whole = np.flatnonzero(words.windows(order))
+            # What a filter lets through by chance may have a beginning or a last word that was stopped.
+            passed = _in_field(field, _gram_hashes(hashes, order)[whole]) & (beginnings[whole] >= 0) & (lasts[whole + order - 1] >= 0)
+            whole = whole[passed]
+            if not len(whole):
+                return
+            keys, inverse, counts = np.unique(beginnings[whole] << 32 | lasts[whole + order - 1], return_inverse=True, return_counts=True)
+            numbers = self._phrase_numbers(order - 1, keys)
+            self.counts[order - 1][numbers] += counts
+            beginnings = np.full(len(words.starts), -1, np.int64)
+            beginnings[whole] = numbers[inverse]
+
+    def _word_numbers(self, words: Words, passed: np.ndarray) -> np.ndarray:
+        """The number of each word that passed the filter in one of its places, else -1."""
+        coded = words.texts().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        used = np.unique(codes[passed])
+        listed = coded.dictionary.take(pa.array(used))
+        found = pc.index_in(listed, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = found < 0
+        found[new] = len(self.words) + np.arange(np.count_nonzero(new))
+        self.words = pa.concat_arrays([self.words, listed.filter(pa.array(new))])
+        numbers = np.full(len(coded.dictionary), -1, np.int64)
+        numbers[used] = found
+        return numbers[codes]
+
+    def _phrase_numbers(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """The numbers of phrases with these sorted keys; new ones get the next."""
+        known = self.keys[level]
+        places = np.searchsorted(known, keys)
+        old = places < len(known)
+        old[old] = known[places[old]] == keys[old]
+        numbers = np.empty(len(keys), np.int64)
+        numbers[old] = self.numbers[level][places[old]]
+        new = ~old
+        numbers[new] = len(known) + np.arange(np.count_nonzero(new))
+        self.keys[level] = np.insert(known, places[new], keys[new])
+        self.numbers[level] = np.insert(self.numbers[level], places[new], numbers[new])
+        self.counts[level] = np.concatenate((self.counts[level], np.zeros(np.count_nonzero(new), np.int64)))
+        return numbers
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """Language, phrase and number `f`."""
+        names = pa.array(list(self.languages), pa.string())
+        there = np.flatnonzero(self.totals)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(there)), pa.array([""] * len(there), pa.string()), pa.array(self.totals[there])], _TALLY)
+        own, spelt = np.arange(len(names)), []
+        for keys, numbers, counts in zip(self.keys, self.numbers, self.counts):
+            by_number = np.empty_like(keys)
+            by_number[numbers] = keys
+            beginnings = by_number >> 32
+            own, spelt = own[beginnings], [*(words[beginnings] for words in spelt), by_number & 0xFFFFFFFF]
+            for first in range(0, len(counts), HANDED_ROWS):
+                part = slice(first, first + HANDED_ROWS)
+                parts = [self.words.take(pa.array(words[part])) for words in spelt]
+                phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(own[part])), phrases, pa.array(counts[part])], _TALLY)
 
 
 _TALLY = ["lang", "phrase", "f"]
@@ -188,32 +255,25 @@ _TALLY = ["lang", "phrase", "f"]
 def counts(docs: DataFrame, fields: list[np.ndarray]) -> DataFrame:
     """`lang`, `words` and count `f` of every frequent phrase; the empty phrase counts all words of a language.
 
-    A few tasks for each core read all texts. They keep their phrases in Arrow and hand them
-    on once there are more than HELD_PHRASES different ones; Spark combines what is left
-    of a task before the shuffle.
+    A few tasks for each core read all texts. They keep their phrases as numbers and hand
+    them on once there are more than HELD_PHRASES different ones; Spark combines what is
+    left of a task before the shuffle.
     """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def combined() -> pa.Table:
-            sums = pa.concat_tables(held).group_by(_TALLY[:2]).aggregate([("f", "sum")])
-            return pa.table([sums.column(name).combine_chunks() for name in ("lang", "phrase", "f_sum")], _TALLY)
-
+        tallies = Tallies(shared.value)
         for batch in batches:
             for words, languages in _chunks(batch):
-                found = list(_tallies(words, languages, shared.value))
-                held += found
-                rows += sum(map(len, found))
-                # What is combined is gone through again only once so many have come in.
-                if rows > HELD_PHRASES:
-                    held, rows = [combined()], 0
-                    if len(held[0]) > HELD_PHRASES:
-                        yield from held.pop().to_batches(max_chunksize=20_000)
-        if held:
-            yield from combined().to_batches(max_chunksize=20_000)
+                tallies.add(words, languages)
+                if len(tallies) > HELD_PHRASES:
+                    yield from tallies.batches()
+                    tallies.clear()
+            release()
+        if len(tallies):
+            yield from tallies.batches()
+        release()
 
     tasks = max(COUNTING_TASKS * context.defaultParallelism, -(-docs.rdd.getNumPartitions() // MOST_SPLITS))
     counted = docs.coalesce(tasks).mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))

@@ -1,8 +1,12 @@
 import collections
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import EDGES, edge_documents
 
@@ -157,3 +161,53 @@ def test_more_phrases_than_a_task_holds(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HELD_PHRASES", 25)
     monkeypatch.setattr(phrases, "LEAST_COUNT", 5)
     assert len(check(spark, repeated(5, 120), least=5)) > 20
+
+
+def test_a_task_keeps_phrases_in_few_bytes(spark):
+    """Numbers stand for phrases, so between batches a task holds no phrase's words."""
+    draw, held = random.Random(3), []
+    stock = [f"{i:02d}" * 20 for i in range(40)]
+
+    def batches():
+        for _ in range(20):
+            held.append(pa.total_allocated_bytes() + tracemalloc.get_traced_memory()[0])
+            yield pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(draw.choices(stock, k=2000))]})
+        held.append(pa.total_allocated_bytes() + tracemalloc.get_traced_memory()[0])
+
+    docs = MagicMock()
+    docs.sparkSession.sparkContext.broadcast = lambda value: SimpleNamespace(value=value)
+    docs.sparkSession.sparkContext.defaultParallelism = docs.rdd.getNumPartitions.return_value = 1
+    phrases.counts(docs, [np.full((1 << phrases.FIELD_BITS) // 8, 255, np.uint8)] * 5)
+    task = docs.coalesce.return_value.mapInArrow.call_args.args[0]
+    tracemalloc.start()
+    try:
+        rows = sum(batch.num_rows for batch in task(batches()))
+    finally:
+        tracemalloc.stop()
+    assert rows > 100_000
+    # The helpers' own tables are there after the first batch.
+    assert held[-1] - held[1] < 64 * rows
+
+
+def test_phrases_keep_their_numbers_from_chunk_to_chunk():
+    tallies = phrases.Tallies([np.full((1 << phrases.FIELD_BITS) // 8, 255, np.uint8)] * 3)
+
+    def add(*rows):
+        texts = pa.array([text for _, text in rows], pa.string())
+        tallies.add(phrases.Words(*phrases.text_buffers(texts)), [lang for lang, _ in rows])
+
+    def listed():
+        batches = [*tallies.batches()]
+        assert sum(batch.num_rows for batch in batches) <= len(tallies)
+        return {(row["lang"], row["phrase"]): row["f"] for batch in batches for row in batch.to_pylist()}
+
+    add(("fr", "m n"), ("en", None))
+    add(("en", "n m. b"), ("fr", "\u00e9 m n"), ("de", ""))
+    add(("en", "a m b"))
+    assert listed() == {
+        ("fr", ""): 5, ("en", ""): 6, ("fr", "m"): 2, ("fr", "n"): 2, ("fr", "\u00e9"): 1, ("fr", "m n"): 2, ("fr", "\u00e9 m"): 1, ("fr", "\u00e9 m n"): 1,
+        ("en", "n"): 1, ("en", "m"): 2, ("en", "b"): 2, ("en", "a"): 1, ("en", "n m"): 1, ("en", "a m"): 1, ("en", "m b"): 1, ("en", "a m b"): 1,
+    }
+    tallies.clear()
+    add(("en", "b"))
+    assert listed() == {("en", ""): 1, ("en", "b"): 1}
