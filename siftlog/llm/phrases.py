@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -310,10 +310,12 @@ def in_step(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield close()
 
 
-def scan(rows: DataFrame) -> DataFrame:
+def scan(rows: DataFrame, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, ddl: str | None = None) -> DataFrame:
     """Send a stream (`lang`, `words`, `f`, `longer`, `first`) through `in_step`, range by range; adds `chain`.
 
     A phrase that reaches into several ranges has a row from each, alike but for `longer`.
+    `then` makes rows of `ddl` from these in the same worker; a second Python step would take
+    a second worker for each core, which stays and holds memory.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -346,37 +348,38 @@ def scan(rows: DataFrame) -> DataFrame:
         for row in in_step(stream):
             held.append(row)
             if len(held) == 10_000:
-                yield _batch(held)
+                yield then(_batch(held)) if then else _batch(held)
                 held = []
         if held:
-            yield _batch(held)
+            yield then(_batch(held)) if then else _batch(held)
 
     narrow = rows.select("lang", "words", "f", "longer", "first")
     routed = narrow.mapInArrow(route, _STREAM_DDL.replace(", chain array<long>", ", range int"))
     placed = routed.repartitionById(parts, F.col("range")).sortWithinPartitions("lang", "words")
-    return placed.mapInArrow(merge, _STREAM_DDL)
+    return placed.mapInArrow(merge, ddl or _STREAM_DDL)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), _STREAM.values())], list(_STREAM))
 
 
-def _scored(streams: DataFrame) -> DataFrame:
-    """Score each phrase by its lowest cut, in whole numbers of any size."""
+_SCORED_DDL = "lang string, words array<string>, a long, l long, r long, n long, score long, longer long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, words, a, longer, left, right in zip(*(batch.column(name).to_pylist() for name in ("lang", "words", "f", "longer", "first", "chain"))):
-                # left[k] counts the first k words, right[k] the last k.
-                n, size = left[0], len(words)
-                score, cut = min((SCALE * a * n // (left[k] * right[size - k]), k) for k in range(1, size))
-                out.append((lang, words[::-1], a, left[cut], right[size - cut], n, score, longer))
-            kinds = [pa.string(), pa.list_(pa.string()), *[pa.int64()] * 6]
-            columns = list(zip(*out)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds)], ["lang", "words", "a", "l", "r", "n", "score", "longer"])
 
-    return streams.filter(F.size("words") >= 2).mapInArrow(run, "lang string, words array<string>, a long, l long, r long, n long, score long, longer long")
+def _scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Score each phrase of two words or more by its lowest cut, in whole numbers of any size."""
+    out = []
+    for lang, words, a, longer, left, right in zip(*(batch.column(name).to_pylist() for name in ("lang", "words", "f", "longer", "first", "chain"))):
+        size = len(words)
+        if size < 2:
+            continue
+        # left[k] counts the first k words, right[k] the last k.
+        n = left[0]
+        score, cut = min((SCALE * a * n // (left[k] * right[size - k]), k) for k in range(1, size))
+        out.append((lang, words[::-1], a, left[cut], right[size - cut], n, score, longer))
+    kinds = [pa.string(), pa.list_(pa.string()), *[pa.int64()] * 6]
+    columns = list(zip(*out)) if out else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds)], ["lang", "words", "a", "l", "r", "n", "score", "longer"])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -391,7 +394,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     grams = stage(counts(texts, fields), "grams")
     opened = grams.select("lang", "words", "f", F.lit(0).cast("long").alias("longer"), F.lit(None).cast("array<long>").alias("first"))
     by_prefix = stage(scan(opened).select("lang", F.reverse("words").alias("words"), "f", "longer", F.col("chain").alias("first")), "prefixes")
-    by_suffix = _scored(scan(by_prefix))
+    by_suffix = scan(by_prefix, _scored, _SCORED_DDL)
     same = [F.max(name).alias(name) for name in ("a", "l", "r", "n", "score", "longer")]
     return by_suffix.groupBy("lang", "words").agg(*same)
 

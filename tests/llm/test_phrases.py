@@ -211,3 +211,11 @@ def test_phrases_keep_their_numbers_from_chunk_to_chunk():
     tallies.clear()
     add(("en", "b"))
     assert listed() == {("en", ""): 1, ("en", "b"): 1}
+
+
+def test_no_task_takes_two_workers(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "LEAST_COUNT", 2)
+    found = phrases.candidates(edge_documents(spark, EDGES))
+    plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    steps = re.findall("Exchange|MapInArrow", plan)
+    assert steps.count("MapInArrow") == 2 and "MapInArrow MapInArrow" not in " ".join(steps)
