@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftlog.operators import cells, hierarchy
+from siftlog.operators import cells, clusters, hierarchy
 
 
 def reach_matrix(points, neighbours):
@@ -218,3 +218,69 @@ def test_ranked_neighbours_have_plain_distances():
     for i in range(n):
         near = plain[i][plain[i] <= plain[i, 3]][:10]
         assert distance[row == i][: len(near)].tolist() == near.tolist()
+
+
+def test_cheapest_edges_of_a_cell_against_all_pairs():
+    rng = np.random.default_rng(11)
+    features = np.vstack([rng.normal(size=(400, 6)) + 1e3, rng.integers(0, 3, size=(300, 6)) + 1e3]).round(6)
+    features = np.unique(features, axis=0)
+    n = len(features)
+    group, core = rng.integers(0, 40, n), rng.choice([0.0, 0.5, 1.5], n)
+    cell = cells.Points(np.arange(n), features, np.ones(n, int), core, group, np.full(n, np.inf))
+    weights = np.maximum(np.maximum(cell.distances(cell), core), core[:, None])
+    weights[group[:, None] == group] = np.inf
+    first, least = weights.argmin(axis=1), weights.min(axis=1)
+    row, place, weight = cells.Ranked(cell).cheapest(cell)
+    assert (row.tolist(), place.tolist(), weight.tolist()) == (list(range(n)), first.tolist(), least.tolist())
+    # Points whose bound is their edge keep it, points with a lower one have none.
+    cell.bound = np.where(np.arange(n) % 2 == 0, least, least * 0.999)
+    row, place, weight = cells.Ranked(cell).cheapest(cell)
+    assert (row.tolist(), place.tolist(), weight.tolist()) == (list(range(0, n, 2)), first[::2].tolist(), least[::2].tolist())
+    cell.group[:] = 1
+    assert len(cells.Ranked(cell).cheapest(cell)[0]) == 0
+
+
+def test_points_are_packed_whole():
+    ids = np.array([3, (1 << 62) + 1, (1 << 53) + 1])
+    points = cells.Points(ids, np.arange(6.0).reshape(3, 2), np.array([1, 2, 3]), np.array([0.0, 0.1, math.inf]), ids[::-1].copy(), np.array([math.inf, 0.0, 2.0]))
+    rows = points.packed()
+    found = cells.Points.unpacked([(rows[:2].tobytes(), 2), (rows[2:].tobytes(), 1)])
+    for name in ("id", "features", "copies", "core", "group", "bound"):
+        assert getattr(found, name).tolist() == getattr(points, name).tolist()
+
+
+@pytest.mark.parametrize("kind", ["chain", "grid"])
+def test_choice_in_one_task_and_in_joins(spark, monkeypatch, kind):
+    points = shapes(kind)
+    width = points.shape[1]
+    table = cells.distinct_points(frame_of(spark, points), 60)
+    measured = hierarchy.stage(table.join(cells.core_distances(table, width, 4), "id"), "cores")
+    placed, merges = hierarchy.territories(measured, hierarchy.levels(measured, width), 8)
+    staged, stage = [], hierarchy.stage
+    monkeypatch.setattr(hierarchy, "stage", lambda df, name, *folders: (staged.append(name), stage(df, name, *folders))[1])
+    found = {row.territory: (row.chosen, row.top) for row in hierarchy.choice(placed, merges).collect()}
+    # A job for the places where rows leave, and one for the tree.
+    assert staged == ["left"]
+    monkeypatch.setattr(hierarchy, "ONE_TASK_ROWS", 0)
+    assert found == {row.territory: (row.chosen, row.top) for row in hierarchy.choice(placed, merges).collect()}
+    assert "contracted" in staged
+    assert len(found) == merges.count()
+
+
+def test_tree_in_one_task_joins_what_meets_at_one_distance():
+    # Three territories meet at 2, a fourth at 5: the three are the parts of one cluster.
+    territory, above = np.array([10, 20, 30, 40]), np.array([-1, 10, 10, 20])
+    weight, low, high = np.array([math.inf, 2.0, 2.0, 5.0]), np.array([-1, 1, 2, 3]), np.array([-1, 4, 5, 6])
+    tree = clusters.grow_tree(territory, above, weight, low, high, np.array([1.0, 1.0, 1.0, 4.0]))
+    lowest = tree.lowest.tolist()
+    assert len(set(lowest)) == 4
+    assert len({tree.up[i] for i in lowest[:3]}) == 1 and tree.up[lowest[0]] != tree.up[lowest[3]]
+    assert tree.top[lowest].tolist() == [2.0, 2.0, 2.0, 5.0]
+    assert tree.is_cluster.sum() == 6
+    # Rows leave the fourth at 4; those of the three at 1, one of them after the three have met and one after all have.
+    place, leaves, copies = tree.lowest[[0, 1, 2, 3, 0, 1]], np.array([1.0, 1.0, 1.0, 4.0, 3.0, 6.0]), np.array([10, 10, 10, 10, 1, 1])
+    assert clusters.climbed(tree, place, leaves).tolist() == [*lowest, tree.up[lowest[0]], tree.up[lowest[3]]]
+    assert clusters.choose(tree, place, leaves, copies).tolist() == lowest
+    # Close parts hold less together than the cluster.
+    leaves = np.array([1.9, 1.9, 1.9, 4.0, 3.0, 6.0])
+    assert clusters.choose(tree, place, leaves, copies).tolist() == [tree.up[lowest[0]]] * 3 + [lowest[3]]
